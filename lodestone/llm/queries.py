@@ -8,13 +8,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, mixing, near_dedup, rules, sharding
+from lodestone.llm import decontam, langid, licenses, line_dedup, mixing, near_dedup, quality, rules, sharding, warc
+from lodestone.plans.scratch import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(modulus: int, held: int):
+    """Whether a row is held out, by its doc_id; false for a null one."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == held, F.lit(False))
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    allowed = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
+    learnt = langid.learn(docs, allowed)
+    rows = docs.select("doc_id", "text", _fold(4, 2).alias("held_out"))
+    return langid.identify(rows, learnt, ("doc_id", "held_out"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    allowed = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
+    model = quality.train(docs, _table(spark, sf_dir, "labels"), allowed)
+    rows = docs.select("doc_id", "text", _fold(3, 1).alias("held_out"))
+    return quality.score(rows, model, ("doc_id", "held_out"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their source's target and the words that the mix takes of each."""
     return mixing.Mix(_table(spark, sf_dir, "documents")).taken()
@@ -37,12 +61,30 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a license notice."""
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose later copies of repeated line runs, with the documents that keep the first."""
+    gone = line_dedup.removals(_table(spark, sf_dir, "documents"))
+    return gone.select("doc_id", "first_doc_ids", F.size("removed").cast("long").alias("removed_lines"), "removed_words", "removed")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the class of near copies that each belongs to."""
     return near_dedup.near_duplicate_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_sharding, op5_quality_rules, op6_decontamination, op9_near_dedup)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back."""
+    path = new_path(spark, "warc")
+    warc.write_warc(_table(spark, sf_dir, "pages"), path)
+    return warc.page_table(warc.read_warc(spark, path))
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_quality, op3_mixing, op4_sharding, op5_quality_rules, op6_decontamination, op7_license_scan, op8_line_dedup, op9_near_dedup, op10_warc)}
 
 _OP3 = r"""
 WITH d AS (
@@ -92,4 +134,14 @@ f AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
 """
 
-ORACLE_SQL = {"op3_mixing": _OP3, "op5_quality_rules": _OP5}
+_OP10 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND (page_id < top OR page_id IS NULL AND top IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND (page_id < top OR page_id IS NULL AND top IS NOT NULL) THEN top END AS refers_to
+FROM m
+"""
+
+ORACLE_SQL = {"op10_warc": _OP10, "op3_mixing": _OP3, "op5_quality_rules": _OP5}

@@ -113,7 +113,7 @@ def _sign(batches):
                 flush()
                 bags, at, words = [], [], 0
         flush()
-        yield pd.DataFrame({"doc_id": b["doc_id"], "h1": b["h1"], "h2": b["h2"], "bands": pd.Series(keys, dtype=object)})
+        yield pd.DataFrame({"doc_id": b["doc_id"], "h1": b["h1"], "h2": b["h2"], "no_text": b["no_text"], "bands": pd.Series(keys, dtype=object)})
 
 
 def _members(batches):
@@ -204,8 +204,8 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, class_id, h1, h2`` for every row: the class is named by its least doc_id (h1, h2: hashes of the text)."""
     text = F.col("text")
-    keyed = docs.select("doc_id", "text", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"))
-    signed = materialise(keyed.mapInPandas(_sign, "doc_id long, h1 long, h2 long, bands array<long>"), "signatures")
+    keyed = docs.select("doc_id", "text", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), text.isNull().alias("no_text"))
+    signed = materialise(keyed.mapInPandas(_sign, "doc_id long, h1 long, h2 long, no_text boolean, bands array<long>"), "signatures")
     texts = signed.filter("bands IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")).filter("node IS NOT NULL")
     banded = materialise(texts.select("node", F.explode("bands").alias("bucket")), "bands")
     sets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x")).filter("n > 1")
@@ -220,12 +220,10 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> Dat
     tasks = dealt.join(bags, "node").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     roots = components(tasks.mapInPandas(_link(threshold), "a long, b long"))
     named = texts.select("h1", "h2", "node").join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("found"))
-    bare = signed.filter("bands IS NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("found"))
-    # xxhash64 leaves its seed unchanged for null, so a null text is told from others by text hashes of its own
-    none = signed.sparkSession.range(1).select(F.xxhash64(F.lit(None).cast("string")).alias("h1"), F.xxhash64(F.lit(7), F.lit(None).cast("string")).alias("h2"), F.lit(True).alias("null_text"))
+    bare = signed.filter("bands IS NULL AND NOT no_text").groupBy("h1", "h2").agg(F.min("doc_id").alias("found"))
     class_of = named.unionByName(bare)
-    rows = signed.select("doc_id", "h1", "h2").join(F.broadcast(none), ["h1", "h2"], "left").join(class_of, ["h1", "h2"], "left")
-    return rows.select("doc_id", F.when(F.col("null_text"), F.col("doc_id")).otherwise(F.col("found")).alias("class_id"), "h1", "h2")
+    held = signed.filter("NOT no_text").select("doc_id", "h1", "h2").join(class_of, ["h1", "h2"], "left").select("doc_id", F.col("found").alias("class_id"), "h1", "h2")
+    return held.unionByName(signed.filter("no_text").select("doc_id", F.col("doc_id").alias("class_id"), "h1", "h2"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -80,21 +81,25 @@ def segments(benchmark: DataFrame):
         yield block
 
 
+def _ids(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
+    """Vocabulary ids of a text's tokens, -1 for other tokens."""
+    words = tokens(text)
+    return np.fromiter(map(vocabulary.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+
+
 def _tokenise(vocabulary: dict[str, int]):
     size = len(vocabulary)
+    everything = np.ones(size, dtype=bool)
 
     def run(batches):
         frequency, cells = np.zeros(size, dtype=np.int64), 0
         for b in batches:
-            out = []
-            for t in b["text"]:
-                ids = np.array([vocabulary.get(w, -1) for w in tokens(t)], dtype=np.int32)
-                out.append(ids)
+            out = [_ids(t, vocabulary) for t in b["text"]]
+            for part in _portions(out):
+                ids, cell, owner, _ = _cells([d for _, d in part], everything)
+                cells += len(owner)
                 if len(ids):
-                    known = np.flatnonzero(ids >= 0)
-                    pairs = np.unique((known // CELL).astype(np.int64) * size + ids[known])
-                    frequency += np.bincount(pairs % size, minlength=size)
-                    cells += -(-len(ids) // CELL)
+                    frequency += np.bincount(np.unique(cell.astype(np.int64) * size + ids) % size, minlength=size)
             yield pd.DataFrame({"kind": 0, "doc_id": b["doc_id"], "ids": out, "counts": None})
         yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None], dtype="Int64"), "ids": None, "counts": [np.append(frequency, cells)]})
 
@@ -304,7 +309,7 @@ def _clean_udf(model: Model):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scanner, known = Scanner(model), model.segs.vocabulary
         for texts in batches:
-            found = scanner.find([np.array([known.get(w, -1) for w in tokens(t)], dtype=np.int32) for t in texts])
+            found = scanner.find([_ids(t, known) for t in texts])
             out = np.ones(len(texts), dtype=bool)
             out[[f[0] for f in found]] = False
             yield pd.Series(out)

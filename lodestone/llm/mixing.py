@@ -7,7 +7,8 @@ equal-token block of that source's shuffled documents, which repeat from the sta
 A target stops at ``max_repeats`` times its source's size; the excess goes to the other sources by
 weight.  Null text has no words; documents without words are in no block.  A null source is a source of
 its own.  Rows that agree in id, text and source are interchangeable, so reruns agree.  Sources are a
-configuration-sized set: their sums are held on the driver, and more than ``MAX_SOURCES`` is an error.
+configuration-sized set: their sums are held on the driver and broadcast, and more than ``MAX_SOURCES``
+(a table of a few MB) is an error.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ class Mix:
         self.tokens = [min(int(g), int(max_repeats * s)) for g, s in zip(self.goals, self.sizes, strict=True)]
         schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("skey", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("tokens", T.LongType())])
         table = self.spark.createDataFrame([(n, i, s, g, t) for i, (n, s, g, t) in enumerate(zip(self.names, self.sizes, self.goals, self.tokens, strict=True))], schema)
-        joined = sized.withColumn("sname", F.col("source")).drop("source").join(table, F.col("sname").eqNullSafe(F.col("source"))).drop("sname")
+        joined = sized.withColumn("sname", F.col("source")).drop("source").join(F.broadcast(table), F.col("sname").eqNullSafe(F.col("source"))).drop("sname")
         self.rows = joined
 
     def key(self):
@@ -108,7 +109,7 @@ class Mix:
         """The mix: ``slot, skey, doc_id, size, start, epoch, first, last`` — words first to last-1 of the document, in slot order."""
         ranked, counts = self.schedule()
         blocks = self.spark.createDataFrame([(i, c, t // c, t % c) for i, (t, c) in enumerate(zip(self.tokens, counts, strict=True)) if c], "skey int, k long, q long, rem long")
-        placed = self.offsets().join(blocks, "skey")
+        placed = self.offsets().join(F.broadcast(blocks), "skey")
         copies = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("tokens") / F.col("source_size")).cast("int") - 1))))
         copies = copies.withColumn("a", F.col("epoch") * F.col("source_size") + F.col("start")).filter("a < tokens").withColumn("z", F.least(F.col("a") + F.col("size"), F.col("tokens")))
         # the first rem blocks hold q + 1 words, the others q
@@ -133,7 +134,7 @@ class Mix:
         """Per source: name, whole passes, and the order key below which a document has one pass more."""
         passes = [t // s if s else 0 for t, s in zip(self.tokens, self.sizes, strict=True)]
         rests = self.spark.createDataFrame([(i, t - p * s) for i, (t, p, s) in enumerate(zip(self.tokens, passes, self.sizes, strict=True))], "skey int, rest long")
-        ends = {r.skey: r.k for r in self.offsets().join(rests, "skey").filter("start >= rest").groupBy("skey").agg(F.min("key").alias("k")).collect()}
+        ends = {r.skey: r.k for r in self.offsets().join(F.broadcast(rests), "skey").filter("start >= rest").groupBy("skey").agg(F.min("key").alias("k")).collect()}
         return [(n, p, ends.get(i, 1 << HASH_BITS)) for i, (n, p) in enumerate(zip(self.names, passes, strict=True))]
 
 
@@ -148,5 +149,5 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     names = docs.columns
     keyed = docs.withColumn("__key", mix.key()).filter(word_count(F.col("text")) > 0)
     copies = F.col("__passes") + (F.col("__key") < F.col("__end")).cast("long")
-    joined = keyed.join(table, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__n", copies).filter("__n > 0")
+    joined = keyed.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("__source"))).withColumn("__n", copies).filter("__n > 0")
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*names)

@@ -38,7 +38,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _stretches(lines: DataFrame, min_words: int) -> DataFrame:
     """Repeated lines within long enough stretches: ``s`` (stretch), ``i, line, id, words``, and ``m`` where a run of m lines has the words."""
-    often = lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
+    # written, so that the join shuffles anew and a very common line can be split
+    often = materialise(lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "repeated-ids")
     repeated = lines.join(often, "id")
     by_doc = Window.partitionBy("doc_id", "h").orderBy("i")
     numbered = repeated.withColumn("run", F.col("i") - F.row_number().over(by_doc))

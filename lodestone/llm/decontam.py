@@ -287,6 +287,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             scanner = Scanner(model)
             for b in batches:
                 found = scanner.find(b["ids"])
+                if not found:
+                    continue
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[[f[0] for f in found]].to_numpy(), "item_id": [f[1] for f in found], "cosine": [f[2] for f in found], "matched": [f[3] for f in found]})
 
         rows = toks.filter("kind = 0").select("doc_id", "ids").mapInPandas(search, "doc_id long, item_id long, cosine double, matched double")

@@ -143,6 +143,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
         scanner = Scanner(templates)
         for b in batches:
             found = scanner.find(b["text"])
+            if not found:
+                continue
             yield pd.DataFrame({"doc_id": b["doc_id"].iloc[[f[0] for f in found]].to_numpy(), "license": [scanner.names[f[1]] for f in found], "containment": [f[2] for f in found], "window_start": [f[3] for f in found]})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, license string, containment double, window_start long")

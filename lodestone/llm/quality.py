@@ -3,7 +3,7 @@
 The model minimises the non-negative unbiased risk: the prior times the loss of trusted positives as
 positive, plus the loss of unlabelled text as negative less the positives' part of it, which is kept from falling
 below zero.  The class prior is estimated from the labelled training rows where both classes are
-labelled, else from the upper tail of the density ratio between positives and unlabelled text.
+labelled, else from how well positives can be told from unlabelled text (the two samples weighing the same).
 
 A document is described by scale-free measures of its whole text, each split at the sample's quantiles,
 so the additive model can follow any single-measure shape.  Fitting uses a sample of about
@@ -101,15 +101,15 @@ def _descend(gradient, width: int) -> tuple[np.ndarray, float]:
 
 
 def density_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """The prior as one over the upper tail of the density ratio of positives to unlabelled rows."""
+    """The prior from the mean probability of being a trusted positive, over the trusted positives themselves."""
 
     def gradient(w, b):
         ep, eu = _sigmoid(p @ w + b) - 1, _sigmoid(u @ w + b)
         return np.append(p.T @ ep / len(p) + u.T @ eu / len(u), ep.mean() + eu.mean())
 
     w, b = _descend(gradient, p.shape[1])
-    g = _sigmoid(p @ w + b)
-    return float(np.clip(1 / np.quantile(g / np.maximum(1 - g, 1e-6), 0.95), 0.02, 0.98))
+    g = _sigmoid(p @ w + b).mean()
+    return float(np.clip((1 - g) / g, 0.02, 0.98))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> Model:

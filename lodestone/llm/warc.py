@@ -110,6 +110,8 @@ class WarcReader(DataSourceReader):
         return [_File(prefix + f.path) for f in found if f.type == pafs.FileType.File and f.size and f.base_name[0] not in "._"]
 
     def read(self, partition):
+        if partition is None:  # no files
+            return
         system, path = _open(partition.path)
         rows: list[tuple] = []
         held = 0

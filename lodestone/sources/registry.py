@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lodestone.operators.position import sample_exact, with_position
 
 SOURCES: dict[str, type[Source]] = {}
-_DATASET = re.compile(r"snow://dataset/([A-Za-z_][\w.$]*)/versions/([\w.\-]+)")
+_DATASET = re.compile(r"\w+://dataset/([A-Za-z_][\w.$]*)/versions/([\w.\-]+)")
 
 
 @dataclass
@@ -38,7 +38,7 @@ class Config:
     def __post_init__(self):
         if self.sample_ratio is not None and self.sample_count is not None:
             raise ValueError("sample_ratio and sample_count exclude each other")
-        if self.name and ":" in self.name and not self.name.startswith("snow:"):
+        if self.name and ":" in self.name and "://" not in self.name and not self.name.startswith(("/", "file:")):
             self.name, self.split = self.name.split(":", 1)
 
     def key(self, **more) -> str:

@@ -87,8 +87,8 @@ def pair_batches(pairs: DataFrame, batch: int, rows: int) -> DataFrame:
 def suffix_lookup(texts: DataFrame, bodies: DataFrame) -> DataFrame:
     """For each ``text`` the ``body`` that is greatest, reversed, among those not above the reversed text, if the text ends with it.
 
-    An as-of join by one union and a running last value; the sorted order is cut by the first reversed
-    character, and each cut also carries the greatest body of the cuts before it.
+    An as-of join by one union and a running last value, within each first reversed character: a body with
+    another one could not be a suffix, so the result is the same.
     """
     a = texts.select("text_id", "text", F.reverse("text").alias("k"), F.lit(1).alias("side"), F.lit(None).cast("string").alias("body"))
     b = bodies.select(F.lit(None).cast("long").alias("text_id"), F.lit(None).cast("string").alias("text"), F.reverse("body").alias("k"), F.lit(0).alias("side"), "body")

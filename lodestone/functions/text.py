@@ -99,3 +99,50 @@ def dot(a: Column, b: Column) -> Column:
 def unit(v: Column) -> Column:
     """L2-normalised; null components for a zero vector."""
     return F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.transform(v, lambda x: F.try_divide(x.cast("double"), n)))[0]
+
+
+def sql_words(spark) -> list[str]:
+    """All words of the session's SQL grammar, in upper case."""
+    return sorted(r[0].upper() for r in spark.sql("SELECT keyword FROM sql_keywords()").collect())
+
+
+def quoted(name: Column, reserved: list[str]) -> Column:
+    """An identifier, in backticks if it is one of the reserved words or has other marks than letters, digits and underscores."""
+    odd = F.upper(name).isin(*reserved) | name.rlike("[^a-zA-Z0-9_]")
+    return F.when(odd, F.concat(F.lit("`"), name, F.lit("`"))).otherwise(name)
+
+
+def fenced_sql_or_empty(message: Column) -> Column:
+    """The last fenced SQL block, empty without one."""
+    return F.coalesce(fenced_sql(message), F.lit(""))
+
+
+def common_substring_ratio(value: Column, question: Column) -> Column:
+    """Length of the longest run of ``value`` inside ``question``, by the length of ``value``; case is ignored, 0 for nothing."""
+    v, q = F.lower(value), F.lower(question)
+    n = F.length(v)
+    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    # the longest run from each start: a longer one is in the question only if the shorter is
+    longest = F.array_max(F.transform(starts, lambda i: F.aggregate(starts, F.lit(0), lambda m, k: F.when((i + k - 1 <= n) & (k == m + 1) & q.contains(v.substr(i, k)), k).otherwise(m))))
+    return F.when(n > 0, longest / n).otherwise(0.0)
+
+
+def filled_id(value: Column, text: Column) -> Column:
+    """The id, or one made of the text's hash where it is missing."""
+    return F.coalesce(value.cast("string"), F.concat(F.lit("__MISSING_ID__"), F.substring(F.md5(text), 1, 16)))
+
+
+def human_count(value: Column) -> Column:
+    """A count with one decimal, decimal halves rounded up, and its scale: K, M, B, T."""
+    scaled = F.when(value < 1e3, F.format_string("%.1f", value.cast("double")))
+    for size, mark in ((1e3, "K"), (1e6, "M"), (1e9, "B")):
+        scaled = scaled.when(value < size * 1e3, F.format_string(f"%.1f{mark}", value / size))
+    return scaled.otherwise(F.format_string("%.1fT", value / 1e12))
+
+
+def streamed_content(body: Column, status: Column) -> Column:
+    """The joined message contents of a streamed response, one JSON chunk a line; empty unless the status is 200."""
+    chunks = F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(F.trim(x), "^data: ", ""))
+    live = F.filter(chunks, lambda x: ~x.isin("", "[DONE]"))
+    parts = F.transform(live, lambda x: F.coalesce(F.get_json_object(x, "$.choices[0].message.content"), F.lit("")))
+    return F.when(status == 200, F.array_join(parts, "")).otherwise("")

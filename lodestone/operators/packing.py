@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.position import running_total
+
 
 def next_fit(df: DataFrame, limit: int, always_max_length: bool = False, drop_last: bool = False) -> DataFrame:
     """Add ``pack``: rows in order; a pack is closed when it exceeds the limit, or (by default) when the next row would.
@@ -64,8 +66,7 @@ def repeat_to_fill(df: DataFrame, limit: int) -> DataFrame:
         return df.withColumn("copy", F.lit(0))
     times = max(1, limit // total)
     whole = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-    upto = F.sum("length").over(Window.partitionBy(F.lit(0)).orderBy("pos"))
-    prefix = df.withColumn("__u", upto).filter(F.col("__u") <= limit - times * total).drop("__u").withColumn("copy", F.lit(times))
+    prefix = running_total(df, "length", "pos", out="__u").filter(F.col("__u") <= limit - times * total).drop("__u").withColumn("copy", F.lit(times))
     return whole.unionByName(prefix)
 
 

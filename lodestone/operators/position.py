@@ -22,6 +22,15 @@ def with_position(df: DataFrame, *order: str, out: str = "pos") -> DataFrame:
     return ranged.withColumn("__i", inside).join(F.broadcast(offsets), "__part").withColumn(out, (F.col("__o") + F.col("__i")).cast("long")).drop("__part", "__o", "__i")
 
 
+def running_total(df: DataFrame, value: str, *order: str, out: str = "upto") -> DataFrame:
+    """Add the sum of ``value`` up to and with the row, in the order of the given columns; only partition sums are accumulated."""
+    ranged = materialise(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "totals")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("__part").agg(F.sum(value).alias("__s")).select("__part", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__o"))
+    inside = F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("__i", inside).join(F.broadcast(offsets), "__part").withColumn(out, F.col("__o") + F.col("__i")).drop("__part", "__o", "__i")
+
+
 def shuffled_position(df: DataFrame, key: str, seed: int = 42, out: str = "pos") -> DataFrame:
     """Add the row's place in a seeded shuffle, the order of a hash of seed and key."""
     keyed = materialise(df.withColumn("__key", order_hash(F.lit(seed), F.col(key))).withColumn("__one", F.lit(1).cast("long")).withColumn("__all", F.lit(0)), "shuffled")
@@ -63,6 +72,24 @@ def proportional_slice(rows: int, shard: int, shards: int) -> tuple[int, int]:
     return shard * rows // shards, (shard + 1) * rows // shards
 
 
+def even_part(rows: int, parts: int) -> Column:
+    """The part of a positioned row when ``rows`` are cut into ``parts`` runs, the remainder spread over the first ones."""
+    each, extra = divmod(rows, parts)
+    head = extra * (each + 1)
+    late = extra + F.floor((F.col("pos") - head) / max(each, 1))
+    return F.when(F.col("pos") < head, F.floor(F.col("pos") / (each + 1))).otherwise(late).cast("int")
+
+
+def dense_ids(df: DataFrame, key: str, out: str) -> DataFrame:
+    """Add dense 0-based ids of the distinct keys in sorted order."""
+    return df.join(with_position(df.select(key).distinct(), key, out=out), key)
+
+
+def zip_rows(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Rows of two tables side by side, each in the order of its key; the longer table's rest is left out."""
+    return with_position(left, left_key).join(with_position(right, right_key), "pos")
+
+
 def assign_ranks(df: DataFrame, world: int, micro: int, rows: int) -> DataFrame:
     """Rank and batch of each row of a positioned table, padded by wrap-around to a multiple of ``world``; short batches are dropped."""
     per_rank = -(-rows // world)
@@ -82,3 +109,8 @@ def repeat_rows(df: DataFrame, times: int, rows: int) -> DataFrame:
 def chunk_of(size: int) -> Column:
     """The chunk of a row by position."""
     return F.floor(F.col("pos") / size)
+
+
+def fill_iterations(df: DataFrame, rows: int, wanted: int) -> DataFrame:
+    """The positioned table repeated whole and cut to ``wanted`` rows; a table that is long enough stays as it is."""
+    return df if rows >= wanted else repeat_rows(df, -(-wanted // rows), rows).filter(F.col("pos") < wanted)

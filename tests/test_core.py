@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from lodestone import catalog
 from lodestone.functions import messages as M
+from lodestone.functions import sequences as S
+from lodestone.functions import text as X
 from lodestone.functions.text import human_number, normalised
-from lodestone.operators import evaluation, packing, position
+from lodestone.operators import evaluation, packing, position, relational
 from lodestone.plans.factory import build, causal
 from lodestone.sources.registry import Config, parse_split, resolve, slice_bounds
 from lodestone.streaming.windows import event_windows, follow
@@ -88,6 +90,36 @@ def test_numbers_and_text(spark):
     assert [r[0] for r in df.select(normalised("t")).collect()] == ["café & x", None]
 
 
+def test_strings_and_sequences(spark):
+    df = spark.createDataFrame([(999, "", "abc"), (101_850, "XbcX", "abc"), (2_500_000, "é", "Éa"), (7 * 10**12, None, "a")], "n long, v string, q string")
+    rows = df.select(X.human_count(F.col("n")).alias("h"), F.round(X.common_substring_ratio(F.col("v"), F.col("q")), 3).alias("r")).collect()
+    assert [tuple(r) for r in rows] == [("999.0", 0.0), ("101.9K", 0.5), ("2.5M", 1.0), ("7.0T", 0.0)]
+    one = spark.createDataFrame([([1, 2, 3], [1, 9, 3, 4], [8, 9, 3])], "a array<int>, b array<int>, c array<int>")
+    assert tuple(one.select(S.prompts_agree(F.col("a"), F.col("b")), S.prompts_agree(F.col("a"), F.col("c"))).first()) == (True, False)
+    with pytest.raises(Exception, match="differ"):
+        one.select(S.aligned(F.col("a"), F.col("a"), F.col("c"))).collect()
+    with pytest.raises(Exception, match="no output tokens"):
+        one.select(S.first_given(F.lit(None).cast("array<int>"))).collect()
+    assert one.select(S.label_log_prob(F.col("a"), F.lit(-100))).first()[0] is None
+
+
+def test_lookup_and_marks(spark):
+    a = spark.createDataFrame([(1,), (2,), (2,)], "k int")
+    b = spark.createDataFrame([(2, "x")], "k int, v string")
+    with pytest.raises(KeyError):
+        relational.lookup(a, b, "k")
+    assert relational.lookup(a.filter("k = 2"), b, "k").count() == 2
+    assert sorted(r.seen for r in relational.mark(a, b, ["k"], "seen").collect()) == [False, True, True]
+    rows = spark.createDataFrame([(0, 0, "a"), (0, 1, "b"), (0, 2, "a"), (1, 5, "z")], "item int, candidate int, value string")
+    assert sorted(map(tuple, relational.soft_vote(rows).collect())) == [(0, 0, 2.0), (1, 5, 1.0)]
+
+
+def test_even_parts(spark):
+    pos = spark.range(10).withColumnRenamed("id", "pos")
+    assert [r[0] for r in pos.orderBy("pos").select(position.even_part(10, 4)).collect()] == [0, 0, 0, 1, 1, 1, 2, 2, 3, 3]
+    assert [r[0] for r in pos.filter("pos < 2").orderBy("pos").select(position.even_part(2, 4)).collect()] == [0, 1]
+
+
 def test_sources(spark):
     assert parse_split("train[:20]", {"train": "train_sft"}) == ("train_sft", ":20")
     assert slice_bounds("10%:20%", 50) == (5, 10)

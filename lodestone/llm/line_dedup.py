@@ -88,7 +88,8 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = materialise(_lines(docs), "lines")
     suffixes = materialise(suffix_intervals(lines, min_words), "intervals")
     place = F.struct("doc_id", "h", "i")
-    firsts = suffixes.groupBy("m", "a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # written, so that the join shuffles anew and an interval of very many suffixes can be split
+    firsts = materialise(suffixes.groupBy("m", "a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "firsts")
     later = suffixes.join(firsts, ["m", "a", "b"]).filter(~place.eqNullSafe(F.col("first")))
     gone = later.select("doc_id", "h", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("m") - 1)).alias("i"), F.col("first.doc_id").alias("kept")).distinct()
     here = lines.select("doc_id", "h", "i", "line", "words")

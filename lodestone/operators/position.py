@@ -31,6 +31,17 @@ def running_total(df: DataFrame, value: str, *order: str, out: str = "upto") ->
     return ranged.withColumn("__i", inside).join(F.broadcast(offsets), "__part").withColumn(out, F.col("__o") + F.col("__i")).drop("__part", "__o", "__i")
 
 
+def running_last(df: DataFrame, value: str, *order: str, out: str) -> DataFrame:
+    """Add the last non-null ``value`` up to and with the row, in the order of the given columns; one value a partition is carried over."""
+    ranged = materialise(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "lasts")
+    ends = ranged.filter(F.col(value).isNotNull()).groupBy("__part").agg(F.max_by(value, F.struct(*order)).alias("__e"))
+    parts = ranged.select("__part").distinct().join(ends, "__part", "left")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select("__part", F.last("__e", ignorenulls=True).over(before).alias("__c"))
+    inside = F.last(value, ignorenulls=True).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("__i", inside).join(F.broadcast(carried), "__part").withColumn(out, F.coalesce("__i", "__c")).drop("__part", "__i", "__c")
+
+
 def shuffled_position(df: DataFrame, key: str, seed: int = 42, out: str = "pos") -> DataFrame:
     """Add the row's place in a seeded shuffle, the order of a hash of seed and key."""
     keyed = materialise(df.withColumn("__key", order_hash(F.lit(seed), F.col(key))).withColumn("__one", F.lit(1).cast("long")).withColumn("__all", F.lit(0)), "shuffled")

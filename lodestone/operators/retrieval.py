@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import dot, unit
+from lodestone.operators.position import running_last
 from lodestone.plans.running import order_hash
 
 QUERY_BLOCK = 4096
@@ -87,15 +88,13 @@ def pair_batches(pairs: DataFrame, batch: int, rows: int) -> DataFrame:
 def suffix_lookup(texts: DataFrame, bodies: DataFrame) -> DataFrame:
     """For each ``text`` the ``body`` that is greatest, reversed, among those not above the reversed text, if the text ends with it.
 
-    An as-of join by one union and a running last value, within each first reversed character: a body with
-    another one could not be a suffix, so the result is the same.
+    An as-of join by one union of distinct texts and bodies, range-partitioned, and a running last value.
     """
-    a = texts.select("text_id", "text", F.reverse("text").alias("k"), F.lit(1).alias("side"), F.lit(None).cast("string").alias("body"))
-    b = bodies.select(F.lit(None).cast("long").alias("text_id"), F.lit(None).cast("string").alias("text"), F.reverse("body").alias("k"), F.lit(0).alias("side"), "body")
-    rows = a.unionByName(b).withColumn("head", F.substring("k", 1, 1))
-    inside = Window.partitionBy("head").orderBy("k", "side").rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.withColumn("near", F.last("body", ignorenulls=True).over(inside)).filter("side = 1")
-    return found.select("text_id", F.when(F.col("text").endswith(F.col("near")), F.col("near")).alias("body"))
+    a = texts.select("text").distinct().select("text", F.reverse("text").alias("k"), F.lit(1).alias("side"), F.lit(None).cast("string").alias("body"))
+    b = bodies.select("body").distinct().select(F.lit(None).cast("string").alias("text"), F.reverse("body").alias("k"), F.lit(0).alias("side"), "body")
+    found = running_last(a.unionByName(b), "body", "k", "side", out="near").filter("side = 1")
+    ends = found.select("text", F.when(F.col("text").endswith(F.col("near")), F.col("near")).alias("body"))
+    return texts.join(ends, "text", "left").select("text_id", "body")
 
 
 def info_nce(scores: DataFrame, temperature: float) -> DataFrame:

@@ -140,3 +140,40 @@ def n8_gather(spark, d):
 def n5_preference_loss(spark, d):
     gap = F.col("embedding")[0].cast("double") - F.col("embedding")[1].cast("double")
     return load(spark, d, "embeddings").select("vec_id", F.round(F.log1p(F.exp(-0.1 * gap)), 6).alias("loss"))
+
+
+_HASH60 = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+
+
+@query(f"""WITH p AS (SELECT u.text AS q, a.text AS d FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')
+SELECT DISTINCT {_HASH60.format('q')} AS "QUERY_ID", {_HASH60.format('d')} AS "DOCUMENT_ID", q AS "QUERY_TEXT", d AS "DOCUMENT_TEXT" FROM p""")
+def s28_question_answers(spark, d):
+    from lodestone.sources.corpora import question_answers
+
+    turns = load(spark, d, "conversations")
+    asked = turns.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("query"))
+    pairs = asked.join(turns.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer")), ["conv_id", "turn"])
+    t = question_answers(pairs)
+    return t["labels"].join(t["queries"], "QUERY_ID").join(t["documents"], "DOCUMENT_ID")
+
+
+@query("""WITH d AS (SELECT doc_id, CASE WHEN trim(source) IN ('', '-') THEN text ELSE source || chr(10) || text END AS t FROM documents),
+k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS kept FROM d)
+SELECT DISTINCT quality AS "QUERY_ID", kept AS "DOCUMENT_ID" FROM labels JOIN k USING (doc_id)""")
+def s28_passages(spark, d):
+    from lodestone.sources.corpora import passages
+
+    corpus = load(spark, d, "documents").select(F.col("doc_id").alias("docid"), F.col("source").alias("title"), "text")
+    grouped = load(spark, d, "labels").groupBy(F.col("quality").alias("query_id")).agg(F.collect_list(F.struct(F.col("doc_id").alias("docid"))).alias("positive_passages"))
+    return passages(corpus, grouped.withColumn("query", F.col("query_id").cast("string")))["labels"]
+
+
+@query("""WITH p AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_name || ' the body of ' || s_suppkey, s_name || ' the body of 0') - 1 AS pos FROM supplier WHERE s_suppkey > 0)
+SELECT (2 * pos + u)::BIGINT AS "QUERY_ID", CASE WHEN u = 0 THEN s_name || ' the' ELSE s_name || ' the' END AS "QUERY_TEXT" FROM p JOIN supplier USING (s_suppkey), (SELECT unnest([0, 1]) AS u)""")
+def s28_duplicate_questions(spark, d):
+    from lodestone.sources.corpora import duplicate_questions
+
+    s = load(spark, d, "supplier").filter("s_suppkey > 0")
+    joined = lambda n: F.concat("s_name", F.lit(" the "), F.lit("body of "), n.cast("string"))
+    bodies = s.select(F.concat(F.lit("body of "), F.col("s_suppkey").cast("string")).alias("body")).unionByName(spark.createDataFrame([("body of 0",)], "body string"))
+    return duplicate_questions(s.select(joined(F.col("s_suppkey")).alias("a"), joined(F.lit(0)).alias("b")), bodies)["queries"]

@@ -10,9 +10,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import warnings
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,6 +180,49 @@ class SqlSource(Source):
         return df.limit(o["limit"]) if o.get("limit") is not None else df
 
 
+class FolderSource(Source):
+    """All child folders of a folder one after the other, columns by name; ``skip_unreadable`` leaves out what cannot be read."""
+
+    name = "folders"
+
+    def read(self, spark):
+        options = dict(self.config.options)
+        form, skip = options.pop("format", "parquet"), options.pop("skip_unreadable", True)
+        top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.config.name)
+        found = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(top)
+        frames = []
+        for path in sorted(f.getPath().toString() for f in found if f.isDirectory()):
+            try:
+                frames.append(spark.read.format(form).options(**options).load(path))
+            except AnalysisException as e:
+                if not skip:
+                    raise
+                warnings.warn(f"left out {path}: {e.getCondition()}", stacklevel=2)
+        if not frames:
+            raise ValueError(f"nothing to read below {self.config.name}")
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+class InstructSource(FileSource):
+    """Chat messages by role from files: ``role_fields`` (role to path), or those known for ``dataset``."""
+
+    name = "instruct"
+
+    def read(self, spark):
+        options = {k: v for k, v in self.config.options.items() if k not in ("role_fields", "dataset")}
+        form = options.pop("format", "parquet")
+        return spark.read.format(form).options(**options).load(self.config.name)
+
+    def process(self, df):
+        from lodestone.sources.corpora import ROLE_FIELDS, instruct_messages
+
+        o = self.config.options
+        roles = o.get("role_fields") or ROLE_FIELDS.get(o.get("dataset"))
+        if not roles:
+            raise ValueError("give role_fields or the name of a known dataset")
+        return instruct_messages(df, roles).select("messages").filter(F.size("messages") > 0)
+
+
 def resolve(config: str | dict | Config) -> Source:
     """A source from a file path, a dictionary or a configuration."""
     if isinstance(config, str):

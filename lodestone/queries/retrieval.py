@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.catalog import load, query
 from lodestone.functions.text import dot, unit
-from lodestone.operators import position, retrieval
+from lodestone.operators import position, retrieval, tensors
 
 _V = "(SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings)"
 _S = f"""s0 AS (SELECT q.vec_id AS query_id, d.vec_id AS document_id, q.label = d.label AS hit,
@@ -127,8 +127,7 @@ def n6_top_k_gating(spark, d):
 
 @query(f"WITH {_GATE} SELECT i AS expert, vec_id AS token, (row_number() OVER (PARTITION BY i ORDER BY vec_id) - 1)::BIGINT AS slot FROM t WHERE r <= 2")
 def n7_scatter(spark, d):
-    slot = F.row_number().over(Window.partitionBy("i").orderBy("vec_id")) - 1
-    return _gates(spark, d).select(F.col("i").alias("expert"), F.col("vec_id").alias("token"), slot.cast("long").alias("slot"))
+    return tensors.expert_slots(_gates(spark, d).select(F.col("i").alias("expert"), F.col("vec_id").alias("token")))
 
 
 @query(f"WITH {_GATE} SELECT vec_id AS token, round(sum(p * (i + 1)), 5) AS y FROM t WHERE r <= 2 GROUP BY vec_id")
@@ -177,3 +176,37 @@ def s28_duplicate_questions(spark, d):
     joined = lambda n: F.concat("s_name", F.lit(" the "), F.lit("body of "), n.cast("string"))
     bodies = s.select(F.concat(F.lit("body of "), F.col("s_suppkey").cast("string")).alias("body")).unionByName(spark.createDataFrame([("body of 0",)], "body string"))
     return duplicate_questions(s.select(joined(F.col("s_suppkey")).alias("a"), joined(F.lit(0)).alias("b")), bodies)["queries"]
+
+
+_COS = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) / sqrt(list_sum(list_transform({a}, lambda y: y::DOUBLE * y::DOUBLE)) * list_sum(list_transform({b}, lambda y: y::DOUBLE * y::DOUBLE)))"
+_NCE = """n{k} AS (SELECT query_id, sum(exp({s} / 0.5::DOUBLE)) AS others FROM c WHERE NOT hit GROUP BY query_id),
+l{k} AS (SELECT c.query_id, c.document_id, ln(exp({s} / 0.5::DOUBLE) + coalesce(others, 0)) - {s} / 0.5::DOUBLE AS loss FROM c LEFT JOIN n{k} USING (query_id) WHERE hit)"""
+
+
+@query(f"""WITH p AS (SELECT q.vec_id AS query_id, d.vec_id AS document_id, q.label = d.label AS hit, q.embedding AS a, d.embedding AS b FROM embeddings q JOIN embeddings d ON d.vec_id // 10 = q.vec_id // 10 AND d.vec_id <> q.vec_id WHERE q.vec_id % 10 = 0),
+c AS (SELECT query_id, document_id, hit, {_COS.format(a='a', b='b')} AS s, {_COS.format(a='a[1:16]', b='b[1:16]')} AS t FROM p),
+{_NCE.format(k=1, s='s')}, {_NCE.format(k=2, s='t')}
+SELECT query_id, document_id, round(0.75::DOUBLE * l1.loss + 0.25::DOUBLE * l2.loss, 5) AS loss FROM l1 JOIN l2 USING (query_id, document_id)""")
+def n3_truncated_info_nce(spark, d):
+    e = load(spark, d, "embeddings").withColumn("g", F.floor(F.col("vec_id") / 10))
+    q = e.filter("vec_id % 10 = 0").select("g", F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("a"))
+    pairs = q.join(e.select("g", F.col("vec_id").alias("document_id"), F.col("embedding").alias("document_vector"), F.col("label").alias("b")), "g").filter("query_id <> document_id")
+    scored = pairs.withColumn("relevance", F.when(F.col("a") == F.col("b"), 1).otherwise(-1))
+    return tensors.truncated_info_nce(scored, 16, 0.25, 0.5).select("query_id", "document_id", F.round("loss", 5).alias("loss"))
+
+
+@query("""WITH t AS (SELECT vec_id // 25 AS seq, vec_id % 25 AS pos, (vec_id % 25) // 4 AS own, embedding AS e FROM embeddings),
+m AS (SELECT seq, own AS block, i, avg(x) AS m FROM (SELECT seq, own, unnest(range(0, 64)) AS i, unnest(e)::DOUBLE AS x FROM t) GROUP BY ALL),
+k AS (SELECT seq, block, list(m ORDER BY i) AS mean FROM m GROUP BY ALL),
+g AS (SELECT t.seq, pos, block, list_sum(list_transform(list_zip(e, mean), lambda z: z[1]::DOUBLE * z[2])) AS gate FROM t JOIN k ON k.seq = t.seq AND k.block < t.own)
+SELECT seq, pos, block FROM (SELECT *, row_number() OVER (PARTITION BY seq, pos ORDER BY round(gate, 9) DESC, block) AS r FROM g) WHERE r < 3 UNION ALL SELECT seq, pos, own FROM t""")
+def n10_block_gates(spark, d):
+    e = load(spark, d, "embeddings")
+    tokens = e.select(F.floor(F.col("vec_id") / 25).alias("seq"), (F.col("vec_id") % 25).alias("pos"), F.col("embedding").alias("q"), F.col("embedding").alias("k"))
+    return tensors.block_gates(tokens, 4, 3)
+
+
+@query("SELECT o_custkey, round(sum(6.0::DOUBLE * 1e9::DOUBLE * n + 12.0::DOUBLE * 2048 * 16 * n * n) / 1e12::DOUBLE, 4) AS tera_ops FROM (SELECT o_custkey, floor(o_totalprice / 1000)::DOUBLE AS n FROM orders) GROUP BY o_custkey")
+def x25_training_ops(spark, d):
+    packed = load(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.floor(F.col("o_totalprice") / 1000)).alias("lengths"))
+    return packed.select("o_custkey", F.round(tensors.training_tera_ops(F.col("lengths"), 16, 2048, 10**9), 4).alias("tera_ops"))

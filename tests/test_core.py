@@ -7,7 +7,7 @@ from lodestone.functions import messages as M
 from lodestone.functions import sequences as S
 from lodestone.functions import text as X
 from lodestone.functions.text import human_number, normalised
-from lodestone.operators import evaluation, packing, position, relational
+from lodestone.operators import evaluation, packing, position, relational, tensors
 from lodestone.plans.factory import build, causal
 from lodestone.sources.registry import Config, parse_split, resolve, slice_bounds
 from lodestone.streaming.windows import event_windows, follow
@@ -114,6 +114,16 @@ def test_lookup_and_marks(spark):
     assert sorted(map(tuple, relational.soft_vote(rows).collect())) == [(0, 0, 2.0), (1, 5, 1.0)]
 
 
+def test_tensors(spark):
+    assert tensors.decoder_parameters(8, 100, 2, 4, 2, 16) == ((3 * 8 * 16 + 8 * 2 * 12) * 2 + 800, 8)
+    df = spark.createDataFrame([([10, 20], ["a", "b", "a"])], "n array<int>, t array<string>")
+    r = df.select(tensors.training_tera_ops(F.col("n"), 2, 8, 1000).alias("x"), tensors.training_tera_ops(F.col("n"), 2, 8, 1000, forward_only=True).alias("y"), tensors.hashed_embedding(F.col("t"), 8).alias("e")).first()
+    assert abs(r.x - (6 * 1000 * 30 + 12 * 16 * 500) / 1e12) < 1e-15 and abs(r.y - (2 * 1000 * 30 + 2 * 16 * 500) / 1e12) < 1e-15
+    assert len(r.e) == 8 and abs(sum(v * v for v in r.e) - 1) < 1e-9
+    routed = spark.createDataFrame([(0, 5), (0, 3), (1, 3)], "expert int, token int")
+    assert sorted((x.expert, x.token, x.slot) for x in tensors.expert_slots(routed).collect()) == [(0, 3, 0), (0, 5, 1), (1, 3, 0)]
+
+
 def test_even_parts(spark):
     pos = spark.range(10).withColumnRenamed("id", "pos")
     assert [r[0] for r in pos.orderBy("pos").select(position.even_part(10, 4)).collect()] == [0, 0, 0, 1, 1, 1, 2, 2, 3, 3]

@@ -108,7 +108,8 @@ def sql_words(spark) -> list[str]:
 
 def quoted(name: Column, reserved: list[str]) -> Column:
     """An identifier, in backticks if it is one of the reserved words or has other marks than letters, digits and underscores."""
-    odd = F.upper(name).isin(*reserved) | name.rlike("[^a-zA-Z0-9_]")
+    words = F.split(F.lit("\n".join(reserved)), "\n")
+    odd = F.array_contains(words, F.upper(name)) | name.rlike("[^a-zA-Z0-9_]")
     return F.when(odd, F.concat(F.lit("`"), name, F.lit("`"))).otherwise(name)
 
 

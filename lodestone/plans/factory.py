@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import messages as M
+from lodestone.functions import sequences as S
 from lodestone.functions.messages import chat_text
 from lodestone.functions.text import token_ids
 from lodestone.operators import packing
@@ -41,6 +43,27 @@ def sft(chats: DataFrame, max_length: int) -> DataFrame:
     return ids.withColumn("labels", F.col("input_ids"))
 
 
+def preference(pairs: DataFrame, max_length: int, max_prompt: int, bos: int = 1, eos: int = 2, keep_end: bool = False) -> DataFrame:
+    """Token sequences of preference pairs: ``chosen_input_ids, chosen_labels, rejected_input_ids, rejected_labels`` beside the pairs' columns.
+
+    ``pairs`` holds the message lists ``prompt``, ``chosen`` and ``rejected``.  Each answer is tokenised with its
+    prompt; a merged token at the border is in neither.  Prompts get BOS, answers EOS, and both are truncated
+    together.  A pair whose two prompts disagree by more than the merged token is an error.
+    """
+    names = pairs.columns
+    rows = pairs.withColumn("__p", token_ids(chat_text(F.col("prompt"))))
+    for side in ("chosen", "rejected"):
+        rows = rows.withColumn(f"__w_{side}", token_ids(F.concat(chat_text(F.col("prompt")), chat_text(F.col(side)))))
+        whole, n = F.col(f"__w_{side}"), F.size("__p")
+        rows = rows.withColumn(f"__p_{side}", F.slice(whole, F.lit(1), M.boundary(F.col("__p"), whole)))
+        rows = rows.withColumn(f"__a_{side}", M.with_eos(F.slice(whole, n + 1, F.greatest(F.size(whole) - n, F.lit(0))), eos))
+    rows = rows.withColumn("__p_chosen", S.aligned(F.col("__p_chosen"), F.col("__p_chosen"), F.col("__p_rejected")))
+    for side, at in (("chosen", 1), ("rejected", 2)):
+        cut = M.pair_truncation(M.with_bos(F.col(f"__p_{side}"), bos), F.col("__a_chosen"), F.col("__a_rejected"), max_length, max_prompt, keep_end)
+        rows = rows.withColumn(f"{side}_input_ids", F.concat(cut[0], cut[at])).withColumn(f"{side}_labels", S.answer_labels(cut[0], cut[at]))
+    return rows.select(*names, *[f"{side}_{kind}" for side in ("chosen", "rejected") for kind in ("input_ids", "labels")])
+
+
 def build(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
     """``{"train": ..., "eval": ...}`` from ``sources``, ``eval_sources`` or ``train_eval_split``, and ``seed``."""
     shares = config.get("train_eval_split", (1.0, 0.0))

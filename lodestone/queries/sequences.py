@@ -125,10 +125,10 @@ def x5_quoted_identifiers(spark, d):
     return load(spark, d, "nation").select("n_nationkey", X.quoted(F.col("n_name"), words).alias("name"), X.quoted(F.lit("order"), words).alias("word"))
 
 
-@query("""WITH v AS (SELECT n_nationkey, r_regionkey, lower(n_name) AS v, lower(r_name) AS q FROM nation, region)
+@query("""WITH v AS (SELECT n_nationkey, r_regionkey, lower(n_name) AS v, lower(r_name) AS q FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT n_nationkey, r_regionkey, coalesce(max(k) / max(length(v))::DOUBLE, 0.0) AS ratio FROM (SELECT *, unnest(range(1, length(v) + 1)) AS i FROM v), LATERAL (SELECT unnest(range(0, length(v) - i + 2)) AS k) WHERE contains(q, substr(v, i, k)) GROUP BY ALL""")
 def x6_common_substring(spark, d):
-    pairs = load(spark, d, "nation").crossJoin(F.broadcast(load(spark, d, "region")))
+    pairs = load(spark, d, "nation").join(load(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return pairs.select("n_nationkey", "r_regionkey", X.common_substring_ratio(F.col("n_name"), F.col("r_name")).alias("ratio"))
 
 

@@ -6,9 +6,9 @@ from lodestone import catalog
 from lodestone.functions import messages as M
 from lodestone.functions import sequences as S
 from lodestone.functions import text as X
-from lodestone.functions.text import human_number, normalised
+from lodestone.functions.text import human_number, normalised, token_ids
 from lodestone.operators import evaluation, packing, position, relational, tensors
-from lodestone.plans.factory import build, causal
+from lodestone.plans.factory import build, causal, preference
 from lodestone.sources.registry import Config, parse_split, resolve, slice_bounds
 from lodestone.streaming.windows import event_windows, follow
 
@@ -154,6 +154,22 @@ def test_factory(spark):
     assert packs.count() > 0 and {len(r.input_ids) for r in packs.collect()} == {128}
 
 
+def test_preference_pairs(spark):
+    kind = "array<struct<role:string,content:string>>"
+    rows = [([("user", "what is it")], [("assistant", "a long answer of words")], [("assistant", "no")]), ([("user", "hi")], [("assistant", "b")], [("assistant", "c")])]
+    df = spark.createDataFrame(rows, f"prompt {kind}, chosen {kind}, rejected {kind}")
+    texts = df.select(token_ids(M.chat_text(F.col("prompt"))), token_ids(F.concat(M.chat_text(F.col("prompt")), M.chat_text(F.col("chosen")))), token_ids(F.concat(M.chat_text(F.col("prompt")), M.chat_text(F.col("rejected")))))
+    for limit, most in ((1000, 500), (22, 6)):
+        found = preference(df, limit, most, bos=-1, eos=-2).collect()
+        for r, (p, c, j) in zip(found, texts.collect(), strict=True):
+            answers = [w[len(p) :] + [-2] for w in (c, j)]
+            longest, prompt = max(map(len, answers)), [-1, *p]
+            prompt = prompt[:most] if len(prompt) + longest > limit else prompt
+            answers = [a[: limit - most] if len(prompt) + longest > limit else a for a in answers]
+            assert [r.chosen_input_ids, r.rejected_input_ids] == [prompt + a for a in answers]
+            assert [r.chosen_labels, r.rejected_labels] == [[-100] * len(prompt) + a for a in answers]
+
+
 def test_guarded_sql(spark):
     assert evaluation.guarded(spark, "SELECT 1 AS x") == ([(1,)], None)
     assert evaluation.guarded(spark, "DROP TABLE x")[0] is None

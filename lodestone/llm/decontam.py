@@ -5,9 +5,13 @@ all documents; the vocabulary is the benchmark's, since no other term can add to
 and terms in more than ``MAX_SHARE`` of the cells weigh nothing unless they are among the rarest of a
 segment.  A randomised SVD of the cells, distributed as per-task partial products summed by term block,
 gives the latent space.  Every passage of two neighbouring cells is compared with every item segment there
-(a stated query set against all rows, in blocks); pairs above the cosine threshold are then decided by
+(a stated query set against all rows, in blocks).  A latent space of fixed rank loses pairs as the benchmark
+grows, so a second route adds every pair that could be accepted: an accepted passage lacks only so many of
+a segment's terms, so it holds a stated number of the rarest ones, which postings count (``tests_of``).
+The pairs of either route are then decided by
 the longest common subsequence of their tokens, and, where that is only partial, by the answer terms:
-those of the ``answer`` column if the benchmark has one, else the segment's rarest third.
+those of the ``answer`` column if the benchmark has one, else the segment's rarest third.  What is found thus
+depends on this decision alone, not on the rank or the cosine threshold.
 
 Items are cut into segments of at most 32 tokens, so a passage holds any segment whole, and a match of any segment counts.  A benchmark
 is read in blocks of ``ITEMS_AT_ONCE`` items, so its size is not bounded.  Null or empty documents and items never
@@ -32,7 +36,10 @@ from lodestone.plans.scratch import materialise
 CELL, SEGMENT, MIN_TOKENS = 32, 32, 5
 RANK, SEED = 96, 42
 MAX_SHARE, RAREST = 0.002, 5
-COSINE, WHOLE, PART, ANSWER = 0.4, 0.8, 0.6, 0.6
+COSINE, WHOLE, PART, ANSWER, SURE = 0.4, 0.8, 0.6, 0.6, 0.95
+#: Terms of a test beyond those that an accepted passage may lack: a cost, not a limit.
+SPARE = 4
+PAIRS_AT_ONCE = 2_000_000
 ITEMS_AT_ONCE = 5_000
 TOKENS_AT_ONCE = 100_000
 TERMS_PER_BLOCK = 64
@@ -180,6 +187,25 @@ class Model:
     items: np.ndarray  # unit vector of each segment
     rare: list[list[int]]
     given: list[bool]
+    tests: list[tuple[list[int], int]]  # two of each segment
+
+
+def _least(n: int, share: float) -> int:
+    """The least count whose share of ``n`` reaches ``share``."""
+    return next(k for k in range(n + 1) if k / n >= share)
+
+
+def tests_of(ids: list[int], rare: list[int], given: bool, frequency: np.ndarray) -> list[tuple[list[int], int]]:
+    """Terms and the number of them that a passage holds; an accepted passage passes one of the two at least.
+
+    A passage is accepted for the share of the segment's tokens in it, or for that of the answer terms.
+    """
+    out = []
+    for terms, share in ((ids, SURE if given else WHOLE), (rare, ANSWER)):
+        lacking = len(terms) - _least(len(terms), share)
+        listed = sorted(set(terms), key=lambda t: (frequency[t], t))[: lacking + SPARE]
+        out.append((listed, max(1, len(listed) - lacking)))
+    return out
 
 
 def fit(toks: DataFrame, segs: Segments, rank: int = RANK) -> Model:
@@ -206,7 +232,9 @@ def fit(toks: DataFrame, segs: Segments, rank: int = RANK) -> Model:
     items = np.array([terms[i].sum(axis=0) for i in segs.ids])
     items /= np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-12)
     rare = [a or sorted(set(i), key=lambda t: (-weights[t], t))[: max(3, len(set(i)) // 3)] for i, a in zip(segs.ids, segs.answers, strict=True)]
-    return Model(segs, terms, items.astype(np.float32), rare, [a is not None for a in segs.answers])
+    given = [a is not None for a in segs.answers]
+    tests = [t for i, r, g in zip(segs.ids, rare, given, strict=True) for t in tests_of(i, r, g, frequency)]
+    return Model(segs, terms, items.astype(np.float32), rare, given, tests)
 
 
 def subsequence(masks: dict[int, int], n: int, words) -> int:
@@ -233,6 +261,34 @@ class Scanner:
             self.masks.append(mask)
             self.sets.append(frozenset(ids))
         self.live = np.abs(model.terms).max(axis=1) > 0
+        term = np.array([t for terms, _ in model.tests for t in terms])
+        self.posting = np.repeat(np.arange(len(model.tests)), [len(terms) for terms, _ in model.tests])[np.argsort(term, kind="stable")]
+        self.postings = np.bincount(term, minlength=len(model.terms))
+        self.first = np.cumsum(self.postings) - self.postings
+        self.needed = np.array([n for _, n in model.tests])
+
+    def exact(self, ids: np.ndarray, cell: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Passages and segments, by passage, of all pairs that pass a test; these include all that ``accept`` can accept."""
+        size, tests = len(self.postings), len(self.needed)
+        listed = self.postings[ids] > 0
+        ids, cell = ids[listed], cell[listed].astype(np.int64)
+        second = cell > 0
+        second[second] = owner[cell[second] - 1] == owner[cell[second]]
+        passage, term = np.divmod(np.unique(np.r_[cell * size + ids, (cell[second] - 1) * size + ids[second]]), size)
+        n = self.postings[term]
+        ends = np.cumsum(n)
+        out, a = [], 0
+        while a < len(term):
+            z = max(a + 1, int(np.searchsorted(ends, ends[a] - n[a] + PAIRS_AT_ONCE, side="right")))
+            if z < len(term):  # a passage is counted in one go
+                start = int(np.searchsorted(passage, passage[z]))
+                z = start if start > a else int(np.searchsorted(passage, passage[z], side="right"))
+            times = n[a:z]
+            at = np.arange(times.sum()) + np.repeat(self.first[term[a:z]] - (np.cumsum(times) - times), times)
+            pairs, count = np.unique(np.repeat(passage[a:z], times) * tests + self.posting[at], return_counts=True)
+            out.append(np.unique(pairs[count >= self.needed[pairs % tests]] // 2))
+            a = z
+        return np.divmod(np.concatenate(out) if out else np.zeros(0, np.int64), tests // 2)
 
     def accept(self, s: int, words: list[int], here: set[int]) -> float:
         """The matched share of segment ``s`` in a passage, 0 if it is no match."""
@@ -244,23 +300,27 @@ class Scanner:
             return 0.0
         rare = self.m.rare[s]
         known = sum(t in here for t in rare) / len(rare)
-        return share if (share >= WHOLE and not self.m.given[s]) or share >= 0.95 or known >= ANSWER else 0.0
+        return share if (share >= WHOLE and not self.m.given[s]) or share >= SURE or known >= ANSWER else 0.0
 
     def find(self, docs) -> list[tuple[int, int, float, float]]:
         """(row, item_id, cosine, matched share), the best of each row and item."""
         best: dict[tuple[int, int], tuple[float, float]] = {}
         for part in _portions(docs):
-            ids, cell, owner, number = _cells([d for _, d in part], self.live)
+            ids, cell, owner, number = _cells([d for _, d in part], self.live | (self.postings > 0))
             if not len(ids):
                 continue
-            x = _sum_by_cell(self.m.terms[ids], cell, len(owner))
+            passage, segment = self.exact(ids, cell, owner)
+            live = self.live[ids]
+            x = _sum_by_cell(self.m.terms[ids[live]], cell[live], len(owner)) if live.any() else np.zeros((len(owner), self.m.terms.shape[1]), np.float32)
             same = np.flatnonzero(owner[1:] == owner[:-1])
             x[same] += x[same + 1]
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
             for a in range(0, len(self.m.items), 1000):
                 cosine = x @ self.m.items[a : a + 1000].T
+                near, here = cosine >= COSINE, (segment >= a) & (segment < a + 1000)
+                near[passage[here], segment[here] - a] = True
                 last = -1
-                for c, j in np.argwhere(cosine >= COSINE).tolist():
+                for c, j in np.argwhere(near).tolist():
                     if c != last:
                         last, (row, doc) = c, part[owner[c]]
                         words = doc[number[c] * CELL : (number[c] + 2) * CELL].tolist()

@@ -185,6 +185,55 @@ def test_decontamination(spark, odd, none):
     assert decontam.contaminated(both, rare.filter("false")).count() == 0
 
 
+def test_decontamination_with_many_items(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: decontam.tokens(r.text) for r in docs.collect()}
+    rng, spans, changed = np.random.default_rng(6), {}, {}
+    long = [d for d, w in sorted(texts.items()) if len(w) >= 60]
+    for i in range(1000):
+        w = texts[long[int(rng.integers(len(long)))]]
+        at = int(rng.integers(len(w) - 14))
+        spans[i] = w[at : at + 14]
+        changed[i] = [x for j, x in enumerate(spans[i]) if j != 3] + ["inserted"]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in spans.items()], "item_id long, text string")
+    extra = spark.createDataFrame([(-1 - i, " ".join(w)) for i, w in changed.items()], "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(extra)
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(both, bench).select("doc_id", "item_id").collect()}
+    held = {d: " " + " ".join(w) + " " for d, w in texts.items()}
+    expected = {(d, i) for i, w in spans.items() for d, t in held.items() if " " + " ".join(w) + " " in t}
+    assert len(expected) >= 1000 and not expected - got
+    assert not {(-1 - i, i) for i in spans} - got
+
+
+def test_decontamination_against_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{int(x)}" for x in np.minimum(rng.zipf(1.3, n), 4000)]
+    items = [(i, word(int(rng.integers(5, 50))), word(2) if i % 3 == 0 else None) for i in range(150)]
+    docs = []
+    for d in range(120):
+        words = word(150)
+        w = items[d][1]
+        at, kept = int(rng.integers(100)), [x for x in w if rng.random() < 0.85]
+        docs.append((d, words[:at] + kept + words[at:]))
+    bench = spark.createDataFrame([(i, " ".join(w), a and " ".join(a)) for i, w, a in items], "item_id long, text string, answer string")
+    (segs,) = decontam.segments(bench)
+    model = decontam.fit(decontam.tokenised(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string"), segs), segs, rank=8)
+    scanner = decontam.Scanner(model)
+    expected = set()
+    for d, words in docs:
+        ids = [segs.vocabulary.get(w, -1) for w in words]
+        for a in range(0, len(ids), decontam.CELL):
+            passage = ids[a : a + 2 * decontam.CELL]
+            expected |= {(d, segs.item[s]) for s in range(len(segs.ids)) if scanner.accept(s, passage, set(passage))}
+    ids = [decontam._ids(" ".join(w), segs.vocabulary) for _, w in docs]
+    assert len(expected) > 60 and {(r, i) for r, i, _, _ in scanner.find(ids)} == expected
+    decontam_pairs, decontam.PAIRS_AT_ONCE = decontam.PAIRS_AT_ONCE, 10
+    try:
+        assert {(r, i) for r, i, _, _ in scanner.find(ids)} == expected
+    finally:
+        decontam.PAIRS_AT_ONCE = decontam_pairs
+
+
 def test_subsequence_against_dynamic_programme():
     rng = np.random.default_rng(2)
     for _ in range(30):

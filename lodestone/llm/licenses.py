@@ -7,14 +7,17 @@ least 1/8, so 64 bands of one row meet with a probability of at least 1 - (7/8)^
 shares a band with a template is verified: the share of the template's shingles in the window must reach
 0.8.
 
-Of templates that match at the same place only those contained best are reported.  Null and empty texts
-match nothing; the best window of each document and template is reported, the
+A window's match is dropped if one of another template, contained better, matches most of its shingles at the
+same words: the two are variants and the better one is meant.  Licenses that stand near each other or one
+within the other are all reported.  Null and empty texts
+match nothing; the best window left of each document and template is reported, the
 first on ties.  Repeated rows are each reported.
 """
 
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -61,6 +64,30 @@ def _multipliers() -> np.ndarray:
     return np.random.default_rng(7).integers(1, 1 << 32, BANDS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
+class Match(NamedTuple):
+    """A window that holds a template, with the template's shingles in it by their place in the document."""
+
+    share: float
+    template: int
+    start: int
+    shingles: dict[int, int]
+
+
+def _meant(found: list[Match]) -> list[Match]:
+    """The matches of a document that are not a better match's variant, best first."""
+    kept: list[Match] = []
+    claims: dict[int, list[int]] = {}
+    for m in sorted(found, key=lambda m: (-m.share, m.template, m.start)):
+        own = len(set(m.shingles.values()))
+        rivals = {k for p in m.shingles for k in claims.get(p, ()) if kept[k].share > m.share and kept[k].template != m.template}
+        if any(2 * len({s for p, s in m.shingles.items() if p not in kept[k].shingles}) < own for k in rivals):
+            continue
+        for p in m.shingles:
+            claims.setdefault(p, []).append(len(kept))
+        kept.append(m)
+    return kept
+
+
 class Scanner:
     """Templates with their band values, by window class."""
 
@@ -84,7 +111,7 @@ class Scanner:
     def find(self, texts) -> list[tuple[int, int, float, int]]:
         """(row, template, containment, first shingle of the window), the best window of each row and template."""
         known = WordHashes()
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        matches: dict[int, list[Match]] = {}
         part: list[tuple[int, np.ndarray]] = []
         n = 0
         for i, t in enumerate(texts):
@@ -93,17 +120,19 @@ class Scanner:
                 part.append((i, s))
                 n += len(s)
             if n > SHINGLES_AT_ONCE:
-                self._scan(part, best)
+                self._scan(part, matches)
                 part, n = [], 0
         if part:
-            self._scan(part, best)
-        rows: dict[int, list[tuple[float, int, int, int]]] = {}
-        for (r, t), (c, s, size) in sorted(best.items()):
-            rows.setdefault(r, []).append((c, t, -s, -s + size))
-        # of templates that match at the same place, only the ones best contained are meant
-        return [(r, t, c, a) for r, found in rows.items() for c, t, a, z in found if not any(o > c and x < z and a < y for o, _, x, y in found)]
-
-    def _scan(self, part, best) -> None:
+            self._scan(part, matches)
+        out = []
+        for r, found in sorted(matches.items()):
+            best: dict[int, Match] = {}
+            for m in _meant(found):
+                best.setdefault(m.template, m)
+            out += [(r, t, m.share, m.start) for t, m in sorted(best.items())]
+        return out
+
+    def _scan(self, part, matches) -> None:
         lengths = np.array([len(s) for _, s in part])
         flat = np.concatenate([s for _, s in part])
         head = (flat >> np.uint64(32)).astype(np.uint32)
@@ -131,8 +160,8 @@ class Scanner:
                 window = s[offset[w] : offset[w] + 2 * c]
                 share = float(np.isin(self.sets[m], window).mean())
                 if share >= CONTAINED:
-                    key = (row, m)
-                    best[key] = max(best.get(key, (0.0, 0, 0)), (share, -int(offset[w]), 2 * c))
+                    at = np.flatnonzero(np.isin(window, self.sets[m]))
+                    matches.setdefault(row, []).append(Match(share, m, int(offset[w]), dict(zip((at + offset[w]).tolist(), window[at].tolist(), strict=True))))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:

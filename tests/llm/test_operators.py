@@ -279,6 +279,18 @@ def test_licenses(odd, none, spark):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_near_each_other(spark):
+    edited = licenses.TEMPLATES["Apache-2.0 header"].replace("agreed to in writing", "settled in writing")
+    mit = "Released under the MIT License."
+    three, two = licenses.TEMPLATES["GPL-3.0 notice"], licenses.TEMPLATES["GPL-2.0 notice"].removeprefix("This ")
+    texts = [f"{edited} some words {mit}", f"{mit} {edited}", edited, three, f"{three} {'x ' * 300}{two}"]
+    apache = {"Apache-2.0 header", "Apache-2.0 notice"}
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = [{r.license for r in got if r.doc_id == i} for i in range(len(texts))]
+    assert found == [apache | {"MIT notice"}, apache | {"MIT notice"}, apache, {"GPL-3.0 notice"}, {"GPL-3.0 notice", "GPL-2.0 notice"}]
+    assert len(got) == sum(map(len, found)) and 0.8 <= min(r.containment for r in got if r.license == "Apache-2.0 header") < 1
+
+
 def _brute_lines(rows, least=50):
     seen, gone = set(), defaultdict(set)
     for d, t in rows:

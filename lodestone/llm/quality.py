@@ -2,12 +2,13 @@
 
 The model minimises the non-negative unbiased risk: the prior times the loss of trusted positives as
 positive, plus the loss of unlabelled text as negative less the positives' part of it, which is kept from falling
-below zero.  The class prior is estimated from the labelled training rows where both classes are
-labelled, else from how well positives can be told from unlabelled text (the two samples weighing the same).
+below zero.  The class prior is the share of positives in all labelled training rows where both classes are
+labelled, else estimated from how well positives can be told from unlabelled text (the two samples weighing the same).
 
 A document is described by scale-free measures of its whole text, each split at the sample's quantiles,
 so the additive model can follow any single-measure shape.  Fitting uses a sample of about
-``SAMPLE_DOCS`` documents (documented bound); every document is scored.  Null text counts as empty;
+``sample_docs`` documents as unlabelled text, and all trusted positives, or about as many of them if there are
+more; the prior counts every labelled training row.  Every document is scored.  Null text counts as empty;
 empty texts get a score like any other.  Repeated labels of a document count as the least of them.
 Without any positive every score is 0.
 """
@@ -135,23 +136,25 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> Mo
 def _measured(batches):
     packer = zstandard.ZstdCompressor(level=1)
     for b in batches:
-        yield pd.DataFrame({"quality": b["quality"], "x": [features(t, packer) for t in b["text"]]})
+        yield pd.DataFrame({"drawn": b["drawn"], "positive": b["positive"], "x": [features(t, packer) for t in b["text"]]})
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column, seed: int = 42) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, allowed: Column, seed: int = 42, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """Fit on the rows that ``allowed`` (over ``doc_id``) admits; None without a positive."""
     rows = docs.select("doc_id", "text").filter(allowed)
-    share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
-    drawn = rows.filter(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    below = lambda n, *columns: F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 30)) < int(min(1.0, sample_docs / max(1, n)) * (1 << 30))
     marks = labels.filter("quality IS NOT NULL").select("doc_id", "quality").filter(allowed).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = drawn.join(marks, "doc_id", "left").select("quality", "text").mapInPandas(_measured, "quality int, x array<double>").collect()
-    x = np.array([r.x for r in sample]).reshape(-1, 15)
-    y = np.array([-1 if r.quality is None else r.quality for r in sample])
-    if not (y == 1).any():
+    counts = {r.quality: r.n for r in rows.select("doc_id").join(marks, "doc_id", "left").groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    positives, seen = counts.get(1, 0), sum(n for q, n in counts.items() if q is not None and q >= 0)
+    if not positives:
         return None
-    seen = (y >= 0).sum()
-    prior = None if not (y == 0).any() else float(((y == 1).sum() + 1) / (seen + 2))
-    return fit(x[y == 1], x, prior)
+    trusted = marks.filter("quality = 1").join(rows.select("doc_id").distinct(), "doc_id", "left_semi").filter(below(positives, "doc_id")).select("doc_id", F.lit(True).alias("positive"))
+    both = rows.join(F.broadcast(trusted), "doc_id", "left").withColumn("positive", F.coalesce("positive", F.lit(False))).withColumn("drawn", below(sum(counts.values()), "doc_id", "text"))
+    sample = both.filter("drawn OR positive").select("drawn", "positive", "text").mapInPandas(_measured, "drawn boolean, positive boolean, x array<double>").collect()
+    x = np.array([r.x for r in sample]).reshape(-1, 15)
+    drawn, positive = (np.array([r[i] for r in sample], dtype=bool) for i in (0, 1))
+    prior = float((positives + 1) / (seen + 2)) if counts.get(0) else None
+    return fit(x[positive], x[drawn], prior)
 
 
 def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -272,6 +272,17 @@ def test_quality(spark, odd, none):
     assert abs(quality.fit(p, x, None).prior - 0.6) < 0.12
 
 
+def test_quality_keeps_few_labels(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    few = labels.filter("quality = 1").orderBy("doc_id").limit(7).unionByName(labels.filter("quality = 0").orderBy("doc_id").limit(4)).select("doc_id", "quality")
+    given = []
+    monkeypatch.setattr(quality, "fit", lambda p, u, prior: given.append((len(p), len(u), prior)))
+    quality.train(docs, few, F.lit(True), sample_docs=60)
+    ((positives, unlabelled, prior),) = given
+    assert positives == 7 and 30 < unlabelled < 100 and prior == 8 / 13
+
+
 def test_licenses(odd, none, spark):
     docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(50, "x " * 500 + licenses.TEMPLATES["MIT"] + " y" * 500), (51, "Licensed under the Apache License, Version 2.0."), (52, "licensed under moonlight")], "doc_id long, text string"))
     got = {(r.doc_id, r.license) for r in licenses.scan_licenses(docs).collect()}

@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 READ_ONLY = ("Project", "Aggregate", "Filter", "Sort", "GlobalLimit", "LocalLimit", "Join", "Distinct", "SubqueryAlias", "Union", "UnresolvedWith", "WithCTE", "UnresolvedHaving", "Offset", "UnresolvedOrderBy", "Intersect", "Except", "UnresolvedSubqueryColumnAliases", "OneRowRelation", "UnresolvedRelation")
 
 
-def guarded(spark: SparkSession, sql: str, limit: int = 1000, seconds: float = 5.0) -> tuple[list[tuple] | None, str | None]:
-    """Rows of one read-only statement, or an error; cancelled after ``seconds``."""
+def _guard(spark: SparkSession, statements: list[str], action, seconds: float):
+    """``action`` of the statements' DataFrames, or an error; only read-only statements run, cancelled after ``seconds``."""
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-        if plan.nodeName() not in READ_ONLY:
-            return None, f"not a query: {plan.nodeName()}"
-        tag = f"guarded-{id(sql)}"
+        for sql in statements:
+            plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+            if plan.nodeName() not in READ_ONLY:
+                return None, f"not a query: {plan.nodeName()}"
+        tag = f"guarded-{id(statements)}"
         spark.addTag(tag)
         timer = threading.Timer(seconds, spark.interruptTag, [tag])
         timer.start()
         try:
-            return [tuple(r) for r in spark.sql(sql).limit(limit).collect()], None
+            return action(*map(spark.sql, statements)), None
         finally:
             timer.cancel()
             spark.removeTag(tag)
@@ -29,6 +30,26 @@ def guarded(spark: SparkSession, sql: str, limit: int = 1000, seconds: float = 5
         return None, str(e).split("\n")[0]
 
 
+def guarded(spark: SparkSession, sql: str, limit: int = 1000, seconds: float = 5.0) -> tuple[list[tuple] | None, str | None]:
+    """Rows of one read-only statement, or an error, which more than ``limit`` rows are too; cancelled after ``seconds``."""
+    rows, error = _guard(spark, [sql], lambda df: [tuple(r) for r in df.limit(limit + 1).collect()], seconds)
+    if rows is not None and len(rows) > limit:
+        return None, f"more than {limit} rows"
+    return rows, error
+
+
+def execution_match(spark: SparkSession, gold: str, answer: str, seconds: float = 30.0) -> tuple[bool | None, str | None]:
+    """Whether two statements give the same set of rows, all rows compared in Spark, or an error; an empty gold result matches nothing."""
+    return _guard(spark, [gold, answer], lambda a, b: _comparable(a, b) and not a.isEmpty() and same_set(a, b), seconds)
+
+
+def _comparable(a: DataFrame, b: DataFrame) -> bool:
+    """Whether rows can be equal without a cast of text: as many columns, each of one type, or both numbers, or one only nulls."""
+    number = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    kinds = [["number" if t.startswith(number) else t for _, t in df.dtypes] for df in (a, b)]
+    return len(kinds[0]) == len(kinds[1]) and all(x == y or "void" in (x, y) for x, y in zip(*kinds, strict=True))
+
+
 def same_set(a: DataFrame, b: DataFrame) -> bool:
     """Whether two results hold the same rows, ignoring order and multiplicity."""
     return a.subtract(b).isEmpty() and b.subtract(a).isEmpty()

@@ -178,6 +178,18 @@ def test_guarded_sql(spark):
     assert evaluation.verify([], [[]]) == ([], [0])
 
 
+def test_execution_match_over_all_rows(spark):
+    up, down = "SELECT id FROM range(3000) ORDER BY id", "SELECT id FROM range(3000) ORDER BY id DESC"
+    assert evaluation.guarded(spark, up) == (None, "more than 1000 rows")
+    assert len(evaluation.guarded(spark, "SELECT id FROM range(1000)")[0]) == 1000
+    assert evaluation.execution_match(spark, up, down) == (True, None)
+    assert evaluation.execution_match(spark, up, "SELECT id FROM range(2999) ORDER BY id") == (False, None)
+    assert evaluation.execution_match(spark, up, "SELECT CAST(id AS string) FROM range(3000)") == (False, None)
+    assert evaluation.execution_match(spark, up, "SELECT id, id FROM range(3000)") == (False, None)
+    assert evaluation.execution_match(spark, "SELECT 1 WHERE false", "SELECT 1 WHERE false") == (False, None)
+    assert evaluation.execution_match(spark, up, "DROP TABLE x")[0] is None
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     events.repartition(3).write.parquet(str(tmp_path / "in"))

@@ -39,7 +39,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`materialise` returned; nothing may read it any more."""
+    path = df._scratch
+    remove(df.sparkSession, path)
+    _written[:] = [w for w in _written if w[1] != path]
 
 
 def remove(spark: SparkSession, path: str) -> None:

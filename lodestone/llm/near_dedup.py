@@ -10,9 +10,15 @@ weighted Jaccard similarity.
 *Bands.*  64 registers in 16 bands of 4: a pair at 0.8 meets with a probability of 0.9998.
 Buckets with the same members are kept once.
 
-*Verification.*  A bucket's members are dealt to blocks, and each pair of blocks is one bounded task, so
-a bucket of any size is compared whole without a group in one task.  A task computes exact multiset
-Jaccard similarities and returns a spanning forest of its links, never all pairs.
+*Verification.*  Exact multiset Jaccard similarities decide, in rounds.  A bucket of at most ``BLOCK``
+texts is compared whole in one task (fewer, if their shingles together exceed ``SHINGLES_AT_ONCE``).  A larger one is dealt to
+blocks of that size, and up to ``GUESTS`` of its members visit every block, so a round reads each member
+once and each guest once a block: its rows grow with the bucket, not with its square.  A round's links merge classes, the guests, now compared with all,
+leave the bucket, and a bucket whose members are all of one class is done.  Once all classes of a bucket but its
+largest hold at most ``GUESTS`` members, these are the guests, and nothing is left to compare.  Buckets
+still open after ``ROUNDS`` rounds are dealt anew by fresh, longer bands (``LEVELS``: rows and bands, a pair at
+0.8 meeting with at least 0.9998), which separate texts that merely resemble each other; at the last level
+the rounds go on until every bucket is done, so no member is ever dropped uncompared.
 
 *Classes.*  Connected components by alternating large and small stars.  A class is named by its least
 doc_id.  Exact copies share one comparison.
@@ -30,11 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.shingles import WordHashes, as_set, mix, multiset, shingle_hashes, word_hashes
-from lodestone.plans.scratch import materialise
+from lodestone.plans.scratch import discard, materialise
 
 REGISTERS, ROWS = 64, 4
+#: Rows of a band and bands, by level; levels after the first hold only texts of buckets that stayed open.
+LEVELS = ((ROWS, REGISTERS // ROWS), (8, 52), (12, 128))
 THRESHOLD = 0.8
-BLOCK = 128
+BLOCK, GUESTS, ROUNDS = 512, 512, 3
+SHINGLES_AT_ONCE = 1 << 22
 WORDS_AT_ONCE = 150_000
 _STEP, _LAYER = np.uint64(0xD1342543DE82EF95), np.uint64(0xA0761D6478BD642F)
 
@@ -92,6 +101,7 @@ def _sign(batches):
     for b in batches:
         bags = []
         keys = np.empty(len(b), dtype=object)
+        sizes = np.zeros(len(b), dtype=np.int64)
         order = b["text"].str.len().fillna(0).to_numpy().argsort(kind="stable")
         texts = b["text"].to_numpy()
         at, words = [], 0
@@ -107,13 +117,14 @@ def _sign(batches):
                 continue
             bag = multiset(shingle_hashes(word_hashes(texts[i], known)))
             bags.append(bag)
+            sizes[i] = bag[1].sum()
             at.append(i)
             words += len(bag[0])
             if words >= WORDS_AT_ONCE:
                 flush()
                 bags, at, words = [], [], 0
         flush()
-        yield pd.DataFrame({"doc_id": b["doc_id"], "h1": b["h1"], "h2": b["h2"], "no_text": b["no_text"], "bands": pd.Series(keys, dtype=object)})
+        yield pd.DataFrame({"doc_id": b["doc_id"], "h1": b["h1"], "h2": b["h2"], "no_text": b["no_text"], "size": sizes, "bands": pd.Series(keys, dtype=object)})
 
 
 def _members(batches):
@@ -160,20 +171,21 @@ def forest(nodes: list[int], bags: list[np.ndarray], threshold: float) -> list[t
 
 
 def _link(threshold):
+    """Links within each (bucket, block), whose rows arrive together."""
+
     def run(batches):
-        key, nodes, bags, found = None, [], [], []
+        key, members, found = None, {}, []
 
         def flush():
-            if len(nodes) > 1:
-                found.extend(forest(nodes, bags, threshold))
+            if len(members) > 1:
+                found.extend(forest([node for node, _ in members], list(members.values()), threshold))
 
         for b in batches:
-            for k, x, y, node, bag in zip(b["bucket"], b["x"], b["y"], b["node"], b["bag"], strict=True):
-                if (k, x, y) != key:
+            for k, x, node, bag in zip(b["bucket"], b["block"], b["node"], b["bag"], strict=True):
+                if (k, x) != key:
                     flush()
-                    key, nodes, bags = (k, x, y), [], []
-                nodes.append(node)
-                bags.append(np.frombuffer(bag, dtype=np.uint64))
+                    key, members = (k, x), {}
+                members[node, bag] = np.frombuffer(bag, dtype=np.uint64)
             if len(found) > 10_000:
                 yield pd.DataFrame(found, columns=["a", "b"])
                 found.clear()
@@ -183,54 +195,141 @@ def _link(threshold):
     return run
 
 
+def _finer(level: int, rows: int, bands: int):
+    """Bands of registers that no other level uses, from whole bags."""
+    salt = mix(np.full(1, level, dtype=np.uint64))
+    at_once = max(1, WORDS_AT_ONCE * REGISTERS // (rows * bands))
+
+    def run(batches):
+        for b in batches:
+            values = [mix(np.frombuffer(bag, dtype=np.uint64) ^ salt) for bag in b["bag"]]
+            upto = np.cumsum([len(v) for v in values]) // at_once
+            for part in np.split(np.arange(len(values)), np.flatnonzero(np.diff(upto)) + 1):
+                table = bag_signatures([(values[i], np.ones(len(values[i]), dtype=np.int64)) for i in part], rows * bands)
+                yield pd.DataFrame({"node": b["node"].iloc[part], "size": [len(values[i]) for i in part], "bands": list(band_keys(table, rows))})
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` (the least node of its component) for every node of the edges ``a, b``; stars alternate until they are stable."""
+    """``node, root`` (the least node of its component) for every node of the edges ``a, b``; stars alternate until only stars are left.
+
+    The least neighbours are written before the join, so that it shuffles anew and the rows of a star's
+    centre can be split.
+    """
+    least_of = lambda pairs: pairs.groupBy("u").agg(F.min("v").alias("m"))
     e = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    state = None
     while True:
-        new = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(new) == state:
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up > 0 AND down > 0").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-        state = tuple(new)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        e = materialise(small.distinct(), "edges")
+        least = materialise(least_of(both).select("u", F.least("u", "m").alias("m")), "least")
+        large = materialise(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        down = least_of(large)
+        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(down.select("u", F.col("m").alias("v")))
+        after = materialise(small.distinct(), "edges")
+        for done in (e, least, large):
+            discard(done)
+        e = after
+
+
+def _buckets(banded: DataFrame) -> DataFrame:
+    """``bucket, node`` of the buckets with two texts or more, one of those that hold the same texts."""
+    sets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x")).filter("n > 1")
+    kept = materialise(sets.groupBy("n", "m", "x").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
+    return materialise(banded.join(kept, "bucket"), "members")
+
+
+def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``bucket, node, size, label, top, others, blocks, room`` of the buckets of several classes.
+
+    ``others`` counts members outside the largest class, ``top``; ``room`` is the number of guests that a block can take.
+    """
+    labelled = members.withColumn("label", F.col("node"))
+    if roots is not None:
+        labelled = members.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
+    labelled = materialise(labelled.select("bucket", "node", "size", "label"), "labelled")
+    classes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s"))
+    of_bucket = classes.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("t"), F.sum("c").alias("n"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    per_block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(SHINGLES_AT_ONCE * F.col("n") / F.col("s"))))
+    room = F.greatest(F.lit(1), F.least(F.lit(GUESTS), F.floor(SHINGLES_AT_ONCE * F.col("n") / F.col("s"))))
+    state = of_bucket.select("bucket", F.col("t.label").alias("top"), (F.col("n") - F.col("t.c")).alias("others"), F.ceil(F.col("n") / per_block).cast("int").alias("blocks"), room.alias("room"))
+    return materialise(labelled.join(materialise(state, "buckets"), "bucket"), "open")
+
+
+def _guests(opened: DataFrame, salt: int) -> DataFrame:
+    """``bucket, node, blocks``: the members that visit every block of a bucket of several blocks."""
+    large = opened.filter("blocks > 1")
+    few = large.filter("others <= room AND label <> top").select("bucket", "node", "blocks")
+    order = F.xxhash64(F.lit(salt), "bucket", "node")
+    drawn = large.filter("others > room").groupBy("bucket", "blocks", F.pmod(order, F.col("room")).alias("lane")).agg(F.min(F.struct(order.alias("o"), "node")).alias("g"))
+    return few.unionByName(drawn.select("bucket", F.col("g.node").alias("node"), "blocks"))
+
+
+def _roots(members: DataFrame, bags: DataFrame, threshold: float) -> DataFrame | None:
+    """``node, root`` of every text with a link, from the members of the first level's buckets and their bags."""
+    roots, salt = None, 0
+    for level, (rows, bands) in enumerate(LEVELS):
+        if level:
+            finer = bags.join(nodes, "node", "left_semi").mapInPandas(_finer(level, rows, bands), "node long, size long, bands array<long>")  # noqa: F821
+            members = _buckets(materialise(finer.select("node", "size", F.explode("bands").alias("bucket")).dropDuplicates(["node", "bucket"]), "bands"))
+        turn = 0
+        while level == len(LEVELS) - 1 or turn < ROUNDS:
+            opened = _open(members, roots)
+            if opened.isEmpty():
+                return roots
+            salt += 1
+            turn += 1
+            guests = materialise(_guests(opened, salt), "guests")
+            block = F.pmod(F.xxhash64(F.lit(salt), "bucket", "node"), F.col("blocks")).cast("int")
+            visits = guests.select("bucket", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+            dealt = materialise(opened.select("bucket", "node", block.alias("block")).unionByName(visits), "dealt")
+            tasks = dealt.join(bags, "node").repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+            links = tasks.mapInPandas(_link(threshold), "a long, b long")
+            known = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            roots = materialise(components(known), "roots")
+            # left to compare: members of buckets of several blocks that were not compared whole, but for the guests
+            members = opened.filter("blocks > 1 AND others > room").join(guests.select("bucket", "node"), ["bucket", "node"], "left_anti").select("bucket", "node", "size")
+        nodes = materialise(_open(members, roots).select("node").distinct(), "nodes")
+        if nodes.isEmpty():
+            break
+    return roots
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, class_id, h1, h2`` for every row: the class is named by its least doc_id (h1, h2: hashes of the text)."""
     text = F.col("text")
     keyed = docs.select("doc_id", "text", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"), text.isNull().alias("no_text"))
-    signed = materialise(keyed.mapInPandas(_sign, "doc_id long, h1 long, h2 long, no_text boolean, bands array<long>"), "signatures")
-    texts = signed.filter("bands IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")).filter("node IS NOT NULL")
-    banded = materialise(texts.select("node", F.explode("bands").alias("bucket")), "bands")
-    sets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x")).filter("n > 1")
-    kept = sets.groupBy("n", "m", "x").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = materialise(banded.join(kept, "bucket"), "members")
+    signed = materialise(keyed.mapInPandas(_sign, "doc_id long, h1 long, h2 long, no_text boolean, size long, bands array<long>"), "signatures")
+    texts = signed.filter("bands IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("size").alias("size")).filter("node IS NOT NULL")
+    members = _buckets(materialise(texts.select("node", "size", F.explode("bands").alias("bucket")), "bands"))
     wanted = members.select("node").distinct()
     whole = docs.select(F.col("doc_id").alias("node"), "text").filter("text IS NOT NULL")
-    bags = whole.join(wanted.hint("shuffle_hash"), "node").mapInPandas(_members, "node long, bag binary")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("mine", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "node")
-    tasks = dealt.join(bags, "node").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    roots = components(tasks.mapInPandas(_link(threshold), "a long, b long"))
+    bags = materialise(whole.join(wanted.hint("shuffle_hash"), "node").mapInPandas(_members, "node long, bag binary"), "bags")
+    roots = _roots(members, bags, threshold)
+    if roots is None:
+        roots = docs.sparkSession.createDataFrame([], "node long, root long")
     named = texts.select("h1", "h2", "node").join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("found"))
     bare = signed.filter("bands IS NULL AND NOT no_text").groupBy("h1", "h2").agg(F.min("doc_id").alias("found"))
-    class_of = named.unionByName(bare)
+    # written, so that the join shuffles anew and the rows of very many copies can be split
+    class_of = materialise(named.unionByName(bare), "classes")
     held = signed.filter("NOT no_text").select("doc_id", "h1", "h2").join(class_of, ["h1", "h2"], "left").select("doc_id", F.col("found").alias("class_id"), "h1", "h2")
     return held.unionByName(signed.filter("no_text").select("doc_id", F.col("doc_id").alias("class_id"), "h1", "h2"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without later near copies: of each class the one with the least doc_id stays, once."""
+    """The documents without later near copies: of each class the one with the least doc_id stays, once.
+
+    Rows that agree in doc_id and text are one document; every row of null text stays.
+    """
     names = docs.columns
-    stays = near_duplicate_classes(docs, threshold).filter("doc_id = class_id OR class_id IS NULL").select(F.col("doc_id").alias("__d"), F.col("h1").alias("__a"), F.col("h2").alias("__b")).distinct()
-    keyed = docs.withColumns({"__h1": F.xxhash64("text"), "__h2": F.xxhash64(F.lit(7), F.col("text"))})
-    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h1") == F.col("__a")) & (F.col("__h2") == F.col("__b"))
-    joined = keyed.join(stays.hint("shuffle_hash"), same)
-    return joined.dropDuplicates(["__d", "__h1", "__h2"]).select(*names)
+    hidden = [f"c{i}" for i in range(len(names))]
+    bare = docs.toDF(*hidden)
+    key, text = (F.col(hidden[names.index(n)]) for n in ("doc_id", "text"))
+    ids = bare.select(key.alias("doc_id"), text.alias("text"))
+    stays = near_duplicate_classes(ids, threshold).filter("doc_id = class_id OR class_id IS NULL").select(F.col("doc_id").alias("d"), "h1", "h2").distinct()
+    alone = F.when(text.isNull(), F.monotonically_increasing_id())
+    keyed = bare.withColumns({"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(7), text), "alone": alone})
+    joined = keyed.join(stays.hint("shuffle_hash"), key.eqNullSafe(F.col("d")) & (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")))
+    return joined.dropDuplicates(["d", "k1", "k2", "alone"]).select(*hidden).toDF(*names)

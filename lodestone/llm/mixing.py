@@ -2,7 +2,9 @@
 
 Golden-ratio points are mapped through the cumulative target shares, so every stretch of slots holds
 each source in proportion; slots are ranked per source, and the r-th slot of a source takes the r-th
-equal-token block of that source's shuffled documents, which repeat from the start once used up.
+equal-token block of that source's shuffled documents, which repeat from the start once used up.  Points are
+64-bit integers that wrap, so they are exact at any slot, and the number of earlier points below an edge
+has a closed form (``points_below``), so chunks of slots are dealt and ranked without a shuffle.
 
 A target stops at ``max_repeats`` times its source's size; the excess goes to the other sources by
 weight.  Null text has no words; documents without words are in no block.  A null source is a source of
@@ -13,21 +15,25 @@ configuration-sized set: their sums are held on the driver and broadcast, and mo
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
+from operator import and_
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.text import word_count
-from lodestone.plans.running import HASH_BITS, order_hash, running_sum
+from lodestone.plans.running import order_hash, running_sum
 from lodestone.plans.scratch import materialise
 
 MAX_SOURCES = 100_000
 BLOCK_TOKENS = 512
 SLOTS_PER_CHUNK = 4096
-GOLDEN = 0.6180339887498949
+#: The golden ratio's fraction in units of 2 to the -64, and odd, so that no point repeats.
+GOLDEN, TURN = 0x9E3779B97F4A7C15, 1 << 64
 
 
 def targets(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
@@ -48,6 +54,22 @@ def targets(sizes: list[int], weights: list[float], total: float, most: float) -
     return out
 
 
+def _floor_sum(n: int, m: int, a: int, b: int) -> int:
+    """The sum of (a i + b) // m over i below n, by the Euclidean steps of a and m."""
+    total = 0
+    while n > 0:
+        total += (n - 1) * n // 2 * (a // m) + n * (b // m)
+        a, b = a % m, b % m
+        top = a * n + b
+        n, b, a, m = top // m, top % m, m, a
+    return total
+
+
+def points_below(n: int, edge: int) -> int:
+    """How many of the first ``n`` points of the sequence lie below ``edge``."""
+    return n + _floor_sum(n, TURN, GOLDEN, 0) - _floor_sum(n, TURN, GOLDEN, TURN - edge)
+
+
 class Mix:
     """The measured rows, the source table and the schedule of one mix.
 
@@ -79,35 +101,50 @@ class Mix:
         """The rows that have words, with ``start``: their first word's place in the shuffled source."""
         return running_sum(self.rows.filter("size > 0"), ["skey"], "key", ["doc_id", "size"], "size", "start")
 
-    def schedule(self) -> tuple[DataFrame, list[int]]:
-        """``slot, skey, rank`` for every slot, and the number of slots of each source."""
-        total = sum(self.tokens)
-        slots = ceil(total / self.block_tokens)
-        edges = np.cumsum(np.array(self.tokens, dtype=float)) / max(total, 1)
-        small = [i for i, t in enumerate(self.tokens) if t > 0]
+    def edges(self) -> list[int]:
+        """The upper edge of each source's stretch of points; the last is a whole turn."""
+        total, upto, out = max(1, sum(self.tokens)), 0, []
+        for t in self.tokens:
+            upto += t
+            out.append(upto * TURN // total)
+        return out
+
+    def slot_counts(self) -> tuple[int, list[int]]:
+        """The number of scheduled slots, and that of each source, with one more at the end for each that has tokens."""
+        slots = ceil(sum(self.tokens) / self.block_tokens)
+        below = [points_below(slots, e) for e in self.edges()]
+        return slots, [b - a + (t > 0) for a, b, t in zip([0, *below], below, self.tokens, strict=False)]
+
+    def schedule(self) -> DataFrame:
+        """``slot, skey, rank`` for every slot; map-only."""
+        slots, counts = self.slot_counts()
+        edges = self.edges()
+        live = np.array([i for i, t in enumerate(self.tokens) if t > 0], dtype=np.int64)
+        upper = np.array([edges[i] - 1 for i in live], dtype=np.uint64)  # the last point of each stretch, as a whole turn does not fit
 
         def deal(batches):
             for b in batches:
-                u = b["id"].to_numpy(dtype=float) * GOLDEN
-                i = np.minimum(np.searchsorted(edges, u - np.floor(u), side="right"), len(edges) - 1)
-                yield b.assign(slot=b["id"], skey=i.astype("int32"), chunk=b["id"] // SLOTS_PER_CHUNK, one=1)[["slot", "skey", "chunk", "one"]]
-
-        parts = max(1, min(slots // 50_000 + 1, 100_000))
-        points = self.spark.range(0, slots, 1, parts).mapInPandas(deal, "slot long, skey int, chunk long, one long")
+                for chunk in b["id"].tolist():
+                    first, last = chunk * SLOTS_PER_CHUNK, min(slots, (chunk + 1) * SLOTS_PER_CHUNK)
+                    slot = np.arange(first, last, dtype=np.uint64)
+                    skey = live[np.searchsorted(upper, slot * np.uint64(GOLDEN), side="left")]
+                    order = np.argsort(skey, kind="stable")
+                    own, starts, times = np.unique(skey[order], return_index=True, return_counts=True)
+                    base = [points_below(first, edges[i]) - (points_below(first, edges[i - 1]) if i else 0) for i in own.tolist()]
+                    rank = np.empty(len(slot), dtype=np.int64)
+                    rank[order] = np.arange(len(slot)) - np.repeat(starts, times) + np.repeat(np.array(base, dtype=np.int64), times)
+                    yield pd.DataFrame({"slot": slot.astype(np.int64), "skey": skey.astype(np.int32), "rank": rank})
+
+        chunks = -(-slots // SLOTS_PER_CHUNK)
+        points = self.spark.range(0, chunks, 1, max(1, min(chunks // 16 + 1, 100_000))).mapInPandas(deal, "slot long, skey int, rank long")
         # one more slot at the end for each source that has tokens, so that the smallest is never missed
-        extra = self.spark.createDataFrame([(slots + k, i, (slots + k) // SLOTS_PER_CHUNK, 1) for k, i in enumerate(small)], "slot long, skey int, chunk long, one long")
-        points = materialise(points.unionByName(extra), "mix-slots")
-        per_chunk = points.groupBy("skey", "chunk").agg(F.sum("one").alias("n"))
-        before = Window.partitionBy("skey").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-        offset = per_chunk.select("skey", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("o"))
-        rank = F.row_number().over(Window.partitionBy("skey", "chunk").orderBy("slot")) - 1
-        ranked = points.withColumn("r", rank).join(offset, ["skey", "chunk"]).select("slot", "skey", (F.col("o") + F.col("r")).alias("rank"))
-        counts = {r.skey: int(r.n) for r in points.groupBy("skey").agg(F.sum("one").alias("n")).collect()}
-        return ranked, [counts.get(i, 0) for i in range(len(self.tokens))]
+        small = [i for i, t in enumerate(self.tokens) if t > 0]
+        extra = self.spark.createDataFrame([(slots + k, i, counts[i] - 1) for k, i in enumerate(small)], "slot long, skey int, rank long")
+        return points.unionByName(extra)
 
     def spans(self) -> DataFrame:
-        """The mix: ``slot, skey, doc_id, size, start, epoch, first, last`` — words first to last-1 of the document, in slot order."""
-        ranked, counts = self.schedule()
+        """The mix: ``slot, skey, key, doc_id, size, start, epoch, first, last``: words first to last-1 of the document, in slot order."""
+        counts = self.slot_counts()[1]
         blocks = self.spark.createDataFrame([(i, c, t // c, t % c) for i, (t, c) in enumerate(zip(self.tokens, counts, strict=True)) if c], "skey int, k long, q long, rem long")
         placed = self.offsets().join(F.broadcast(blocks), "skey")
         copies = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("tokens") / F.col("source_size")).cast("int") - 1))))
@@ -117,37 +154,46 @@ class Mix:
         cut = copies.withColumn("rank", F.explode(F.sequence(block("a"), block("z - 1"))))
         low = F.expr("rank * q + least(rank, rem)")
         high = F.expr("(rank + 1) * q + least(rank + 1, rem)")
-        cut = cut.select("skey", "rank", "doc_id", "size", "source_size", "target", "start", "epoch", (F.greatest("a", low) - F.col("a")).alias("first"), (F.least("z", high) - F.col("a")).alias("last"))
-        return cut.join(ranked, ["skey", "rank"])
+        cut = cut.select("skey", "rank", "key", "doc_id", "size", "source_size", "target", "start", "epoch", (F.greatest("a", low) - F.col("a")).alias("first"), (F.least("z", high) - F.col("a")).alias("last"))
+        return cut.join(self.schedule(), ["skey", "rank"])
 
     def taken(self) -> DataFrame:
-        """Every input row with ``source_size, target, taken``."""
-        used = self.spans().groupBy("skey", "start", "doc_id", "size", "source_size", "target").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
+        """Every input row with ``source_size, target, taken`` and ``first_slot`` (null if the mix takes none of it)."""
+        used = self.spans().groupBy("skey", "start", "doc_id", "size", "source_size", "target").agg(F.sum(F.col("last") - F.col("first")).alias("taken"), F.min("slot").alias("first_slot"))
         # rows with words that no slot reached, and rows without words
         names = ["doc_id", "size", "source_size", "target"]
-        all_rows = self.offsets().select("skey", "start", *names, F.lit(0).cast("long").alias("taken"))
-        rest = self.rows.filter("size = 0").select(*names, F.lit(0).cast("long").alias("taken"))
-        whole = used.select("skey", "start", *names, "taken").unionByName(all_rows).groupBy("skey", "start", *names).agg(F.sum("taken").alias("taken"))
-        return whole.select(*names, "taken").unionByName(rest)
+        nothing = [F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot")]
+        all_rows = self.offsets().select("skey", "start", *names, *nothing)
+        rest = self.rows.filter("size = 0").select(*names, *nothing)
+        found = used.select("skey", "start", *names, "taken", "first_slot").unionByName(all_rows)
+        whole = found.groupBy("skey", "start", *names).agg(F.sum("taken").alias("taken"), F.min("first_slot").alias("first_slot"))
+        return whole.select(*names, "taken", "first_slot").unionByName(rest)
 
-    def limits(self) -> list[tuple]:
-        """Per source: name, whole passes, and the order key below which a document has one pass more."""
-        passes = [t // s if s else 0 for t, s in zip(self.tokens, self.sizes, strict=True)]
-        rests = self.spark.createDataFrame([(i, t - p * s) for i, (t, p, s) in enumerate(zip(self.tokens, passes, self.sizes, strict=True))], "skey int, rest long")
-        ends = {r.skey: r.k for r in self.offsets().join(F.broadcast(rests), "skey").filter("start >= rest").groupBy("skey").agg(F.min("key").alias("k")).collect()}
-        return [(n, p, ends.get(i, 1 << HASH_BITS)) for i, (n, p) in enumerate(zip(self.names, passes, strict=True))]
+    def source_key(self, docs: DataFrame, source: str) -> DataFrame:
+        """``docs`` with the number of its source as ``skey``."""
+        table = self.spark.createDataFrame([(n, i) for i, n in enumerate(self.names)], "of string, skey int")
+        return docs.join(F.broadcast(table), F.col(source).eqNullSafe(F.col("of"))).drop("of")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents as the mix takes them, whole: a document appears once for every pass that reaches its first word.
+    """The documents as the schedule takes them, whole and in slot order: one row for every pass that reaches a document.
 
-    The order key decides row by row, so texts are neither shuffled nor joined on the key.  Documents
-    without words are not in the mix.
+    A document stands at the first slot that holds a word of it.  The slots are planned over narrow rows; texts are
+    shuffled to their slots and once more into order.  Rows that agree in id, text and source
+    are numbered and take the places of that many.  Documents without words are not in the mix.
     """
-    mix = Mix(docs, **options)
-    table = docs.sparkSession.createDataFrame(mix.limits(), "__source string, __passes long, __end long")
+    mix = Mix(docs.select("doc_id", "source", "text"), **options)
     names = docs.columns
-    keyed = docs.withColumn("__key", mix.key()).filter(word_count(F.col("text")) > 0)
-    copies = F.col("__passes") + (F.col("__key") < F.col("__end")).cast("long")
-    joined = keyed.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("__source"))).withColumn("__n", copies).filter("__n > 0")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*names)
+    hidden = [f"c{i}" for i in range(len(names))]
+    bare = docs.toDF(*hidden)
+    key, source, text = (hidden[names.index(n)] for n in ("doc_id", "source", "text"))
+    same = ["skey", "key", "id"]
+    places = materialise(mix.spans().groupBy("skey", "key", F.col("doc_id").alias("id"), "start", "epoch").agg(F.min("slot").alias("slot")), "mix-places")
+    keyed = mix.source_key(bare.withColumn("key", order_hash(F.lit(mix.seed), F.col(key), F.md5(text))), source).filter(word_count(F.col(text)) > 0).withColumn("id", F.col(key))
+    if not mix.rows.filter("size > 0").groupBy("skey", "key", "doc_id").count().filter("count > 1").isEmpty():
+        keyed = keyed.withColumn("nth", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0))))
+        places = places.withColumn("nth", F.dense_rank().over(Window.partitionBy(*same).orderBy("start")))
+        same = [*same, "nth"]
+    pairs = [keyed[c].eqNullSafe(places[c]) if c == "id" else keyed[c] == places[c] for c in same]
+    mixed = keyed.join(places.hint("shuffle_hash"), reduce(and_, pairs))
+    return mixed.orderBy("slot", "start", "epoch").select(*hidden).toDF(*names)

@@ -100,7 +100,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
             F.col(f"`{id_col}`").alias("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
-            order_hash(text).alias("group_key"),
+            order_hash(text.isNull(), text).alias("group_key"),
             order_hash(F.col(f"`{id_col}`"), F.md5(text)).alias("row_key"),
         ),
         "shard-rows",

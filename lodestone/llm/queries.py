@@ -69,7 +69,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that lose later copies of repeated line runs, with the documents that keep the first."""
     gone = line_dedup.removals(_table(spark, sf_dir, "documents"))
-    return gone.select("doc_id", "first_doc_ids", F.size("removed").cast("long").alias("removed_lines"), "removed_words", "removed")
+    return gone.select("doc_id", "first_doc_ids", F.size("removed").cast("long").alias("removed_lines"), "removed_words", "removed", "runs")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,10 +104,25 @@ goal2 AS (SELECT *, floor(target)::BIGINT AS tokens FROM goal),
 p AS (
   SELECT d.*, g.source_size, g.target, g.tokens,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN goal2 g ON d.source IS NOT DISTINCT FROM g.source)
+  FROM d JOIN goal2 g ON d.source IS NOT DISTINCT FROM g.source),
+live AS (
+  SELECT source, tokens, row_number() OVER (ORDER BY source IS NULL, encode(coalesce(source, ''))) AS k,
+         sum(tokens) OVER (ORDER BY source IS NULL, encode(coalesce(source, '')))::HUGEINT * 18446744073709551616 // (SELECT sum(tokens) FROM goal2)::HUGEINT AS edge
+  FROM goal2 WHERE tokens > 0),
+n AS (SELECT ceil((SELECT sum(tokens) FROM goal2) / 512.0)::BIGINT AS slots),
+pts AS (
+  SELECT i AS slot, 1 + (SELECT count(*) FROM live WHERE edge <= (i::HUGEINT * 11400714819323198485) % 18446744073709551616) AS k
+  FROM (SELECT unnest(range((SELECT slots FROM n))) AS i)
+  UNION ALL SELECT (SELECT slots FROM n) + k - 1, k FROM live),
+rk AS (SELECT slot, k, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS rank, count(*) OVER (PARTITION BY k) AS slots_of FROM pts),
+per AS (SELECT DISTINCT k, slots_of, tokens // slots_of AS q, tokens % slots_of AS rem FROM rk JOIN live USING (k)),
+b AS (
+  SELECT p.*, live.k, CASE WHEN start < rem * (q + 1) THEN start // (q + 1) ELSE rem + (start - rem * (q + 1)) // greatest(q, 1) END AS rank
+  FROM p LEFT JOIN live ON p.source IS NOT DISTINCT FROM live.source LEFT JOIN per USING (k))
 SELECT doc_id, size, source_size, target,
-       (CASE WHEN size = 0 THEN 0 ELSE (tokens // source_size) * size + greatest(0, least(size, tokens % source_size - start)) END)::BIGINT AS taken
-FROM p
+       (CASE WHEN size = 0 THEN 0 ELSE (b.tokens // source_size) * size + greatest(0, least(size, b.tokens % source_size - start)) END)::BIGINT AS taken,
+       CASE WHEN size > 0 AND start < b.tokens THEN rk.slot END::BIGINT AS first_slot
+FROM b LEFT JOIN rk ON b.k = rk.k AND b.rank = rk.rank
 """
 
 _OP5 = r"""
@@ -129,9 +144,10 @@ m AS (
 f AS (
   SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
          + 8 * (word_chars < 2 * n_words)::BIGINT + 16 * (word_chars > 20 * n_words)::BIGINT
-         + 32 * (n_lines > 3 AND 100 * n_dup_lines > 30 * n_lines)::BIGINT + 64 * (n_letters > 0 AND 100 * n_upper > 40 * n_letters)::BIGINT AS failures
+         + 32 * (n_lines > 3 AND 100 * n_dup_lines > 30 * n_lines)::BIGINT + 64 * (n_letters > 0 AND 100 * n_upper > 40 * n_letters)::BIGINT
+         + 128 * (100 * n_letters < 50 * word_chars)::BIGINT + 256 * (n_lines > 5 AND n_words < 2 * n_lines)::BIGINT + 512 * (n_words > 1000000)::BIGINT AS failures
   FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures & 127 = 0 AS kept, failures FROM f
 """
 
 _OP10 = r"""

@@ -5,7 +5,11 @@ bit *i* is set if rule *i* fails.  A policy is a versioned set of rules; :func:`
 document whose failure bits do not meet the policy's mask, and :func:`ablation` counts, for every rule
 of a policy, the documents that only that rule rejects, by aggregating the stored bits.
 
-Null text counts as no text: all measurements are 0.  Texts of any length are measured whole.
+:func:`quality_filter` writes the ledger beside the documents, so a lost executor never evaluates a rule twice, and applies a policy to what
+is stored.
+
+Null text counts as no text: all measurements are 0.  Texts of any length are measured whole.  A measurement that equals a rule's bound
+passes.  Repeated rows are each measured and kept or dropped alike.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.text import WORD
+from lodestone.plans.scratch import materialise
 
 WINDOW = 5
 SPACES = " \t\n\x0b\f\r"
@@ -85,12 +90,17 @@ RULES = (
     Rule("long_words", "word_chars > 20 * n_words"),
     Rule("duplicate_lines", "n_lines > 3 AND 100 * n_dup_lines > 30 * n_lines"),
     Rule("shouting", "n_letters > 0 AND 100 * n_upper > 40 * n_letters"),
+    Rule("few_letters", "100 * n_letters < 50 * word_chars"),
+    Rule("short_lines", "n_lines > 5 AND n_words < 2 * n_lines"),
+    Rule("very_long", "n_words > 1000000"),
 )
 
 #: Policies by version: the names of the rules that reject.
 POLICIES = {
     "base": ("too_few_words", "repeated_windows"),
     "v1": ("too_few_words", "repeated_windows", "symbol_heavy", "short_words", "long_words", "duplicate_lines", "shouting"),
+    "v2": ("too_few_words", "repeated_windows", "symbol_heavy", "short_words", "long_words", "duplicate_lines", "shouting", "few_letters", "short_lines"),
+    "length_only": ("too_few_words", "very_long"),
 }
 
 
@@ -155,5 +165,5 @@ def quality_filter(docs: DataFrame, version: str = "v1") -> DataFrame:
     names = docs.columns
     hidden = [f"__c{i}" for i in range(len(names))]
     renamed = docs.toDF(*hidden).withColumn("__text", F.col(hidden[names.index("text")]))
-    kept = apply_policy(ledger(renamed, "__text", tuple(hidden)), version).filter("kept")
-    return kept.select(*hidden).toDF(*names)
+    stored = materialise(ledger(renamed, "__text", tuple(hidden)), "ledger")
+    return apply_policy(stored, version).filter("kept").select(*hidden).toDF(*names)

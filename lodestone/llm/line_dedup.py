@@ -2,22 +2,28 @@
 
 Every line that holds a word becomes a line ID.  IDs that occur once in the corpus end every repeated
 run, so only stretches of repeated lines with at least ``MIN_WORDS`` words go on.  Their suffixes are
-ranked by distributed prefix doubling: a suffix's rank is its place in the array sorted so far, and a
-round orders the suffixes of equal rank by the rank of the suffix that starts 1, 2, 4 ... lines later.
-The shortest run from a suffix that has ``MIN_WORDS`` words covers m lines, so a rank pair at depth
-2^floor(log2 m) names the LCP interval of all suffixes that agree in those m lines; doubling ends once
-every m is covered.  In each interval the first occurrence (by doc_id, then line) is kept and the later
-ones are deleted; as every long run is the union of its shortest ones, maximal runs are deleted whole.
+sorted by distributed prefix doubling: a suffix's rank is its place in the array sorted so far, and a
+round orders the suffixes of equal rank by the rank of the suffix that starts 1, 2, 4 ... lines later, an
+ended stretch first.  The shortest run from a suffix that has ``MIN_WORDS`` words covers m lines, and the ranks at
+depth 2^floor(log2 m) of its first and last such stretch name the interval of all suffixes whose common prefix has m
+lines or more.  Doubling ends once every m is covered: deeper ranks only divide these intervals.  In
+each interval the first occurrence (by doc_id, then line) is kept and the later ones are deleted.
+Neighbouring later suffixes with the same first copy join to maximal runs (column ``runs``).
+
+Line IDs are 64-bit hashes; a line is deleted only if its SHA-256 equals that of the line kept in its place.
 
 Null and empty texts have no lines.  Lines without a word are neither compared nor deleted and do not
 end a run.  Lines are compared with the white space at their ends removed.  Rows that agree in doc_id
-and text are one document.  A run that repeats within one document is deleted from its second
-occurrence on, also where that overlaps the first.
+and text are one document.  A run that repeats within one document is kept whole where it occurs first: of a
+copy that overlaps it only the lines beyond it are deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.text import word_count
@@ -28,19 +34,24 @@ MIN_WORDS = 50
 SPACES = " \t\n\x0b\f\r"
 
 
+def line_id(line: Column) -> Column:
+    """The symbol of a line in the suffix array."""
+    return F.xxhash64(line)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, h, line`` (number in the text), ``i`` (among lines with words), ``id, words``."""
+    """``doc_id, h, line`` (number in the text), ``i`` (among lines with words), ``id, sha, words``."""
     lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), F.trim(x, F.lit(SPACES)).alias("t")))
     held = docs.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), F.filter(lines, lambda x: x["t"] != "").alias("ls"))
     each = held.select("doc_id", "h", F.posexplode("ls").alias("i", "l"))
-    return each.select("doc_id", "h", "i", F.col("l.line").alias("line"), F.xxhash64("l.t").alias("id"), word_count(F.col("l.t")).alias("words")).dropDuplicates(["doc_id", "h", "i"])
+    return each.select("doc_id", "h", "i", F.col("l.line").alias("line"), line_id(F.col("l.t")).alias("id"), F.unhex(F.sha2("l.t", 256)).alias("sha"), word_count(F.col("l.t")).alias("words")).dropDuplicates(["doc_id", "h", "i"])
 
 
 def _stretches(lines: DataFrame, min_words: int) -> DataFrame:
     """Repeated lines within long enough stretches: ``s`` (stretch), ``i, line, id, words``, and ``m`` where a run of m lines has the words."""
     # written, so that the join shuffles anew and a very common line can be split
     often = materialise(lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "repeated-ids")
-    repeated = lines.join(often, "id")
+    repeated = lines.drop("sha").join(often, "id")
     by_doc = Window.partitionBy("doc_id", "h").orderBy("i")
     numbered = repeated.withColumn("run", F.col("i") - F.row_number().over(by_doc))
     whole = Window.partitionBy("doc_id", "h", "run")
@@ -60,7 +71,9 @@ def suffix_intervals(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     firsts = materialise(suffixes.groupBy("id").agg(F.count(F.lit(1)).alias("n")).select("id", "n", key.alias("key"), F.lit(0).alias("all")), "line-ids")
     ranked = running_sum(firsts, ["all"], "key", ["id"], "n", "rank").select("id", "rank")
     ranks = materialise(suffixes.join(ranked, "id").select("s", "i", "rank"), "ranks")
-    deepest = suffixes.agg(F.max("m")).first()[0] or 0
+    deepest, total = suffixes.agg(F.coalesce(F.max("m"), F.lit(0)), F.count(F.lit(1))).first()
+    # ranks spread over the order key's range, in their own order
+    spread = (1 << HASH_BITS) // max(1, total)
     depth, found = 1, None
     while depth <= deepest:
         wanted = suffixes.filter(F.col("m").between(depth, 2 * depth - 1)).withColumn("j", F.col("i") + F.col("m") - depth)
@@ -72,8 +85,7 @@ def suffix_intervals(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             break
         after = ranks.select("s", (F.col("i") - depth).alias("i"), F.col("rank").alias("next"))
         pairs = materialise(ranks.join(after, ["s", "i"], "left").select("s", "i", "rank", F.coalesce("next", F.lit(-1).cast("long")).alias("next")), "pairs")
-        scramble = F.xxhash64("next").bitwiseAND(F.lit((1 << HASH_BITS) - 1))
-        groups = materialise(pairs.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n")).withColumn("key", scramble), "rank-pairs")
+        groups = materialise(pairs.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.col("next") * spread), "rank-pairs")
         placed = running_sum(groups, ["rank"], "key", ["next"], "n", "before").filter("n > 1 AND next >= 0")
         # a suffix alone at its rank cannot repeat at this depth or deeper
         ranks = materialise(pairs.join(placed, ["rank", "next"]).select("s", "i", (F.col("rank") + F.col("before")).alias("rank")), "ranks")
@@ -83,27 +95,52 @@ def suffix_intervals(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return found
 
 
+def _runs(later: DataFrame) -> DataFrame:
+    """``doc_id, h, runs``: the maximal runs of each document that repeat a first copy, by their first line."""
+    one = ["doc_id", "h", "f_doc", "f_h", F.col("f_i") - F.col("i")]
+    numbered = later.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy(*one).orderBy("i")))
+    grouped = numbered.groupBy("doc_id", "h", "f_doc", "f_h", (F.col("f_i") - F.col("i")).alias("shift"), "island")
+    run = grouped.agg(F.min("line").alias("line"), (F.max(F.col("i") + F.col("m")) - F.min("i")).cast("long").alias("lines"), F.min("f_line").alias("first_line"))
+    item = F.struct("line", "lines", F.col("f_doc").alias("first_doc_id"), "first_line")
+    return run.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(item)).alias("runs"))
+
+
 def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per document that loses lines: ``doc_id, h, removed`` (line numbers), ``first_doc_ids`` (where the copies stay), ``removed_words``."""
+    """One row per document that loses lines: ``doc_id, h, removed`` (line numbers), ``first_doc_ids`` (where the copies stay), ``removed_words, runs``.
+
+    A run is ``line`` (its first), ``lines`` (with words), ``first_doc_id, first_line``.
+    """
     lines = materialise(_lines(docs), "lines")
     suffixes = materialise(suffix_intervals(lines, min_words), "intervals")
-    place = F.struct("doc_id", "h", "i")
+    place = F.struct("doc_id", "h", "i", "line")
     # written, so that the join shuffles anew and an interval of very many suffixes can be split
     firsts = materialise(suffixes.groupBy("m", "a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "firsts")
-    later = suffixes.join(firsts, ["m", "a", "b"]).filter(~place.eqNullSafe(F.col("first")))
-    gone = later.select("doc_id", "h", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("m") - 1)).alias("i"), F.col("first.doc_id").alias("kept")).distinct()
-    here = lines.select("doc_id", "h", "i", "line", "words")
-    same = (F.col("l.doc_id").eqNullSafe(F.col("g.doc_id"))) & (F.col("l.h") == F.col("g.h")) & (F.col("l.i") == F.col("g.i"))
-    hit = gone.alias("g").join(here.alias("l"), same).select("g.doc_id", "g.h", "g.kept", "l.line", "l.words")
+    names = [F.col("first.doc_id").alias("f_doc"), F.col("first.h").alias("f_h"), F.col("first.i").alias("f_i"), F.col("first.line").alias("f_line")]
+    later = materialise(suffixes.join(firsts, ["m", "a", "b"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "h", "i", "line", "m", *names), "later")
+    within = F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("h") == F.col("f_h"))
+    start = F.when(within, F.greatest("i", F.col("f_i") + F.col("m"))).otherwise(F.col("i"))
+    each = later.select("doc_id", "h", F.explode(F.sequence(start, F.col("i") + F.col("m") - 1)).alias("i"), "f_doc", "f_h", (F.col("f_i") - F.col("i")).alias("shift"))
+    gone = materialise(each.select("doc_id", "h", "i", "f_doc", "f_h", (F.col("i") + F.col("shift")).alias("f_i")).distinct(), "gone")
+    kept = lines.select(F.col("doc_id").alias("f_doc"), F.col("h").alias("f_h"), F.col("i").alias("f_i"), F.col("sha").alias("f_sha"))
+    same = lambda left, right, names: reduce(and_, [left[x].eqNullSafe(right[x]) for x in names])
+    first, own = ["f_doc", "f_h", "f_i"], ["doc_id", "h", "i"]
+    wanted = materialise(gone.join(kept, same(gone, kept, first)).select(*own, gone["f_doc"], "f_sha"), "gone")
+    hit = wanted.join(lines, same(wanted, lines, own)).filter("sha = f_sha").select(wanted["doc_id"], wanted["h"], F.col("f_doc").alias("kept"), "line", "words")
     per_line = hit.groupBy("doc_id", "h", "line").agg(F.min("words").alias("words"), F.collect_set("kept").alias("kept"))
     per_doc = per_line.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("line")).alias("removed"), F.sum("words").alias("removed_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kept")))).alias("first_doc_ids"))
-    return per_doc.select("doc_id", "h", "removed", "removed_words", "first_doc_ids")
+    runs = _runs(later).select(F.col("doc_id").alias("r_doc"), F.col("h").alias("r_h"), "runs")
+    joined = per_doc.join(runs, F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("h") == F.col("r_h")))
+    return joined.select("doc_id", "h", "removed", "removed_words", "first_doc_ids", "runs")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with later copies of repeated runs deleted from their texts."""
     names = docs.columns
-    out = removals(docs, min_words).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("removed").alias("__r"))
-    joined = docs.withColumn("__k", F.xxhash64("text")).join(out, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__h")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__r", i)), "\n")
-    return joined.withColumn("text", F.when(F.col("__r").isNull(), F.col("text")).otherwise(kept)).select(*names)
+    hidden = [f"c{i}" for i in range(len(names))]
+    bare = docs.toDF(*hidden)
+    key, text = (F.col(hidden[names.index(n)]) for n in ("doc_id", "text"))
+    out = removals(bare.select(key.alias("doc_id"), text.alias("text")), min_words).select("doc_id", "h", "removed")
+    joined = bare.withColumn("k", F.xxhash64(text)).join(out, key.eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("h")), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    cleaned = F.when(F.col("removed").isNull(), text).otherwise(kept)
+    return joined.select(*[cleaned.alias(c) if n == "text" else F.col(c) for c, n in zip(hidden, names, strict=True)]).toDF(*names)

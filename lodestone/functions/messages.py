@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROLES = ("system", "user", "assistant")
+THINK = re.compile(r"^<think>\s*</think>\s*")
 
 
 def gather(turns: DataFrame, by: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -56,7 +59,7 @@ def chat_text(messages: Column) -> Column:
 
 def strip_empty_think(text: Column) -> Column:
     """Without an empty reasoning block at the start."""
-    return F.regexp_replace(text, r"^<think>\s*</think>\s*", "")
+    return F.regexp_replace(text, THINK.pattern, "")
 
 
 def find_content(text: Column, content: Column) -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
 import html
+import math
 import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 VOCABULARY = 65_536
@@ -72,23 +74,31 @@ def title_and_body(title: Column, body: Column) -> Column:
 
 
 _SCALES = {"k": 10**3, "m": 10**6, "b": 10**9, "t": 10**12, "ki": 2**10, "mi": 2**20, "gi": 2**30, "ti": 2**40}
+_NUMBER = re.compile(
+    r"""(?P<sign>[+-]?)(?P<size>\d+\.?\d*|\.\d+)
+        (?: (?P<percent>%) | \^(?P<power>[+-]?\d+\.?\d*) | e(?P<ten>[+-]?\d+\.?\d*) | (?P<scale>[kmbt]|[kmgt]i) )?""",
+    re.VERBOSE,
+)
 
 
 def human_number(value: str | int | float) -> float:
-    """Numbers as people write them: 1K, 1Ki, 10^6, 1e6, 1.5%, 1_000."""
-    if isinstance(value, int | float):
+    """Numbers as people write them: 1K, 1Ki, 10^6, 1e6, 1.5%, 1_000; a sign belongs to the whole, so -2^0.5 is -(2^0.5)."""
+    if not isinstance(value, str):
         return value
-    t = value.strip().lower().replace("_", "")
-    number = r"[+-]?\d+(?:\.\d)?"
-    if m := re.fullmatch(rf"({number})%", t):
-        return float(m[1]) / 100
-    if m := re.fullmatch(rf"({number})\^({number})", t):
-        return float(m[1]) ** float(m[2])
-    if m := re.fullmatch(rf"({number})e({number})", t):
-        return float(m[1]) * 10 ** float(m[2])
-    if m := re.fullmatch(rf"({number})(ki|mi|gi|ti|k|m|b|t)", t):
-        return float(m[1]) * _SCALES[m[2]]
-    return float(t)
+    plain = value.strip().lower().replace("_", "")
+    found = _NUMBER.fullmatch(plain)
+    if found is None:
+        return float(plain)
+    part = found.groupdict()
+    size = float(part["size"]) * _SCALES.get(part["scale"], 1) * 10 ** float(part["ten"] or 0) / (100 if part["percent"] else 1)
+    size **= float(part["power"] or 1)
+    return -size if part["sign"] == "-" else size
+
+
+@F.pandas_udf(DoubleType())
+def human_numbers(texts: pd.Series) -> pd.Series:
+    """:func:`human_number` of a column; null for null."""
+    return texts.map(lambda t: None if t is None else float(human_number(t)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -97,8 +107,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """L2-normalised; null components for a zero vector."""
-    return F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.transform(v, lambda x: F.try_divide(x.cast("double"), n)))[0]
+    """L2-normalised; NaN components for a zero vector."""
+    share = lambda x, n: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(float("nan")))
+    return F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.transform(v, lambda x: share(x, n)))[0]
 
 
 def sql_words(spark) -> list[str]:
@@ -133,12 +144,45 @@ def filled_id(value: Column, text: Column) -> Column:
     return F.coalesce(value.cast("string"), F.concat(F.lit("__MISSING_ID__"), F.substring(F.md5(text), 1, 16)))
 
 
-def human_count(value: Column) -> Column:
-    """A count with one decimal, decimal halves rounded up, and its scale: K, M, B, T."""
-    scaled = F.when(value < 1e3, F.format_string("%.1f", value.cast("double")))
-    for size, mark in ((1e3, "K"), (1e6, "M"), (1e9, "B")):
-        scaled = scaled.when(value < size * 1e3, F.format_string(f"%.1f{mark}", value / size))
-    return scaled.otherwise(F.format_string("%.1fT", value / 1e12))
+#: Marks of the powers of 1000 and of 1024.
+_THOUSANDS = ("", "K", "M", "B", "T", "Qa", "Qi")
+_BINARY = ("", "Ki", "Mi", "Gi", "Ti", "Pi", "Ei", "Zi", "Yi")
+
+
+def _human(step: int, marks: tuple[str, ...]):
+    def one(n: float) -> str | None:
+        if n is None or n != n:
+            return None
+        if n == 0:
+            return "0"
+        power = min(int(math.log(abs(n), step)), len(marks) - 1)
+        return f"{n / step**power:_.2f}{marks[power]}"
+
+    @F.pandas_udf(StringType())
+    def many(values: pd.Series) -> pd.Series:
+        return values.map(one)
+
+    return many
+
+
+def human_count(value: Column, binary: bool = False) -> Column:
+    """A count with two decimals and its scale, K, M, B ... or Ki, Mi, Gi ...; 0 alone, null for null."""
+    return _human(1024, _BINARY)(value.cast("double")) if binary else _human(1000, _THOUSANDS)(value.cast("double"))
+
+
+@F.pandas_udf(StringType())
+def _seconds(values: pd.Series) -> pd.Series:
+    def one(s: float) -> str | None:
+        if s != s:
+            return None
+        return f"{s:.3f}s" if s < 60 else str(datetime.timedelta(seconds=s)).split(".")[0]
+
+    return values.map(one)
+
+
+def human_seconds(value: Column) -> Column:
+    """Under a minute seconds with three decimals, else hours, minutes and seconds, and days in front of them."""
+    return _seconds(value.cast("double"))
 
 
 def streamed_content(body: Column, status: Column) -> Column:

@@ -2,22 +2,42 @@
 
 from __future__ import annotations
 
+import re
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-READ_ONLY = ("Project", "Aggregate", "Filter", "Sort", "GlobalLimit", "LocalLimit", "Join", "Distinct", "SubqueryAlias", "Union", "UnresolvedWith", "WithCTE", "UnresolvedHaving", "Offset", "UnresolvedOrderBy", "Intersect", "Except", "UnresolvedSubqueryColumnAliases", "OneRowRelation", "UnresolvedRelation")
+#: Plan nodes that only read; a statement with any other node, at any depth, is refused.
+READ_ONLY = frozenset(
+    ("Project", "Aggregate", "Filter", "Sort", "GlobalLimit", "LocalLimit", "Join", "Distinct", "Deduplicate", "SubqueryAlias", "Union", "UnresolvedWith", "UnresolvedHaving", "Offset", "UnresolvedOrderBy", "Intersect",
+     "Except", "UnresolvedSubqueryColumnAliases", "OneRowRelation", "UnresolvedRelation", "UnresolvedInlineTable", "UnresolvedTableValuedFunction", "WithWindowDefinition", "Generate", "Pivot", "UnresolvedPivot", "Window", "LocalRelation", "LateralJoin", "Sample", "View", "UnresolvedHint", "Expand")
+)
+_CALLS_CODE = re.compile(r"\b(?:reflect|try_reflect|java_method)\s*\(", re.IGNORECASE)
+
+
+def _refusal(plan) -> str | None:
+    """The first node of a parsed plan that may do more than read, looked for in all its parts."""
+    open_plans = [plan]
+    while open_plans:
+        at = open_plans.pop()
+        name = at.nodeName()
+        if name not in READ_ONLY:
+            return name
+        for parts in (at.children(), at.innerChildren(), at.subqueries()):
+            open_plans += [parts.apply(i) for i in range(parts.size())]
+    return None
 
 
 def _guard(spark: SparkSession, statements: list[str], action, seconds: float):
     """``action`` of the statements' DataFrames, or an error; only read-only statements run, cancelled after ``seconds``."""
     try:
         for sql in statements:
-            plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-            if plan.nodeName() not in READ_ONLY:
-                return None, f"not a query: {plan.nodeName()}"
-        tag = f"guarded-{id(statements)}"
+            refused = _refusal(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql))
+            if refused or _CALLS_CODE.search(sql):
+                return None, f"not a query: {refused or 'calls code'}"
+        tag = f"guarded-{uuid.uuid4().hex}"
         spark.addTag(tag)
         timer = threading.Timer(seconds, spark.interruptTag, [tag])
         timer.start()
@@ -27,7 +47,7 @@ def _guard(spark: SparkSession, statements: list[str], action, seconds: float):
             timer.cancel()
             spark.removeTag(tag)
     except Exception as e:  # any failure of a generated statement is its result
-        return None, str(e).split("\n")[0]
+        return None, str(e).strip().split("\n")[0] or type(e).__name__
 
 
 def guarded(spark: SparkSession, sql: str, limit: int = 1000, seconds: float = 5.0) -> tuple[list[tuple] | None, str | None]:
@@ -80,9 +100,53 @@ def soft_similarity(left: DataFrame, right: DataFrame, by: list[str]) -> DataFra
 def nearest_pair(pairs: DataFrame, farthest: bool = False) -> DataFrame:
     """The correct and wrong answer at the least (or greatest) edit distance per item; first wins ties.
 
-    ``pairs`` holds ``item`` and the arrays ``correct`` and ``wrong``.
+    ``pairs`` holds ``item`` and the arrays ``correct`` and ``wrong``: the samples of one item, as many as were
+    drawn.  Each row folds over its own two arrays and keeps the best pair so far; no pair becomes a row.  Items without either are left out.
     """
-    each = pairs.select("item", F.posexplode("correct").alias("i", "c"), "wrong").select("item", "i", "c", F.posexplode("wrong").alias("j", "w"))
-    distance = F.levenshtein("c", "w")
-    order = Window.partitionBy("item").orderBy(distance.desc() if farthest else distance, "i", "j")
-    return each.withColumn("r", F.row_number().over(order)).filter("r = 1").select("item", F.col("c").alias("chosen"), F.col("w").alias("rejected"))
+    sign = -1 if farthest else 1
+
+    def best(start, c, i):
+        one = lambda acc, w, j: F.least(acc, F.struct((F.levenshtein(c, w) * sign).alias("d"), i.alias("i"), j.alias("j")))
+        numbered = F.transform("wrong", lambda w, j: F.struct(w.alias("w"), j.alias("j")))
+        return F.aggregate(numbered, start, lambda acc, x: one(acc, x["w"], x["j"]))
+
+    none = F.lit(None).cast("struct<d:int,i:int,j:int>")
+    numbered = F.transform("correct", lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+    found = F.aggregate(numbered, none, lambda acc, x: best(acc, x["c"], x["i"]))
+    return pairs.withColumn("b", found).filter("b IS NOT NULL").select("item", F.get("correct", F.col("b.i")).alias("chosen"), F.get("wrong", F.col("b.j")).alias("rejected"))
+
+
+def valid_executions(results: DataFrame) -> DataFrame:
+    """Executed statements (``error``, ``n_rows``) that succeeded and gave rows."""
+    return results.filter("error IS NULL AND n_rows > 0")
+
+
+def accuracy(results: DataFrame, *by: str) -> DataFrame:
+    """Per group of ``by``, or over all: ``n``, the share ``correct`` and the share ``executed`` (no error) of ``correct, error`` rows."""
+    share = lambda c: F.avg(c.cast("int"))
+    return results.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), share(F.coalesce("correct", F.lit(False))).alias("accuracy"), share(F.col("error").isNull()).alias("executed"))
+
+
+def pass_at(samples: DataFrame, k: int) -> DataFrame:
+    """``pass_at_k``: the share of items of which one of the first ``k`` samples (``item, pos, correct``) is correct."""
+    hit = samples.filter(F.col("pos") < k).groupBy("item").agg(F.bool_or("correct").alias("hit"))
+    whole = samples.select("item").distinct().join(hit, "item", "left")
+    return whole.agg(F.avg(F.coalesce("hit", F.lit(False)).cast("int")).alias("pass_at_k"))
+
+
+def right_and_wrong(samples: DataFrame) -> DataFrame:
+    """``item, right_n, wrong_n`` of the items (``item, correct``) that have both."""
+    counted = samples.groupBy("item").agg(F.count_if("correct").alias("right_n"), F.count_if(~F.col("correct")).alias("wrong_n"))
+    return counted.filter("right_n > 0 AND wrong_n > 0")
+
+
+def first_correct(samples: DataFrame) -> DataFrame:
+    """``item, answer``: the earliest correct sample of each item (``item, pos, answer, correct``)."""
+    return samples.filter("correct").groupBy("item").agg(F.min_by("answer", "pos").alias("answer"))
+
+
+def checkpoint_sweep(results: DataFrame) -> DataFrame:
+    """``checkpoint, n, accuracy, executed, best``: accuracy of each checkpoint, the earliest of the best marked."""
+    scored = accuracy(results, "checkpoint")
+    order = Window.partitionBy(F.lit(0)).orderBy(F.col("accuracy").desc(), "checkpoint")  # one row a checkpoint
+    return scored.withColumn("best", F.row_number().over(order) == 1)

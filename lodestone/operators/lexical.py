@@ -1,25 +1,57 @@
-"""BM25 over an inverted index."""
+"""BM25 over a stored inverted index of values."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
+LONGEST = 40
+
+
+@dataclass
+class Index:
+    """``postings`` (term, value_id, tf, len, df), the number of values and their mean length."""
+
+    postings: DataFrame
+    n: int
+    mean: float
+
+
+def index_values(values: DataFrame) -> DataFrame:
+    """The distinct values worth an index: texts of 1 to 40 characters that are no number."""
+    size = F.length("value")
+    return values.filter(F.col("value").isNotNull() & size.between(1, LONGEST) & F.col("value").try_cast("double").isNull()).select("value").distinct()
 
 
-def bm25(queries: DataFrame, values: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best values of each query: ``q, value_id, score``; both sides hold an array ``terms``."""
-    postings = values.select("value_id", F.explode("terms").alias("term")).groupBy("value_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    sizes = values.select("value_id", F.size("terms").alias("len"))
+def value_sample(values: DataFrame, by: str, n: int) -> DataFrame:
+    """The first ``n`` distinct non-empty values of each ``by``, cut to 40 characters."""
+    cut = values.filter("value IS NOT NULL AND value <> ''").select(by, F.substring("value", 1, LONGEST).alias("value")).distinct()
+    return cut.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy("value"))).filter(F.col("r") <= n).drop("r")
+
+
+def build_index(values: DataFrame, path: str) -> Index:
+    """Write the index of ``value_id, terms`` below ``path``: a posting holds all that scoring needs, so a search joins once."""
+    postings = values.select("value_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("value_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()
-    if not stats.n:
-        return queries.select("q", F.lit(None).cast("long").alias("value_id"), F.lit(None).cast("double").alias("score")).limit(0)
-    idf = F.log(1 + (F.lit(stats.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(stats.mean)))
+    postings.join(frequency, "term").write.parquet(f"{path}/postings")
+    values.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("terms")), F.lit(0.0)).alias("mean")).write.parquet(f"{path}/sizes")
+    return read_index(values.sparkSession, path)
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    """A written index."""
+    sizes = spark.read.parquet(f"{path}/sizes").first()
+    return Index(spark.read.parquet(f"{path}/postings"), sizes["n"], sizes["mean"])
+
+
+def bm25(queries: DataFrame, index: Index, k: int) -> DataFrame:
+    """The ``k`` best values of each query (``q``, ``terms``): ``q, value_id, score``."""
+    idf = F.log(1 + (F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(index.mean or 1.0)))
     asked = queries.select("q", F.explode(F.array_distinct("terms")).alias("term"))
-    hits = asked.join(frequency, "term").join(postings, "term").join(sizes, "value_id")
-    scored = hits.groupBy("q", "value_id").agg(F.sum(idf * weight).alias("score"))
+    scored = asked.join(index.postings, "term").groupBy("q", "value_id").agg(F.sum(idf * weight).alias("score"))
     best = Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "value_id")
     return scored.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r")

@@ -6,36 +6,61 @@ sequential packer would have had its own rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.operators.position import running_total
+from lodestone.plans.running import HASH_BITS, order_hash
 
 
 def next_fit(df: DataFrame, limit: int, always_max_length: bool = False, drop_last: bool = False) -> DataFrame:
     """Add ``pack``: rows in order; a pack is closed when it exceeds the limit, or (by default) when the next row would.
 
     With ``always_max_length`` a pack may exceed the limit by up to one row.  ``drop_last`` drops the
-    last pack of each chunk.
+    last pack of each chunk.  One pass over each chunk's sorted rows, which carry their other columns
+    along; a task holds a batch and, for ``drop_last``, the open pack.
     """
-    rows = df.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "length"))).alias("rows"))
-    start = F.struct(F.lit(-1).cast("int").alias("pack"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<pos:bigint,pack:int>>").alias("out"))
-
-    def step(acc, row):
-        full = acc["used"] > limit
-        if not always_max_length:
-            full = full | (acc["used"] + row["length"] > limit)
-        fresh = full | (acc["pack"] < 0)
-        pack = acc["pack"] + fresh.cast("int")
-        used = F.when(fresh, row["length"]).otherwise(acc["used"] + row["length"]).cast("long")
-        item = F.struct(row["pos"].cast("long").alias("pos"), pack.cast("int").alias("pack"))
-        return F.struct(pack.alias("pack"), used.alias("used"), F.concat(acc["out"], F.array(item)).alias("out"))
-
-    folded = rows.select("chunk", F.aggregate("rows", start, step).alias("acc"))
-    placed = folded.select("chunk", F.col("acc.pack").alias("__last"), F.inline("acc.out"))
-    if drop_last:
-        placed = placed.filter(F.col("pack") < F.col("__last"))
-    return df.join(placed.drop("__last"), ["chunk", "pos"])
+
+    def run(batches):
+        chunk, pack, used, held = None, 0, 0, None
+        for b in batches:
+            packs = np.empty(len(b), dtype=np.int32)
+            for i, (c, n) in enumerate(zip(b["chunk"].tolist(), b["length"].tolist(), strict=True)):
+                if c != chunk:
+                    chunk, pack, used = c, 0, n
+                elif used > limit or (not always_max_length and used + n > limit):
+                    pack, used = pack + 1, n
+                else:
+                    used += n
+                packs[i] = pack
+            out = b.assign(pack=packs)
+            if not drop_last:
+                yield out
+                continue
+            out = out if held is None else pd.concat([held, out], ignore_index=True)
+            chunks, packs = out["chunk"].to_numpy(), out["pack"].to_numpy()
+            ends = np.flatnonzero((chunks[1:] != chunks[:-1]) | (packs[1:] != packs[:-1]))  # last rows of closed packs
+            whole = np.zeros(len(out), dtype=bool)
+            for first, last in zip([0, *(ends[:-1] + 1)], ends, strict=False):
+                whole[first : last + 1] = chunks[last] == chunks[last + 1]
+            open_from = ends[-1] + 1 if len(ends) else 0
+            held = out.iloc[open_from:]
+            yield out[whole]
+
+    names = df.columns
+    plain = [n if n in ("chunk", "pos", "length") else f"c{i}" for i, n in enumerate(names)]
+    rows = df.toDF(*plain).repartition("chunk").sortWithinPartitions("chunk", "pos")
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("pack", T.IntegerType())])).toDF(*names, "pack")
+
+
+def fused_positions(positions: Column, key: Column, share: float, seed: int = 42) -> Column:
+    """Position ids of a pack that restart for each sample, or, for about ``share`` of the packs by their ``key``, run through."""
+    draw = order_hash(F.lit(seed), key) / float(1 << HASH_BITS)
+    whole = F.transform(positions, lambda x, i: i)
+    return F.when(draw < share, whole).otherwise(positions)
 
 
 def slice_and_pack(df: DataFrame, limit: int) -> DataFrame:
@@ -43,20 +68,25 @@ def slice_and_pack(df: DataFrame, limit: int) -> DataFrame:
 
     Rows give their full slices alone (kind ``full``); the tails form one stream that is cut every
     ``limit`` tokens (kind ``tail``), in closed form from a running sum; an unfilled last pack is dropped.
+    Both windows share one partitioning, and each row's pieces come out of one pass.
     """
     cut = F.floor(F.col("length") / limit)
-    rows = df.filter("length > 0").withColumn("k", cut).withColumn("tail", F.col("length") - cut * limit)
-    full = rows.filter("k > 0").select("chunk", "pos", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i"))
-    full = full.select("chunk", "pos", F.lit("full").alias("kind"), F.col("i").alias("pack"), (F.col("i") * limit).alias("first"), F.lit(limit).cast("long").alias("n"))
-    order = Window.partitionBy("chunk").orderBy("pos")
-    off = F.coalesce(F.sum("tail").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    stream = rows.withColumn("total", F.sum("tail").over(Window.partitionBy("chunk"))).withColumn("off", off).filter("tail > 0")
-    piece = stream.withColumn("pack", F.explode(F.sequence(F.floor(F.col("off") / limit), F.floor((F.col("off") + F.col("tail") - 1) / limit))))
-    piece = piece.filter((F.col("pack") + 1) * limit <= F.col("total"))
-    low = F.greatest(F.col("off"), F.col("pack") * limit)
-    high = F.least(F.col("off") + F.col("tail"), (F.col("pack") + 1) * limit)
-    tails = piece.select("chunk", "pos", F.lit("tail").alias("kind"), "pack", (F.col("k") * limit + low - F.col("off")).alias("first"), (high - low).alias("n"))
-    return full.unionByName(tails)
+    rows = df.filter("length > 0").select("chunk", "pos", cut.alias("k"), (F.col("length") - cut * limit).alias("tail"))
+    whole = Window.partitionBy("chunk")
+    before = whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("off", F.coalesce(F.sum("tail").over(before), F.lit(0))).withColumn("total", F.sum("tail").over(whole))
+    piece = lambda kind, pack, first, n: F.struct(F.lit(kind).alias("kind"), pack.alias("pack"), first.cast("long").alias("first"), n.cast("long").alias("n"))
+    none = F.array().cast("array<struct<kind:string,pack:bigint,first:bigint,n:bigint>>")
+    full = F.when(F.col("k") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda i: piece("full", i, i * limit, F.lit(limit)))).otherwise(none)
+    end = F.col("off") + F.col("tail")
+
+    def tail(p: Column) -> Column:
+        low, high = F.greatest(F.col("off"), p * limit), F.least(end, (p + 1) * limit)
+        return piece("tail", p, F.col("k") * limit + low - F.col("off"), high - low)
+
+    packs = F.sequence(F.floor(F.col("off") / limit), F.floor((end - 1) / limit))
+    tails = F.when(F.col("tail") > 0, F.transform(F.filter(packs, lambda p: (p + 1) * limit <= F.col("total")), tail)).otherwise(none)
+    return placed.select("chunk", "pos", F.inline(F.concat(full, tails)))
 
 
 def repeat_to_fill(df: DataFrame, limit: int) -> DataFrame:

@@ -38,6 +38,14 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def unique_or_raise(df: DataFrame, *keys: str) -> DataFrame:
+    """The table itself; an error that names a key if one repeats."""
+    again = repeated_keys(df, list(keys)).first()
+    if again is not None:
+        raise ValueError(f"{dict(zip(keys, again[: len(keys)], strict=True))} occurs {again['n']} times")
+    return df
+
+
 def first_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per key, the one least in ``order``."""
     rest = [c for c in df.columns if c not in keys and c != order]
@@ -54,9 +62,30 @@ def scramble_ids(df: DataFrame, ordinal: int, seed: int = 42) -> DataFrame:
     return df.select(*[order_hash(F.lit(seed), F.lit(ordinal), F.col(c)).alias(c) if c.lower().endswith("id") else F.col(c) for c in df.columns])
 
 
-def combine_datasets(frames: list[DataFrame], seed: int = 42) -> DataFrame:
-    """Datasets one after the other with scrambled ids."""
-    return reduce(DataFrame.unionByName, [scramble_ids(f, i, seed) for i, f in enumerate(frames)])
+def combine_datasets(frames: list[DataFrame], seed: int = 42, unique: tuple[str, ...] = ()) -> DataFrame:
+    """Datasets one after the other with scrambled ids, which are unique by ``unique`` or an error."""
+    whole = reduce(DataFrame.unionByName, [scramble_ids(f, i, seed) for i, f in enumerate(frames)])
+    return unique_or_raise(whole, *unique) if unique else whole
+
+
+def exchange(tokens: DataFrame, expert: str, experts_per_rank: int, order: str) -> DataFrame:
+    """Every token at the rank that holds its expert: adds ``rank`` and ``slot``, its place among the rank's tokens by expert and ``order``.
+
+    One range partitioning by rank, expert and order; going back is a join on the token's own key.
+    """
+    from lodestone.operators.position import with_position
+
+    placed = with_position(tokens.withColumn("rank", F.floor(F.col(expert) / experts_per_rank).cast("int")), "rank", expert, order)
+    first = placed.groupBy("rank").agg(F.min("pos").alias("__first"))
+    return placed.join(first, "rank").withColumn("slot", F.col("pos") - F.col("__first")).drop("pos", "__first")
+
+
+def upper_names(df: DataFrame) -> DataFrame:
+    """All column names in upper case; names that then agree are an error."""
+    names = [c.upper() for c in df.columns]
+    if len(set(names)) < len(names):
+        raise ValueError(f"column names agree in upper case: {names}")
+    return df.toDF(*names)
 
 
 def blockwise_top_k(scores: DataFrame, k: int, block: Column) -> DataFrame:

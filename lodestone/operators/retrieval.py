@@ -20,13 +20,15 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def retrieve(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+def retrieve(queries: DataFrame, documents: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
     """Exact top-k by cosine: ``query_id, document_id, score``.
 
-    Queries are read in blocks of bounded size; each task scores a batch of documents against a block
-    and keeps its own k best per query, so partial results stay small, and one ranking merges them.
+    Queries are read in blocks of bounded size; each task scores its documents against a block and
+    keeps only the k best of each query so far, so it yields k rows a query however many documents it read,
+    and one ranking merges them.  ``skip_self`` leaves out the document that has the query's own id.
     """
     rows = queries.select("query_id", unit(F.col("vector")).alias("v"))
+    keep = k + 1 if skip_self else k
     out, block = None, []
 
     def score(block):
@@ -34,12 +36,16 @@ def retrieve(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
         matrix = np.array([r.v for r in block], dtype=np.float64)
 
         def run(batches):
+            scores, names = np.empty((0, len(ids))), np.empty((0, len(ids)), dtype=np.int64)
             for b in batches:
-                x = np.stack(b["v"].to_numpy())
-                s = x @ matrix.T
-                keep = min(k, len(x))
-                order = np.argsort(-s, axis=0, kind="stable")[:keep]
-                yield pd.DataFrame({"query_id": np.tile(ids, keep), "document_id": b["document_id"].to_numpy()[order].reshape(-1), "score": np.take_along_axis(s, order, 0).reshape(-1)})
+                s = np.stack(b["v"].to_numpy()) @ matrix.T
+                # earlier documents first, so that a stable sort breaks ties by id
+                scores = np.concatenate([scores, s])
+                names = np.concatenate([names, np.broadcast_to(b["document_id"].to_numpy()[:, None], s.shape)])
+                order = np.argsort(-scores, axis=0, kind="stable")[:keep]
+                scores, names = np.take_along_axis(scores, order, 0), np.take_along_axis(names, order, 0)
+            if len(scores):
+                yield pd.DataFrame({"query_id": np.tile(ids, len(scores)), "document_id": names.reshape(-1), "score": scores.reshape(-1)})
 
         docs = documents.select("document_id", unit(F.col("vector")).alias("v")).sortWithinPartitions("document_id")
         return docs.mapInPandas(run, "query_id long, document_id long, score double")
@@ -52,7 +58,9 @@ def retrieve(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     if block:
         found = score(block)
         out = found if out is None else out.unionByName(found)
-    return top_k(out, k).drop("rank")
+    if out is None:
+        return queries.sparkSession.createDataFrame([], "query_id long, document_id long, score double")
+    return top_k(out.filter("query_id <> document_id") if skip_self else out, k).drop("rank")
 
 
 def mine(scored: DataFrame, labels: DataFrame, threshold: float = 0.95, negatives: int = 10, positives: int = 1) -> DataFrame:

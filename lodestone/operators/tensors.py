@@ -25,6 +25,26 @@ def truncated_info_nce(pairs: DataFrame, dimension: int, weight: float = 0.5, te
     return full.join(part, ["query_id", "document_id"]).withColumn("loss", (1 - weight) * F.col("full") + weight * F.col("truncated"))
 
 
+def pooled(tokens: DataFrame) -> DataFrame:
+    """``seq, mean, first, last``: token vectors (``seq, pos, mask, vector``) under the mask, averaged, and those of the first and the last token."""
+    held = tokens.filter("mask")
+    each = held.select("seq", F.posexplode("vector").alias("i", "x")).groupBy("seq", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    means = each.groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda c: c["m"]).alias("mean"))
+    ends = held.groupBy("seq").agg(F.min_by("vector", "pos").alias("first"), F.max_by("vector", "pos").alias("last"))
+    return means.join(ends, "seq")
+
+
+def preference_loss(chosen: Column, rejected: Column, reference_chosen: Column, reference_rejected: Column, beta: float = 0.1, smoothing: float = 0.0) -> dict[str, Column]:
+    """``loss, chosen_reward, rejected_reward`` from the summed log probabilities of both answers under the model and the reference.
+
+    With ``smoothing`` the labels count as swapped with that probability.
+    """
+    good, bad = beta * (chosen - reference_chosen), beta * (rejected - reference_rejected)
+    gap = good - bad
+    loss = (1 - smoothing) * F.log1p(F.exp(-gap)) + smoothing * F.log1p(F.exp(gap))
+    return {"loss": loss, "chosen_reward": good, "rejected_reward": bad}
+
+
 def block_gates(tokens: DataFrame, size: int, k: int) -> DataFrame:
     """The key blocks that each token attends to: ``seq, pos, block``.
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from lodestone.functions import messages as M
 from lodestone.functions import sequences as S
 from lodestone.functions.messages import chat_text
-from lodestone.functions.text import token_ids
+from lodestone.functions.tokenizer import HashTokenizer, Tokenizer, encoded, from_file, masked_chat
 from lodestone.operators import packing
-from lodestone.operators.position import chunk_of, shuffled_position, split_exact
+from lodestone.operators.position import chunk_of, fill_iterations, shuffled_position, split_exact, with_position
+from lodestone.plans.scratch import materialise
 from lodestone.sources.registry import resolve
 
 
@@ -24,26 +25,83 @@ def combine(spark: SparkSession, sources: list, seed: int = 42) -> DataFrame:
     return shuffled_position(whole.withColumn("__k", key), "__k", seed).drop("__k", "__source")
 
 
-def causal(docs: DataFrame, limit: int, chunk_rows: int = 1000, bos: int = 1, eos: int = 2) -> DataFrame:
-    """Packs of exactly ``limit`` token ids from positioned texts: ``chunk, kind, pack, pos, input_ids``."""
-    ids = F.concat(F.array(F.lit(bos)), token_ids(F.col("text")), F.array(F.lit(eos)))
-    rows = docs.select("pos", ids.alias("ids")).withColumn("chunk", chunk_of(chunk_rows)).withColumn("length", F.size("ids").cast("long"))
+def chunk_rows(rows: int, workers: int, most: int) -> int:
+    """Rows that are packed together: a worker's share, but no more than ``most``."""
+    return min(rows // workers + 1, most)
+
+
+def guard_rows(df: DataFrame, world_size: int, what: str) -> int:
+    """The number of rows; an error if there are fewer than ranks, or none."""
+    rows = df.count()
+    if rows < max(1, world_size):
+        raise ValueError(f"{what} has {rows} rows for {world_size} ranks")
+    return rows
+
+
+def causal(docs: DataFrame, limit: int, chunk: int = 1000, bos: int = 1, eos: int = 2, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """Packs of exactly ``limit`` token ids from positioned texts: ``chunk, kind, pack, pos, input_ids, labels``."""
+    ids = F.concat(F.array(F.lit(bos)), encoded(F.col("text"), tokenizer), F.array(F.lit(eos)))
+    rows = materialise(docs.filter("text IS NOT NULL").select("pos", ids.alias("ids")).withColumn("chunk", chunk_of(chunk)).withColumn("length", F.size("ids").cast("long")), "token-rows")
     pieces = packing.slice_and_pack(rows.select("chunk", "pos", "length"), limit).join(rows.select("chunk", "pos", "ids"), ["chunk", "pos"])
     cut = pieces.withColumn("part", F.slice("ids", (F.col("first") + 1).cast("int"), F.col("n").cast("int")))
     key = F.when(F.col("kind") == "full", F.col("pos"))
     packs = cut.groupBy("chunk", "kind", "pack", key.alias("pos")).agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("parts"))
-    return packs.select("chunk", "kind", "pack", "pos", F.flatten(F.transform("parts", lambda p: p["part"])).alias("input_ids"))
+    whole = packs.select("chunk", "kind", "pack", "pos", F.flatten(F.transform("parts", lambda p: p["part"])).alias("input_ids"))
+    return whole.withColumn("labels", F.col("input_ids"))
 
 
-def sft(chats: DataFrame, max_length: int) -> DataFrame:
-    """Rendered and tokenised chats no longer than ``max_length``: ``input_ids, labels``."""
-    ids = chats.select("*", token_ids(chat_text(F.col("messages"))).alias("input_ids")).filter(F.size("input_ids") <= max_length)
-    if ids.isEmpty():
+def tokenised_chats(chats: DataFrame, tokenizer: Tokenizer | None = None, mask_inputs: bool = True, ignore_empty_think: bool = False) -> DataFrame:
+    """``messages`` rendered and tokenised beside the other columns: ``input_ids, labels``; only answers have labels, unless ``mask_inputs`` is off."""
+    others = [F.col(f"`{c}`") for c in chats.columns if c != "messages"]
+    answers = F.transform(F.filter("messages", lambda m: m["role"] == "assistant"), lambda m: F.coalesce(m["content"], F.lit("")))
+    ids = masked_chat(chat_text(F.col("messages")), answers, tokenizer or HashTokenizer(), mask_inputs, ignore_empty_think)
+    return chats.select(*others, ids.alias("__t")).select(*others, "__t.input_ids", "__t.labels")
+
+
+def sft(
+    chats: DataFrame, max_length: int, tokenizer: Tokenizer | None = None, mask_inputs: bool = True, ignore_empty_think: bool = False,
+    pack: bool = False, chunk: int = 1000, always_max_length: bool = False, drop_last: bool = False, fused_share: float = 0.0, repeat: bool = False,
+    pad_to: int | None = None, pad_id: int = 0, seed: int = 42,
+) -> DataFrame:
+    """Training rows from positioned chats (``pos, messages``): tokenised, masked, no longer than ``max_length``, packed and padded.
+
+    Without ``pack``: ``pos, input_ids, labels, position_ids, lengths``, one row a chat.  With it: ``chunk, pack`` in place of ``pos``, chats
+    shuffled, dealt to chunks of ``chunk`` rows and packed in order; ``repeat`` first repeats them to fill
+    ``max_length``, ``fused_share`` of the packs get positions that run through.  ``pad_to`` pads every row to a
+    multiple, or to ``max_length`` if it is 0; padded labels are ignored, padded places are no sample (``lengths`` are the samples').
+    """
+    tokens = tokenised_chats(chats.select("pos", "messages"), tokenizer, mask_inputs, ignore_empty_think).filter(F.size("input_ids").between(1, max_length))
+    tokens = materialise(tokens.withColumn("length", F.size("input_ids").cast("long")), "chat-tokens")
+    if tokens.isEmpty():
         raise ValueError("no chat is short enough")
-    return ids.withColumn("labels", F.col("input_ids"))
+    if pack:
+        rows = tokens.withColumnRenamed("pos", "__id")
+        if repeat:
+            numbered = packing.repeat_to_fill(rows.withColumn("pos", F.col("__id")), max_length)
+            rows = numbered.withColumn("__id", F.struct("copy", "__id")).drop("copy", "pos")
+        keyed = shuffled_position(rows.withColumn("__k", F.to_json(F.struct("__id"))), "__k", seed).withColumn("chunk", chunk_of(chunk))
+        packed = packing.next_fit(keyed.select("chunk", "pos", "length", "input_ids", "labels"), max_length, always_max_length, drop_last)
+        if packed.isEmpty():
+            raise ValueError("no pack is left")
+        grouped = packed.groupBy("chunk", "pack").agg(F.array_sort(F.collect_list(F.struct("pos", "length", "input_ids", "labels"))).alias("rows"))
+        part = lambda name: F.flatten(F.transform("rows", lambda r: r[name]))
+        lengths = F.transform("rows", lambda r: r["length"].cast("int"))
+        out = grouped.select("chunk", "pack", part("input_ids").alias("input_ids"), part("labels").alias("labels"), lengths.alias("lengths"))
+        key = F.concat_ws("|", F.col("chunk").cast("string"), F.col("pack").cast("string"))
+        out = out.withColumn("position_ids", packing.fused_positions(packing.position_ids(F.col("lengths")), key, fused_share, seed))
+    else:
+        out = tokens.select("pos", "input_ids", "labels", F.array(F.col("length").cast("int")).alias("lengths"))
+        out = out.withColumn("position_ids", packing.position_ids(F.col("lengths")))
+    if pad_to is None:
+        return out
+    size = F.lit(max_length) if pad_to == 0 else (F.ceil(F.size("input_ids") / pad_to) * pad_to).cast("int")
+    filled = out.withColumn("__size", F.greatest(size, F.size("input_ids")))
+    for name, value in (("input_ids", pad_id), ("labels", S.IGNORE), ("position_ids", 0)):
+        filled = filled.withColumn(name, M.pad(F.col(name), F.col("__size"), value))
+    return filled.drop("__size")
 
 
-def preference(pairs: DataFrame, max_length: int, max_prompt: int, bos: int = 1, eos: int = 2, keep_end: bool = False) -> DataFrame:
+def preference(pairs: DataFrame, max_length: int, max_prompt: int, bos: int = 1, eos: int = 2, keep_end: bool = False, tokenizer: Tokenizer | None = None) -> DataFrame:
     """Token sequences of preference pairs: ``chosen_input_ids, chosen_labels, rejected_input_ids, rejected_labels`` beside the pairs' columns.
 
     ``pairs`` holds the message lists ``prompt``, ``chosen`` and ``rejected``.  Each answer is tokenised with its
@@ -51,9 +109,9 @@ def preference(pairs: DataFrame, max_length: int, max_prompt: int, bos: int = 1,
     together.  A pair whose two prompts disagree by more than the merged token is an error.
     """
     names = pairs.columns
-    rows = pairs.withColumn("__p", token_ids(chat_text(F.col("prompt"))))
+    rows = pairs.withColumn("__p", encoded(chat_text(F.col("prompt")), tokenizer))
     for side in ("chosen", "rejected"):
-        rows = rows.withColumn(f"__w_{side}", token_ids(F.concat(chat_text(F.col("prompt")), chat_text(F.col(side)))))
+        rows = rows.withColumn(f"__w_{side}", encoded(F.concat(chat_text(F.col("prompt")), chat_text(F.col(side))), tokenizer))
         whole, n = F.col(f"__w_{side}"), F.size("__p")
         rows = rows.withColumn(f"__p_{side}", F.slice(whole, F.lit(1), M.boundary(F.col("__p"), whole)))
         rows = rows.withColumn(f"__a_{side}", M.with_eos(F.slice(whole, n + 1, F.greatest(F.size(whole) - n, F.lit(0))), eos))
@@ -64,18 +122,61 @@ def preference(pairs: DataFrame, max_length: int, max_prompt: int, bos: int = 1,
     return rows.select(*names, *[f"{side}_{kind}" for side in ("chosen", "rejected") for kind in ("input_ids", "labels")])
 
 
+#: The source that a bare file name means, by kind of training data.
+DEFAULT_SOURCES = {"sft": "instruct", "causal": "text", "preference": "preference", None: "files"}
+
+
+def with_source(config: str | dict, kind: str | None) -> str | dict:
+    """A source's configuration with the kind's own source where it names none."""
+    if isinstance(config, str):
+        config = {"name": config}
+    return {"type": DEFAULT_SOURCES[kind], **config} if isinstance(config, dict) else config
+
+
+def tokenised_data(df: DataFrame, config: dict, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """Positioned rows of a part made ready for training, as ``config["type"]`` says; without a type as they are."""
+    kind = config.get("type")
+    if kind is None:
+        return df
+    world = config.get("world_size", 1)
+    rows = guard_rows(df, world, f"{kind} data")
+    options = dict(config.get("options", {}))
+    workers = config.get("workers", 8)
+    if config.get("min_rows"):
+        df, rows = fill_iterations(df, rows, config["min_rows"]), max(rows, config["min_rows"])
+    if kind == "causal":
+        out = causal(df, options.pop("max_length"), chunk_rows(rows, workers, 100), tokenizer=tokenizer, **options)
+    elif kind == "sft":
+        out = sft(df, options.pop("max_length"), tokenizer, chunk=chunk_rows(rows, workers, 1000), seed=config.get("seed", 42), **options)
+    elif kind == "preference":
+        out = preference(df, tokenizer=tokenizer, **options)
+    else:
+        raise ValueError(f"no training data of type {kind!r}")
+    return out
+
+
 def build(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
-    """``{"train": ..., "eval": ...}`` from ``sources``, ``eval_sources`` or ``train_eval_split``, and ``seed``."""
+    """``{"train": ..., "eval": ...}`` from ``sources``, ``eval_sources`` or ``train_eval_split``, and ``seed``.
+
+    With a ``type`` (sft, causal, preference) the parts are tokenised, packed and padded by ``options``;
+    ``tokenizer`` names a tokenizer file.
+    """
+    kind = config.get("type")
     shares = config.get("train_eval_split", (1.0, 0.0))
     if sum(shares) != 1.0:
         raise ValueError("the parts of train_eval_split must sum to 1")
     if config.get("eval_sources") and shares[1]:
         raise ValueError("eval_sources and train_eval_split exclude each other")
     seed = config.get("seed", 42)
-    whole = combine(spark, config["sources"], seed)
+    tokenizer = from_file(spark, config["tokenizer"]) if config.get("tokenizer") else None
+    listed = lambda name: [with_source(s, kind) for s in config[name]]
+    whole = combine(spark, listed("sources"), seed)
+    parts = {"train": whole}
     if config.get("eval_sources"):
-        return {"train": whole, "eval": combine(spark, config["eval_sources"], seed)}
-    if not shares[1]:
-        return {"train": whole}
-    parts = split_exact(whole.withColumnRenamed("pos", "__pos"), "__pos", shares[1], seed)
-    return {name: parts.filter(F.col("split") == name).drop("split") for name in ("train", "eval")}
+        parts["eval"] = combine(spark, listed("eval_sources"), seed)
+    elif shares[1]:
+        cut = split_exact(whole.withColumnRenamed("pos", "__pos"), "__pos", shares[1], seed)
+        parts = {name: cut.filter(F.col("split") == name).drop("split") for name in ("train", "eval")}
+        if kind:  # places within the part, which the packers need without gaps
+            parts = {name: with_position(part.drop("pos"), "__pos").drop("__pos") for name, part in parts.items()}
+    return {name: tokenised_data(part, config, tokenizer) for name, part in parts.items()}

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 
 def write_batches(tables: dict[str, DataFrame], path: str, settings: dict) -> None:
-    """Each table below ``path`` in one folder a batch, all rows of a batch in one task, and the settings beside them as JSON."""
+    """Each table below ``path``, in files that each hold a run of whole batches in order, and the settings beside them as JSON.
+
+    A file's footer names its least and greatest batch, so one batch is read from the files around it.
+    """
     for name, df in tables.items():
-        df.repartition("batch_id").write.partitionBy("batch_id").parquet(f"{path}/{name}")
+        df.repartitionByRange("batch_id").sortWithinPartitions("batch_id").write.parquet(f"{path}/{name}")
         spark = df.sparkSession
     line = json.dumps(settings, sort_keys=True, ensure_ascii=False)
     spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{path}/settings")
@@ -47,6 +50,12 @@ def append_metrics(spark: SparkSession, path: str, metrics: dict) -> None:
     spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(path)
 
 
+def write_report(spark: SparkSession, path: str, report) -> None:
+    """A result as indented JSON, other than ASCII kept, in one text file."""
+    text = json.dumps(report, ensure_ascii=False, indent=2)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_requests(requests: DataFrame, path: str, per_file: int = 50_000) -> None:
     """Positioned JSON requests (``pos``, ``value``) in files of ``per_file`` lines, one folder a file number, in order."""
     rows = requests.withColumn("file", F.floor(F.col("pos") / per_file))

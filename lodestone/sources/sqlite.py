@@ -32,6 +32,14 @@ def columns(path: str) -> list[tuple[str, str, str, bool]]:
         return [(t, r[1], r[2], bool(r[5])) for t in statements(path) for r in c.execute(f"PRAGMA table_info({_quoted(t)})")]
 
 
+def references(path: str) -> list[tuple[str, str, str, str]]:
+    """Table and column of each foreign key, and the table and column that it refers to; an unnamed target is the other table's primary key."""
+    with closing(_open(path)) as c:
+        primary = {t: name for t, name, _, key in reversed(columns(path)) if key}
+        rows = [(t, r) for t in statements(path) for r in c.execute(f"PRAGMA foreign_key_list({_quoted(t)})")]
+    return [(t, r[3], r[2], r[4] or primary[r[2]]) for t, r in rows]
+
+
 def examples(path: str, limit: int = 3, chars: int = 40) -> dict[str, list]:
     """Up to ``limit`` distinct values of each ``table.column`` in lower case, texts cut to ``chars``; columns without values are left out."""
     out = {}

@@ -23,4 +23,4 @@ def load(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from lodestone.queries import data, relations, retrieval, sequences, text2sql  # noqa: E402,F401  (they register themselves)
+from lodestone.queries import data, engine, relations, retrieval, sequences, text2sql  # noqa: E402,F401  (they register themselves)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.catalog import load, query
 from lodestone.functions import messages as M
 from lodestone.functions import text as X
-from lodestone.operators import packing, position
+from lodestone.operators import metrics, packing, position
+from lodestone.plans import requests
+from lodestone.sources.registry import resolve
 
 _KEY = "('0x' || substr(md5('42|' || doc_id), 1, 15))::BIGINT"
 _WORDS = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))"
@@ -29,26 +33,27 @@ def _joined(m):
     return F.array_join(F.transform(m, lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "\n")
 
 
-@query("SELECT doc_id, text AS text FROM documents")
+@query("SELECT text FROM documents")
 def s7_text_column(spark, d):
-    return load(spark, d, "documents").select("doc_id", F.col("text").alias("text"))
+    return resolve({"type": "text", "name": f"{d}/documents.parquet"}).load(spark)
 
 
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY ALL")
 def s12_sql_source(spark, d):
     load(spark, d, "lineitem").createOrReplaceTempView("lineitem")
-    return spark.sql("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus")
+    text = "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus"
+    return resolve({"type": "sql", "options": {"sql": text}}).load(spark)
 
 
 @query("SELECT r_regionkey AS id, r_name AS name FROM region")
 def s16_column_mapping(spark, d):
-    return load(spark, d, "region").withColumnsRenamed({"r_regionkey": "id", "r_name": "name"})
+    load(spark, d, "region").select("r_regionkey", "r_name").createOrReplaceTempView("region_names")
+    return resolve({"type": "sql", "options": {"table_name": "region_names", "column_mapping": {"r_regionkey": "id", "r_name": "name"}}}).load(spark)
 
 
-@query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 10 OFFSET 10")
+@query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 10 OFFSET 10")
 def s5_slice_split(spark, d):
-    docs = load(spark, d, "documents").select("doc_id")
-    return docs.orderBy("doc_id").offset(10).limit(10)
+    return resolve({"type": "files", "name": f"{d}/documents.parquet", "split": "train[10:20]"}).load(spark).select("doc_id", "lang")
 
 
 @query(f"WITH p AS (SELECT doc_id, {_POS} AS pos, count(*) OVER () AS n FROM documents) SELECT doc_id, (pos // 64)::BIGINT AS batch_id FROM p WHERE pos < n - n % 64")
@@ -198,9 +203,12 @@ def j3_key_intersection(spark, d):
     return load(spark, d, "documents").select("doc_id").join(load(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
 
 
-@query(f"SELECT conv_id, count(*)::BIGINT AS n, md5({_MSG}) AS digest FROM conversations GROUP BY conv_id")
+@query("""SELECT md5(array_to_string(list_transform(list_filter([['system', source], ['user', lang], ['assistant', text]], lambda m: m[2] IS NOT NULL), lambda m: m[1] || ':' || m[2]), chr(10))) AS digest
+FROM documents WHERE source IS NOT NULL OR lang IS NOT NULL OR text IS NOT NULL""")
 def s8_messages(spark, d):
-    return _chats(spark, d).select("conv_id", F.size("messages").cast("long").alias("n"), F.md5(_joined(F.col("messages"))).alias("digest"))
+    roles = {"system": "source", "user": "lang", "assistant": "text"}
+    chats = resolve({"type": "instruct", "name": f"{d}/documents.parquet", "options": {"role_fields": roles}}).load(spark)
+    return chats.select(F.md5(_joined(F.col("messages"))).alias("digest"))
 
 
 @query("SELECT conv_id, list(text ORDER BY turn) AS texts FROM conversations WHERE role = 'user' AND text <> '' GROUP BY conv_id")
@@ -238,10 +246,10 @@ def x16_chat_template(spark, d):
     return _chats(spark, d).select("conv_id", F.md5(M.chat_text(F.col("messages"))).alias("digest"))
 
 
-@query("SELECT doc_id, 'user' AS role, md5(text) AS digest FROM documents")
+@query("SELECT 'user' AS role, md5(text) AS digest FROM documents")
 def s10_single_user_message(spark, d):
-    one = load(spark, d, "documents").select("doc_id", F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("m"))
-    return one.select("doc_id", F.col("m")[0]["role"].alias("role"), F.md5(F.col("m")[0]["content"]).alias("digest"))
+    chats = resolve({"type": "user_text", "name": f"{d}/documents.parquet"}).load(spark)
+    return chats.select(F.col("messages")[0]["role"].alias("role"), F.md5(F.col("messages")[0]["content"]).alias("digest"))
 
 
 @query("SELECT conv_id, turn, (strpos(text, 'the') - 1)::INT AS place FROM conversations")
@@ -298,12 +306,21 @@ def w4_position_ids(spark, d):
     return rows.select("l_orderkey", packing.position_ids(F.array(F.col("n"), F.lit(2).cast("long"))).cast("array<bigint>").alias("ids"))
 
 
-@query("SELECT custom_id, text AS content FROM (SELECT 'chat_' || conv_id AS custom_id, text FROM conversations WHERE turn = 1)")
+@query("SELECT 'chat_' || conv_id || '_' || turn AS custom_id, text AS content, CASE WHEN turn % 4 = 0 THEN role ELSE 'assistant' END AS role FROM conversations")
 def y5_extract_responses(spark, d):
-    first = load(spark, d, "conversations").filter("turn = 1")
-    sent = first.select(F.to_json(F.struct(F.concat(F.lit("chat_"), F.col("conv_id").cast("string")).alias("custom_id"), F.struct(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices")).alias("body")).alias("response"))).alias("j"))
-    read = sent.select(F.from_json("j", "custom_id string, response struct<body:struct<choices:array<struct<message:struct<content:string>>>>>").alias("r"))
-    return read.select("r.custom_id", F.explode(F.col("r.response.body.choices.message.content")).alias("content"))
+    said, own = F.col("text"), F.array
+    bodies = {
+        "chat": F.struct(F.struct(own(F.struct(F.struct(said.alias("content"), F.col("role")).alias("message"))).alias("choices")).alias("body")),
+        "complete": F.struct(own(F.struct(said.alias("messages"))).alias("choices")),
+        "outputs": F.struct(own(F.struct(said.alias("text"))).alias("outputs")),
+        "text": said,
+    }
+    turns = load(spark, d, "conversations").withColumn("custom_id", F.concat(F.lit("chat_"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")))
+    read = []
+    for i, (shape, body) in enumerate(bodies.items()):
+        sent = turns.filter(F.col("turn") % 4 == i).select("custom_id", F.to_json(F.struct("custom_id", body.alias("response"))).alias("response"), F.lit(None).cast("string").alias("error"))
+        read.append(requests.extracted(sent, shape))
+    return reduce(DataFrame.unionByName, read).select("custom_id", F.inline("choices")).select("custom_id", "content", "role")
 
 
 @query("SELECT 'task_' || (row_number() OVER (ORDER BY doc_id) - 1) AS custom_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 300)::BIGINT AS file FROM documents")
@@ -326,24 +343,22 @@ def w29_sort_by_string_id(spark, d):
 
 @query("SELECT event_type, avg(value) AS mean_value, count(*)::BIGINT AS n FROM events GROUP BY event_type")
 def g15_metric_means(spark, d):
-    return load(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("mean_value"), F.count(F.lit(1)).alias("n"))
+    return metrics.means(load(spark, d, "events").select(F.col("event_type").alias("dataset"), "value")).withColumnsRenamed({"dataset": "event_type", "mean": "mean_value"})
 
 
 @query("SELECT (event_id // 8)::BIGINT AS step, avg(value) AS loss FROM events GROUP BY 1")
 def g14_windowed_loss(spark, d):
-    return load(spark, d, "events").groupBy(F.floor(F.col("event_id") / 8).alias("step")).agg(F.avg("value").alias("loss"))
+    return metrics.windowed(load(spark, d, "events").select(F.col("event_id").alias("step"), F.col("value").alias("loss")), 8)
 
 
 @query("SELECT event_id, (CASE WHEN event_id < 100 THEN event_id / 100.0 WHEN event_id < 9000 THEN 1.0 ELSE greatest(0.0, (10000 - event_id) / 1000.0) END)::DOUBLE AS rate FROM events")
 def n12_warmup_stable_decay(spark, d):
-    s = F.col("event_id").cast("double")
-    rate = F.when(s < 100, s / 100).when(s < 9000, 1.0).otherwise(F.greatest(F.lit(0.0), (10000 - s) / 1000))
-    return load(spark, d, "events").select("event_id", rate.alias("rate"))
+    return load(spark, d, "events").select("event_id", metrics.warmup_stable_decay(F.col("event_id"), 100, 9000, 10_000).alias("rate"))
 
 
 @query("SELECT event_id, ts FROM events WHERE (event_id + 1) % 50 = 0")
 def v18_every_n_steps(spark, d):
-    return load(spark, d, "events").filter((F.col("event_id") + 1) % 50 == 0).select("event_id", "ts")
+    return load(spark, d, "events").filter(metrics.every(F.col("event_id"), 50)).select("event_id", "ts")
 
 
 @query("""SELECT l_orderkey, l_linenumber, sum(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber)::BIGINT AS ends FROM lineitem""")

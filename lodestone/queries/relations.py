@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.catalog import load, query
+from lodestone.functions.prompts import filled
 from lodestone.operators import batches as B
 from lodestone.operators import evaluation, packing, position
 from lodestone.operators import relational as R
@@ -50,10 +51,12 @@ def j11_generations_to_rows(spark, d):
     return rows.join(load(spark, d, "documents").select("doc_id", "source"), "doc_id").select("conv_id", "turn", "source")
 
 
-@query("SELECT n_nationkey, n_name || chr(10) || r_name AS prompt FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT n_nationkey, 'Database schema:' || chr(10) || r_name || chr(10) || chr(10) || 'Question:' || chr(10) || n_name || chr(10) || chr(10) || 'Answer with one SQL query in a ```sql block.' AS prompt FROM nation JOIN region ON n_regionkey = r_regionkey")
 def j12_question_and_schema(spark, d):
-    both = load(spark, d, "nation").join(load(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return both.select("n_nationkey", F.concat_ws("\n", "n_name", "r_name").alias("prompt"))
+    questions = load(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("db_id"), F.col("n_name").alias("question"))
+    schemas = load(spark, d, "region").select(F.col("r_regionkey").alias("db_id"), F.col("r_name").alias("schema"))
+    both = R.lookup(questions, schemas, "db_id")
+    return both.select("n_nationkey", filled("sql_direct", schema=F.col("schema"), question=F.col("question")).alias("prompt"))
 
 
 @query("""SELECT a.pos, s_suppkey, c_custkey FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS pos FROM supplier) a
@@ -117,10 +120,14 @@ def t6_set_operations(spark, d):
     return named[0].union(named[1]).union(named[2]).groupBy("op").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT true AS doubled, false AS fewer")
+_SAME = """(SELECT count(*) FROM (SELECT {b} FROM {t} EXCEPT SELECT {a} FROM {t})) + (SELECT count(*) FROM (SELECT {a} FROM {t} EXCEPT SELECT {b} FROM {t})) = 0"""
+_SIDES = {"types": ("part", "p_type", "upper(p_type)"), "names": ("part", "p_name", "lower(p_name)"), "segments": ("customer", "c_mktsegment", "trim(c_mktsegment)")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS pair, {_SAME.format(t=t, a=a, b=b)} AS same" for n, (t, a, b) in _SIDES.items()))
 def t7_same_rows(spark, d):
-    nation = load(spark, d, "nation").select("n_name", "n_regionkey")
-    return spark.range(1).select(F.lit(evaluation.same_set(nation, nation.union(nation))).alias("doubled"), F.lit(evaluation.same_set(nation, nation.filter("n_regionkey > 0"))).alias("fewer"))
+    found = [(n, evaluation.same_set(load(spark, d, t).selectExpr(f"{a} AS x"), load(spark, d, t).selectExpr(f"{b} AS x").unionAll(load(spark, d, t).selectExpr(f"{b} AS x")))) for n, (t, a, b) in _SIDES.items()]
+    return spark.createDataFrame(found, "pair string, same boolean")
 
 
 _HASH = "('0x' || substr(md5('42|' || {o} || '|' || {c}), 1, 15))::BIGINT"
@@ -175,13 +182,13 @@ def w19_relevant_values(spark, d):
 
 _KEYED = "('0x' || substr(md5('{s}|' || vec_id), 1, 15))::BIGINT"
 _DEALT = " UNION ALL ".join(
-    f"SELECT vec_id AS query_id, {u} AS \"use\", p // 8 + {u} * (n // 8) AS batch_id FROM (SELECT vec_id, row_number() OVER (ORDER BY {_KEYED.format(s=u)}, vec_id) - 1 AS p, count(*) OVER () AS n FROM embeddings WHERE vec_id % 10 = 0) WHERE p // 8 < n // 8" for u in (0, 1)
+    f"SELECT vec_id AS query_id, {u} AS \"use\", p // 2 + {u} * (n // 2) AS batch_id FROM (SELECT vec_id, row_number() OVER (ORDER BY {_KEYED.format(s=u)}, vec_id) - 1 AS p, count(*) OVER () AS n FROM embeddings WHERE vec_id % 100 = 0) WHERE p // 2 < n // 2" for u in (0, 1)
 )
 
 
 def _dealt(spark, d):
-    queries = load(spark, d, "embeddings").filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"))
-    return B.query_batches(queries, 8, 2)
+    queries = load(spark, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"))
+    return B.query_batches(queries, 2, 2)
 
 
 @query(_DEALT)

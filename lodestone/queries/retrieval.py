@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from lodestone.catalog import load, query
 from lodestone.functions.text import dot, unit
 from lodestone.operators import position, retrieval, tensors
+from lodestone.plans.scratch import materialise
 
 _V = "(SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings)"
 _S = f"""s0 AS (SELECT q.vec_id AS query_id, d.vec_id AS document_id, q.label = d.label AS hit,
-  list_sum(list_transform(list_zip(q.v, d.v), lambda z: z[1] * z[2])) AS score FROM {_V} q, {_V} d WHERE q.vec_id % 10 = 0 AND d.vec_id % 10 <> 0),
+  list_sum(list_transform(list_zip(q.v, d.v), lambda z: z[1] * z[2])) AS score FROM {_V} q, {_V} d WHERE q.vec_id % 100 = 0 AND d.vec_id <> q.vec_id),
 s1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM s0),
 s AS (SELECT * FROM s1 WHERE rank <= 50)"""
 _MINED = f"""{_S},
@@ -21,10 +22,11 @@ b AS (SELECT query_id, document_id FROM (SELECT s.query_id, s.document_id, row_n
 w AS (SELECT query_id FROM b GROUP BY query_id HAVING count(*) = 4)"""
 
 
-def _sides(spark, d):
+def _scored(spark, d):
+    """The 50 nearest of all rows to every row whose id is divisible by 100, itself left out; written, as several steps read it."""
     e = load(spark, d, "embeddings")
-    q = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return q, e.filter("vec_id % 10 <> 0").select(F.col("vec_id").alias("document_id"), F.col("embedding").alias("vector"))
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return materialise(retrieval.retrieve(q, e.select(F.col("vec_id").alias("document_id"), F.col("embedding").alias("vector")), 50, skip_self=True), "scored")
 
 
 def _hits(spark, d, scored):
@@ -34,14 +36,13 @@ def _hits(spark, d, scored):
 
 
 def _mined(spark, d):
-    q, docs = _sides(spark, d)
-    scored = retrieval.retrieve(q, docs, 50)
+    scored = _scored(spark, d)
     return retrieval.mine(scored, _hits(spark, d, scored), negatives=4)
 
 
 @query(f"WITH {_S} SELECT query_id, document_id, round(score, 6) AS score FROM s")
 def r2_top_k_retrieval(spark, d):
-    return retrieval.retrieve(*_sides(spark, d), 50).withColumn("score", F.round("score", 6))
+    return _scored(spark, d).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_MINED} SELECT query_id, document_id, 1 AS relevance FROM g JOIN w USING (query_id) UNION ALL SELECT query_id, document_id, -1 FROM b JOIN w USING (query_id)")
@@ -97,24 +98,28 @@ def j8_suffix_lookup(spark, d):
 n AS (SELECT query_id, sum(exp(score / 0.5::DOUBLE)) AS others FROM x WHERE rel < 0 GROUP BY query_id)
 SELECT x.query_id, x.document_id, round(ln(exp(score / 0.5::DOUBLE) + coalesce(others, 0)) - score / 0.5::DOUBLE, 5) AS loss FROM x LEFT JOIN n USING (query_id) WHERE rel > 0""")
 def n2_info_nce(spark, d):
-    scored = retrieval.retrieve(*_sides(spark, d), 50)
+    scored = _scored(spark, d)
     hits = _hits(spark, d, scored).withColumn("relevance", F.lit(1))
     rel = scored.join(hits, ["query_id", "document_id"], "left").fillna(-1, ["relevance"])
     return retrieval.info_nce(rel, 0.5).withColumn("loss", F.round("loss", 5))
 
 
-@query("SELECT label, i, round(avg(x), 6) AS mean FROM (SELECT label, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL")
-def n1_mean_pooling(spark, d):
-    each = load(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    return each.groupBy("label", F.col("i").cast("long").alias("i")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+@query("""WITH t AS (SELECT label AS seq, vec_id AS pos, embedding AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS z FROM embeddings WHERE vec_id % 3 <> 0),
+m AS (SELECT seq, i, avg(x) AS mean FROM (SELECT seq, unnest(range(0, len(v))) AS i, unnest(v)::DOUBLE AS x FROM t) GROUP BY ALL)
+SELECT m.seq, m.i::INT AS i, round(mean, 5) AS mean, round(a.v[m.i + 1]::DOUBLE, 5) AS first, round(b.v[m.i + 1]::DOUBLE, 5) AS last FROM m JOIN t a ON a.seq = m.seq AND a.r = 1 JOIN t b ON b.seq = m.seq AND b.z = 1""")
+def n1_pooling(spark, d):
+    tokens = load(spark, d, "embeddings").select(F.col("label").alias("seq"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"), (F.col("vec_id") % 3 != 0).alias("mask"))
+    pooled = tensors.pooled(tokens)
+    show = lambda c: F.round(F.get(c, F.col("i")).cast("double"), 5).alias(c)
+    return pooled.select("seq", F.posexplode("mean").alias("i", "m"), "first", "last").select("seq", "i", F.round("m", 5).alias("mean"), show("first"), show("last"))
 
 
-_GATE = """g AS (SELECT vec_id, i, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM (SELECT vec_id, unnest(range(0, 8)) AS i, unnest(embedding[1:8])::DOUBLE AS x FROM embeddings)),
+_GATE = """g AS (SELECT vec_id, i, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)),
 t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, i) AS r FROM g)"""
 
 
 def _gates(spark, d):
-    each = load(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("i", "x"))
+    each = load(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
     e = F.exp(F.col("x").cast("double"))
     p = each.select("vec_id", F.col("i").cast("long").alias("i"), (e / F.sum(e).over(Window.partitionBy("vec_id"))).alias("p"))
     return p.withColumn("r", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.col("p").desc(), "i"))).filter("r <= 2")
@@ -135,10 +140,13 @@ def n8_gather(spark, d):
     return _gates(spark, d).groupBy(F.col("vec_id").alias("token")).agg(F.round(F.sum(F.col("p") * (F.col("i") + 1)), 5).alias("y"))
 
 
-@query("SELECT vec_id, round(ln(1 + exp(-0.1::DOUBLE * (embedding[1]::DOUBLE - embedding[2]::DOUBLE))), 6) AS loss FROM embeddings")
+@query("""WITH s AS (SELECT vec_id, list_sum(embedding[1:16]::DOUBLE[]) AS c, list_sum(embedding[17:32]::DOUBLE[]) AS r, list_sum(embedding[33:48]::DOUBLE[]) AS rc, list_sum(embedding[49:64]::DOUBLE[]) AS rr FROM embeddings),
+g AS (SELECT *, 0.1::DOUBLE * ((c - r) - (rc - rr)) AS z FROM s)
+SELECT vec_id, round(0.8::DOUBLE * ln(1 + exp(-z)) + 0.2::DOUBLE * ln(1 + exp(z)), 5) AS loss, round(0.1::DOUBLE * (c - rc), 5) AS chosen_reward, round(0.1::DOUBLE * (r - rr), 5) AS rejected_reward FROM g""")
 def n5_preference_loss(spark, d):
-    gap = F.col("embedding")[0].cast("double") - F.col("embedding")[1].cast("double")
-    return load(spark, d, "embeddings").select("vec_id", F.round(F.log1p(F.exp(-0.1 * gap)), 6).alias("loss"))
+    part = lambda i: F.aggregate(F.slice("embedding", 16 * i + 1, 16), F.lit(0.0), lambda s, x: s + x.cast("double"))
+    found = tensors.preference_loss(part(0), part(1), part(2), part(3), beta=0.1, smoothing=0.2)
+    return load(spark, d, "embeddings").select("vec_id", *[F.round(c, 5).alias(n) for n, c in found.items()])
 
 
 _HASH60 = "('0x' || substr(md5({}), 1, 15))::BIGINT"
@@ -183,15 +191,15 @@ _NCE = """n{k} AS (SELECT query_id, sum(exp({s} / 0.5::DOUBLE)) AS others FROM c
 l{k} AS (SELECT c.query_id, c.document_id, ln(exp({s} / 0.5::DOUBLE) + coalesce(others, 0)) - {s} / 0.5::DOUBLE AS loss FROM c LEFT JOIN n{k} USING (query_id) WHERE hit)"""
 
 
-@query(f"""WITH p AS (SELECT q.vec_id AS query_id, d.vec_id AS document_id, q.label = d.label AS hit, q.embedding AS a, d.embedding AS b FROM embeddings q JOIN embeddings d ON d.vec_id // 10 = q.vec_id // 10 AND d.vec_id <> q.vec_id WHERE q.vec_id % 10 = 0),
+@query(f"""WITH {_S}, p AS (SELECT s.query_id, s.document_id, q.label = d.label AS hit, q.embedding AS a, d.embedding AS b FROM s JOIN embeddings q ON q.vec_id = s.query_id JOIN embeddings d ON d.vec_id = s.document_id),
 c AS (SELECT query_id, document_id, hit, {_COS.format(a='a', b='b')} AS s, {_COS.format(a='a[1:16]', b='b[1:16]')} AS t FROM p),
 {_NCE.format(k=1, s='s')}, {_NCE.format(k=2, s='t')}
 SELECT query_id, document_id, round(0.75::DOUBLE * l1.loss + 0.25::DOUBLE * l2.loss, 5) AS loss FROM l1 JOIN l2 USING (query_id, document_id)""")
 def n3_truncated_info_nce(spark, d):
-    e = load(spark, d, "embeddings").withColumn("g", F.floor(F.col("vec_id") / 10))
-    q = e.filter("vec_id % 10 = 0").select("g", F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("a"))
-    pairs = q.join(e.select("g", F.col("vec_id").alias("document_id"), F.col("embedding").alias("document_vector"), F.col("label").alias("b")), "g").filter("query_id <> document_id")
-    scored = pairs.withColumn("relevance", F.when(F.col("a") == F.col("b"), 1).otherwise(-1))
+    e = load(spark, d, "embeddings")
+    side = lambda x: e.select(F.col("vec_id").alias(f"{x}_id"), F.col("embedding").alias(f"{x}_vector"), F.col("label").alias(f"{x}_label"))
+    pairs = _scored(spark, d).select("query_id", "document_id").join(side("query"), "query_id").join(side("document"), "document_id")
+    scored = pairs.withColumn("relevance", F.when(F.col("query_label") == F.col("document_label"), 1).otherwise(-1))
     return tensors.truncated_info_nce(scored, 16, 0.25, 0.5).select("query_id", "document_id", F.round("loss", 5).alias("loss"))
 
 

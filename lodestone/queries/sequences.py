@@ -8,6 +8,8 @@ from lodestone.catalog import load, query
 from lodestone.functions import messages as M
 from lodestone.functions import sequences as S
 from lodestone.functions import text as X
+from lodestone.operators import evaluation
+from lodestone.plans import requests
 from lodestone.queries.text2sql import _generated
 
 _IDS = "[p_partkey % 7, p_size, p_partkey % 11]"
@@ -138,11 +140,6 @@ def x11_x12_filled_ids(spark, d):
     return load(spark, d, "documents").select("doc_id", X.filled_id(given, F.col("text")).alias("id"))
 
 
-@query()
-def x18_human_counts(spark, d):
-    return load(spark, d, "orders").select("o_orderkey", X.human_count(F.col("o_orderkey") * 97).alias("human"))
-
-
 @query("SELECT event_id, (props::JSON->>'$.k')::BIGINT AS k FROM events")
 def x22_json_field(spark, d):
     return load(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
@@ -175,10 +172,12 @@ def n4_label_log_prob(spark, d):
     return load(spark, d, "embeddings").select("vec_id", F.round(S.label_log_prob(F.col("embedding"), F.col("label") % 64), 6).alias("log_prob"))
 
 
-@query("SELECT conv_id, turn, role, text AS response FROM conversations WHERE turn % 3 <> 0")
-def f8_y6_answered(spark, d):
-    made = load(spark, d, "conversations").withColumn("error", F.when(F.col("turn") % 3 == 0, "failed"))
-    return made.filter("error IS NULL").select("conv_id", "turn", "role", F.col("text").alias("response"))
+@query("SELECT 't_' || conv_id || '_' || turn AS custom_id, text AS response FROM conversations WHERE turn % 3 <> 0")
+def f8_answered(spark, d):
+    custom = F.concat(F.lit("t_"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string")).alias("custom_id")
+    made = load(spark, d, "conversations").select(custom, F.col("text").alias("response"), F.when(F.col("turn") % 3 == 0, "failed").alias("error"))
+    sent = made.select("custom_id", F.to_json(F.struct("custom_id", "response")).alias("response"), "error")
+    return requests.extracted(sent, "text").select("custom_id", F.col("choices")[0]["content"].alias("response"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND source <> ''")
@@ -189,5 +188,4 @@ def f5_verifiable(spark, d):
 
 @query("SELECT item, right_n, wrong_n FROM (SELECT user_id AS item, count(*) FILTER (value > 50)::BIGINT AS right_n, count(*) FILTER (NOT value > 50)::BIGINT AS wrong_n FROM events GROUP BY 1) WHERE right_n > 0 AND wrong_n > 0")
 def f9_f10_right_and_wrong(spark, d):
-    counted = load(spark, d, "events").groupBy(F.col("user_id").alias("item")).agg(F.count_if(F.col("value") > 50).alias("right_n"), F.count_if(~(F.col("value") > 50)).alias("wrong_n"))
-    return counted.filter("right_n > 0 AND wrong_n > 0")
+    return evaluation.right_and_wrong(load(spark, d, "events").select(F.col("user_id").alias("item"), (F.col("value") > 50).alias("correct")))

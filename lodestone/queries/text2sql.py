@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.catalog import load, query
 from lodestone.functions import text as X
+from lodestone.functions.prompts import filled
 from lodestone.operators import evaluation as E
+from lodestone.operators import lexical
+from lodestone.plans.scratch import new_path
 
 _GEN = "'Here' || chr(10) || '```sql' || chr(10) || 'SELECT ' || turn || ' FROM `t`;' || chr(10) || '```' || chr(10) || 'end'"
 
@@ -34,7 +38,7 @@ def x4_comment_removal(spark, d):
 
 @query("SELECT p_partkey, '[ BLOB ] () ' || p_name AS text FROM part")
 def x8_redact_blobs(spark, d):
-    return load(spark, d, "part").select("p_partkey", X.redact_blobs(F.concat(F.lit("[ BLOB ] (0xff) "), "p_name")).alias("text"))
+    return load(spark, d, "part").select("p_partkey", X.redact_blobs(F.concat(F.lit("[ BLOB ] (0x"), F.hex("p_partkey"), F.lit(") "), "p_name")).alias("text"))
 
 
 @query("""WITH w AS (SELECT p_partkey, string_split(p_type, ' ') AS w FROM part)
@@ -49,15 +53,40 @@ def g7_accuracy_by_bucket(spark, d):
     return both.groupBy(F.col("quality").alias("bucket"), "lang").agg(F.count(F.lit(1)).alias("n"), F.avg("quality").alias("accuracy"))
 
 
-@query("SELECT avg(quality) AS accuracy, avg((quality = 1 OR toxic = 0)::INT) AS executed FROM labels")
+@query("SELECT event_type AS bucket, count(*)::BIGINT AS n, avg((value > 50)::INT) AS accuracy, avg((event_id % 5 <> 0)::INT) AS executed FROM events GROUP BY event_type")
 def g8_execution_accuracy(spark, d):
-    ran = ((F.col("quality") == 1) | (F.col("toxic") == 0)).cast("int")
-    return load(spark, d, "labels").agg(F.avg("quality").alias("accuracy"), F.avg(ran).alias("executed"))
+    return E.accuracy(_samples(spark, d), "bucket")
 
 
-@query("SELECT avg(hit::INT) AS pass_at_k FROM (SELECT user_id, bool_or(value > 50) AS hit FROM events GROUP BY user_id)")
+_SAMPLES = "s AS (SELECT user_id AS item, event_type, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events)"
+
+
+def _samples(spark, d):
+    """Events as samples of their user's item: correct above 50, every fifth failed."""
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    failed = F.when(F.col("event_id") % 5 == 0, "failed")
+    return load(spark, d, "events").select(F.col("user_id").alias("item"), F.col("event_type").alias("bucket"), "event_id", pos.alias("pos"), (F.col("value") > 50).alias("correct"), F.concat_ws("-", "event_type", F.col("event_id").cast("string")).alias("answer"), failed.alias("error"), F.floor("value").cast("long").alias("n_rows"))
+
+
+@query(f"WITH {_SAMPLES} SELECT avg(hit::INT) AS pass_at_k FROM (SELECT item, coalesce(bool_or(value > 50) FILTER (pos < 3), false) AS hit FROM s GROUP BY item)")
 def g9_pass_at_k(spark, d):
-    return load(spark, d, "events").groupBy("user_id").agg(F.bool_or(F.col("value") > 50).alias("hit")).agg(F.avg(F.col("hit").cast("int")).alias("pass_at_k"))
+    return E.pass_at(_samples(spark, d), 3)
+
+
+@query("SELECT event_id FROM events WHERE event_id % 5 <> 0 AND floor(value) > 0")
+def f12_valid_executions(spark, d):
+    return E.valid_executions(_samples(spark, d)).select("event_id")
+
+
+@query("SELECT user_id AS item, min_by(event_type || '-' || event_id, event_id) AS answer FROM events WHERE value > 50 GROUP BY user_id")
+def q12_first_correct(spark, d):
+    return E.first_correct(_samples(spark, d))
+
+
+@query("""WITH c AS (SELECT event_id % 7 AS checkpoint, count(*)::BIGINT AS n, avg((value > 50)::INT) AS accuracy, avg((event_id % 5 <> 0)::INT) AS executed FROM events GROUP BY 1)
+SELECT *, row_number() OVER (ORDER BY accuracy DESC, checkpoint) = 1 AS best FROM c""")
+def q14_checkpoint_sweep(spark, d):
+    return E.checkpoint_sweep(_samples(spark, d).withColumn("checkpoint", F.col("event_id") % 7))
 
 
 @query("""WITH c AS (SELECT user_id AS item, event_type AS result, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL)
@@ -74,48 +103,75 @@ def g12_soft_similarity(spark, d):
     return E.soft_similarity(rows.filter("l_linenumber % 2 = 0").drop("l_linenumber"), rows.filter("l_linenumber % 2 = 1").drop("l_linenumber"), ["item"])
 
 
-@query("""WITH p AS (SELECT p_size AS item, p_partkey AS i, p_type AS c FROM part WHERE p_partkey % 7 = 0), w AS (SELECT p_size AS item, p_partkey AS j, p_type AS w FROM part WHERE p_partkey % 7 = 1)
-SELECT item, c AS chosen, w AS rejected FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY levenshtein(c, w), i, j) AS r FROM p JOIN w USING (item)) WHERE r = 1""")
+@query("""WITH x AS (SELECT p_size || '|' || p_brand AS item, p_partkey, p_type AS a, p_retailprice >= (SELECT median(p_retailprice) FROM part) AS good FROM part)
+SELECT item, c.a AS chosen, w.a AS rejected FROM (SELECT item, c, w, row_number() OVER (PARTITION BY item ORDER BY levenshtein(c.a, w.a), c.p_partkey, w.p_partkey) AS r FROM (SELECT item, struct_pack(p_partkey, a) AS c FROM x WHERE good) JOIN (SELECT item, struct_pack(p_partkey, a) AS w FROM x WHERE NOT good) USING (item)) WHERE r = 1""")
 def q11_nearest_pair(spark, d):
     part = load(spark, d, "part")
-    listed = lambda k, name: part.filter(f"p_partkey % 7 = {k}").groupBy(F.col("p_size").alias("item")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_type"))), lambda x: x["p_type"]).alias(name))
-    return E.nearest_pair(listed(0, "correct").join(listed(1, "wrong"), "item"))
+    middle = part.agg(F.median("p_retailprice")).scalar()
+    marked = part.select(F.concat_ws("|", F.col("p_size").cast("string"), "p_brand").alias("item"), "p_partkey", "p_type", (F.col("p_retailprice") >= middle).alias("good"))
+    listed = lambda good: F.transform(F.array_sort(F.collect_list(F.when(F.col("good") == good, F.struct("p_partkey", "p_type")))), lambda x: x["p_type"])
+    return E.nearest_pair(marked.groupBy("item").agg(listed(True).alias("correct"), listed(False).alias("wrong")))
+
+
+@query("SELECT DISTINCT p_name AS value FROM part WHERE p_name <> '' AND try_cast(p_name AS DOUBLE) IS NULL AND length(p_name) <= 40 UNION SELECT DISTINCT c_mktsegment FROM customer")
+def f7_value_filter(spark, d):
+    values = load(spark, d, "part").select(F.col("p_name").alias("value")).unionByName(load(spark, d, "customer").select(F.col("c_mktsegment").alias("value")))
+    return lexical.index_values(values)
 
 
-@query("""SELECT DISTINCT substr(c_mktsegment, 1, 40) AS value FROM customer WHERE c_mktsegment <> '' AND try_cast(c_mktsegment AS DOUBLE) IS NULL""")
-def q4_f7_value_sample(spark, d):
-    return load(spark, d, "customer").filter("c_mktsegment <> '' AND try_cast(c_mktsegment AS double) IS NULL").select(F.substring("c_mktsegment", 1, 40).alias("value")).distinct()
+@query("""SELECT p_brand, value FROM (SELECT p_brand, value, row_number() OVER (PARTITION BY p_brand ORDER BY value) AS r FROM (SELECT DISTINCT p_brand, substr(p_type || ' ' || p_type || ' ' || p_name, 1, 40) AS value FROM part)) WHERE r <= 2""")
+def q4_value_sample(spark, d):
+    part = load(spark, d, "part")
+    return lexical.value_sample(part.select("p_brand", F.concat_ws(" ", "p_type", "p_type", "p_name").alias("value")), "p_brand", 2)
 
 
-@query("""SELECT 'nation' AS table_name, n_regionkey AS region, string_agg('"' || n_name || '"', ', ' ORDER BY n_name) AS examples
-FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS r FROM nation) WHERE r <= 3 GROUP BY n_regionkey""")
-def q1_schema_examples(spark, d):
-    names = F.slice(F.array_sort(F.collect_list("n_name")), 1, 3)
-    return load(spark, d, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.array_join(F.transform(names, lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ", ").alias("examples")).select(F.lit("nation").alias("table_name"), "region", "examples")
+_PAIRS = [
+    ("SELECT n_name FROM nation ORDER BY n_name", "SELECT DISTINCT n_name FROM nation"),
+    ("SELECT n_name FROM nation WHERE n_regionkey < 2", "SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 2"),
+    ("SELECT o_orderkey FROM orders", "SELECT o_orderkey FROM orders WHERE o_totalprice > 1000"),
+    ("SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY l_orderkey", "SELECT o_orderkey, sum(l_quantity) AS q FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey"),
+    ("SELECT count(*) AS n FROM orders WHERE o_orderkey < 0 HAVING count(*) > 0", "SELECT count(*) AS n FROM orders WHERE o_orderkey < 0 HAVING count(*) > 0"),
+]
 
 
-@query("SELECT (SELECT count(*) FROM nation)::BIGINT AS n, true AS same")
+@query(" UNION ALL ".join(
+    f"SELECT {i} AS pair, (SELECT count(*) FROM ({a})) > 0 AND (SELECT count(*) FROM ((SELECT * FROM ({a})) EXCEPT (SELECT * FROM ({b})))) + (SELECT count(*) FROM ((SELECT * FROM ({b})) EXCEPT (SELECT * FROM ({a})))) = 0 AS same"
+    for i, (a, b) in enumerate(_PAIRS)
+))
 def q10_execution_match(spark, d):
-    nation = load(spark, d, "nation")
-    nation.createOrReplaceTempView("nation")
-    same, _ = E.execution_match(spark, "SELECT n_name FROM nation ORDER BY n_name", "SELECT DISTINCT n_name FROM nation")
-    return nation.agg(F.count(F.lit(1)).alias("n")).withColumn("same", F.lit(same is True))
+    for t in ("nation", "region", "orders", "lineitem"):
+        load(spark, d, t).createOrReplaceTempView(t)
+    return spark.createDataFrame([(i, E.execution_match(spark, a, b, 120.0)[0]) for i, (a, b) in enumerate(_PAIRS)], "pair int, same boolean")
 
 
-@query("SELECT p_partkey, p_name || chr(10) || p_type AS prompt FROM part")
+@query("SELECT p_partkey, 'Q: ' || p_name || chr(10) || 'E: ' || p_type AS prompt FROM part")
 def p8_question_and_evidence(spark, d):
-    return load(spark, d, "part").select("p_partkey", F.concat_ws("\n", "p_name", "p_type").alias("prompt"))
+    return load(spark, d, "part").select("p_partkey", filled("Q: {question}\nE: {evidence}", question=F.col("p_name"), evidence=F.col("p_type")).alias("prompt"))
 
 
-@query("""WITH t AS (SELECT p_partkey, unnest(string_split(lower(p_type), ' ')) AS term FROM part), n AS (SELECT count(*) AS n FROM part),
-f AS (SELECT term, count(DISTINCT p_partkey) AS df FROM t GROUP BY term), q AS (SELECT n_nationkey AS q, lower(r_term) AS term FROM (SELECT n_nationkey, unnest(['brass', 'small', 'copper']) AS r_term FROM nation)),
+@query("""WITH v AS (SELECT min(p_partkey) AS p_partkey, p_type AS value FROM part GROUP BY p_type),
+t AS (SELECT p_partkey, unnest(string_split(lower(value), ' ')) AS term FROM v), n AS (SELECT count(*) AS n FROM v),
+f AS (SELECT term, count(DISTINCT p_partkey) AS df FROM t GROUP BY term), q AS (SELECT DISTINCT s_suppkey AS q, unnest(string_split(lower(p_type || ' ' || p_name), ' ')) AS term FROM supplier JOIN part ON p_partkey = s_suppkey),
 l AS (SELECT p_partkey, count(*) AS len FROM t GROUP BY p_partkey), a AS (SELECT avg(len) AS avg_len FROM l),
-s AS (SELECT q.q, t.p_partkey, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * 1 * 2.2::DOUBLE / (1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))) AS score
-  FROM q JOIN t USING (term) JOIN f USING (term) JOIN l USING (p_partkey), n, a GROUP BY ALL)
+c AS (SELECT p_partkey, term, count(*) AS tf FROM t GROUP BY ALL),
+s AS (SELECT q.q, c.p_partkey, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))) AS score
+  FROM q JOIN c USING (term) JOIN f USING (term) JOIN l USING (p_partkey), n, a GROUP BY ALL)
 SELECT q, p_partkey, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, p_partkey) AS r FROM s) WHERE r <= 10""")
 def q6_bm25_values(spark, d):
-    from lodestone.operators.lexical import bm25
+    part = load(spark, d, "part")
+    values = part.groupBy("p_type").agg(F.min("p_partkey").alias("value_id")).select("value_id", F.split(F.lower("p_type"), " ").alias("terms"))
+    question = F.split(F.lower(F.concat_ws(" ", "p_type", "p_name")), " ")
+    asked = load(spark, d, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("q"), question.alias("terms"))
+    index = lexical.build_index(values, new_path(spark, "value-index"))
+    return lexical.bm25(asked, index, 10).select("q", F.col("value_id").alias("p_partkey"), F.round("score", 5).alias("score"))
 
-    part = load(spark, d, "part").select(F.col("p_partkey").alias("value_id"), F.split(F.lower("p_type"), " ").alias("terms"))
-    asked = load(spark, d, "nation").select(F.col("n_nationkey").alias("q"), F.array(F.lit("brass"), F.lit("small"), F.lit("copper")).alias("terms"))
-    return bm25(asked, part, 10).select("q", F.col("value_id").alias("p_partkey"), F.round("score", 5).alias("score"))
+
+@query("""WITH w AS (SELECT s_suppkey, string_split(lower(p_type || ' ' || p_name), ' ') AS w FROM supplier JOIN part ON p_partkey = s_suppkey),
+g AS (SELECT DISTINCT s_suppkey, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (SELECT s_suppkey, w, unnest(range(1, 9)) AS k FROM w), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i))
+SELECT s_suppkey, value FROM g JOIN (SELECT DISTINCT p_type AS value FROM part) ON lower(value) = gram""")
+def j10_ngrams_to_values(spark, d):
+    part = load(spark, d, "part")
+    question = F.split(F.lower(F.concat_ws(" ", "p_type", "p_name")), " ")
+    asked = load(spark, d, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey")).select("s_suppkey", F.explode(F.array_distinct(X.ngrams(question, 8))).alias("gram"))
+    values = part.select(F.col("p_type").alias("value")).distinct()
+    return asked.join(values, F.lower("value") == F.col("gram")).select("s_suppkey", "value")

@@ -93,7 +93,7 @@ def test_numbers_and_text(spark):
 def test_strings_and_sequences(spark):
     df = spark.createDataFrame([(999, "", "abc"), (101_850, "XbcX", "abc"), (2_500_000, "é", "Éa"), (7 * 10**12, None, "a")], "n long, v string, q string")
     rows = df.select(X.human_count(F.col("n")).alias("h"), F.round(X.common_substring_ratio(F.col("v"), F.col("q")), 3).alias("r")).collect()
-    assert [tuple(r) for r in rows] == [("999.0", 0.0), ("101.9K", 0.5), ("2.5M", 1.0), ("7.0T", 0.0)]
+    assert [tuple(r) for r in rows] == [("999.00", 0.0), ("101.85K", 0.5), ("2.50M", 1.0), ("7.00T", 0.0)]
     one = spark.createDataFrame([([1, 2, 3], [1, 9, 3, 4], [8, 9, 3])], "a array<int>, b array<int>, c array<int>")
     assert tuple(one.select(S.prompts_agree(F.col("a"), F.col("b")), S.prompts_agree(F.col("a"), F.col("c"))).first()) == (True, False)
     with pytest.raises(Exception, match="differ"):

@@ -21,27 +21,43 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the current policy rejects."""
+    """Drop the documents that the current policy rejects.
+
+    Null and empty texts have too few words and go; a measurement that equals a bound passes; repeated rows fare alike.
+    """
     return quality_filter(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near copies."""
+    """Keep one document of each class of near copies: the one with the least doc_id.
+
+    Every null text stays, as does one of each set of equal empty ones; rows that agree in doc_id and text are one document.
+    """
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a benchmark item."""
+    """Drop the documents that hold a benchmark item.
+
+    Null and empty texts hold none and stay; repeated rows fare alike; an empty benchmark drops nothing.
+    """
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take sources to their target weights; a document appears once per pass of the mix over it."""
+    """Take sources to their target weights by the schedule, in slot order; a document appears once per pass of the mix over it.
+
+    Documents without words are in no slot and go; a null source is a source of its own; repeated rows take the
+    places of as many documents.
+    """
     return mix_documents(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Assign every document of the mix to a shard and a slot."""
+    """Assign every document of the mix to a shard and a slot.
+
+    Equal texts share a shard, as do all null ones; slots are gapless, and repeated rows have slots of their own.
+    """
     placed = shard_documents(docs)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

@@ -10,7 +10,7 @@ so the additive model can follow any single-measure shape.  Fitting uses a sampl
 ``sample_docs`` documents as unlabelled text, and all trusted positives, or about as many of them if there are
 more; the prior counts every labelled training row.  Every document is scored.  Null text counts as empty;
 empty texts get a score like any other.  Repeated labels of a document count as the least of them.
-Without any positive every score is 0.
+Repeated documents each get their own score; a score of exactly 0.5 counts as label 1.  Without any positive every score is 0.
 """
 
 from __future__ import annotations
@@ -68,6 +68,29 @@ def features(text: str | None, packer=None) -> list[float]:
     ]
 
 
+class Binned:
+    """A matrix of indicators "measure i exceeds cut k", held as the bin of each measure, as the indicators of a measure come in order."""
+
+    def __init__(self, x: np.ndarray, cuts: list[np.ndarray]):
+        self.widths = [len(c) for c in cuts]
+        self.first = np.cumsum([0, *[w + 1 for w in self.widths]])
+        self.shape = (len(x), sum(self.widths))
+        self.bins = np.stack([np.searchsorted(c, x[:, i], side="left") + self.first[i] for i, c in enumerate(cuts)], axis=1)
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """The matrix by a vector of weights."""
+        levels = np.concatenate([np.append(0.0, np.cumsum(part)) for part in np.split(w, np.cumsum(self.widths)[:-1])])
+        return levels[self.bins].sum(axis=1)
+
+    def turned(self, e: np.ndarray) -> np.ndarray:
+        """The transposed matrix by a vector over the rows."""
+        held = np.bincount(self.bins.ravel(), weights=np.repeat(e, self.bins.shape[1]), minlength=self.first[-1])
+        return np.concatenate([np.cumsum(held[a:z][::-1])[::-1][1:] for a, z in zip(self.first, self.first[1:], strict=False)])
+
+
 @dataclass
 class Model:
     """Quantile cuts per measure, weights of the resulting indicators, and a bias."""
@@ -77,12 +100,8 @@ class Model:
     bias: float
     prior: float
 
-    def expand(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([(x[:, i : i + 1] > c[None, :]).astype(np.float32) for i, c in enumerate(self.cuts)], axis=1)
-
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = self.expand(x) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return _sigmoid(Binned(x, self.cuts).times(self.weights) + self.bias)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -101,15 +120,15 @@ def _descend(gradient, width: int) -> tuple[np.ndarray, float]:
     return w[:-1], float(w[-1])
 
 
-def density_prior(p: np.ndarray, u: np.ndarray) -> float:
+def density_prior(p: Binned, u: Binned) -> float:
     """The prior from the mean probability of being a trusted positive, over the trusted positives themselves."""
 
     def gradient(w, b):
-        ep, eu = _sigmoid(p @ w + b) - 1, _sigmoid(u @ w + b)
-        return np.append(p.T @ ep / len(p) + u.T @ eu / len(u), ep.mean() + eu.mean())
+        ep, eu = _sigmoid(p.times(w) + b) - 1, _sigmoid(u.times(w) + b)
+        return np.append(p.turned(ep) / len(p) + u.turned(eu) / len(u), ep.mean() + eu.mean())
 
     w, b = _descend(gradient, p.shape[1])
-    g = _sigmoid(p @ w + b).mean()
+    g = _sigmoid(p.times(w) + b).mean()
     return float(np.clip((1 - g) / g, 0.02, 0.98))
 
 
@@ -118,19 +137,19 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> Mo
     levels = np.linspace(0, 1, CUTS + 2)[1:-1]
     tails = [0.005, 0.02, 0.98, 0.995]
     cuts = [np.unique(np.quantile(unlabelled[:, i], [*levels, *tails])) for i in range(unlabelled.shape[1])]
-    model = Model(cuts, np.zeros(0), 0.0, 0.5)
-    p, u = model.expand(positive), model.expand(unlabelled)
+    p, u = Binned(positive, cuts), Binned(unlabelled, cuts)
     prior = density_prior(p, u) if prior is None else prior
 
     def gradient(w, b):
-        sp, su = _sigmoid(p @ w + b), _sigmoid(u @ w + b)
-        negative = np.logaddexp(0, np.clip(u @ w + b, -30, 30)).mean() - prior * np.logaddexp(0, np.clip(p @ w + b, -30, 30)).mean()
-        gn = np.append(u.T @ su / len(u) - prior * (p.T @ sp) / len(p), su.mean() - prior * sp.mean())
-        gp = prior * np.append(p.T @ (sp - 1) / len(p), (sp - 1).mean())
+        zp, zu = np.clip(p.times(w) + b, -30, 30), np.clip(u.times(w) + b, -30, 30)
+        sp, su = _sigmoid(zp), _sigmoid(zu)
+        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        gn = np.append(u.turned(su) / len(u) - prior * p.turned(sp) / len(p), su.mean() - prior * sp.mean())
+        gp = prior * np.append(p.turned(sp - 1) / len(p), (sp - 1).mean())
         return gp + gn if negative >= 0 else -gn
 
     w, b = _descend(gradient, p.shape[1])
-    return Model(cuts, w.astype(np.float32), b, prior)
+    return Model(cuts, w, b, prior)
 
 
 def _measured(batches):
@@ -159,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, seed: int = 42, s
 
 def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep``, ``score`` and ``predicted`` for every row."""
-    chosen = docs.select(*keep, "text")
+    chosen = docs.select(*[F.col(f"`{c}`") for c in keep], "text")
 
     def run(batches):
         packer = zstandard.ZstdCompressor(level=1)
@@ -167,5 +186,5 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id
             s = np.zeros(len(b)) if model is None or not len(b) else model.score(np.array([features(t, packer) for t in b["text"]]))
             yield b[list(keep)].assign(score=s.astype(float), predicted=(s >= 0.5).astype("int32"))
 
-    fields = ", ".join(f"{n} {t}" for n, t in chosen.dtypes[:-1])
+    fields = ", ".join(f"`{n}` {t}" for n, t in chosen.dtypes[:-1])
     return chosen.mapInPandas(run, f"{fields}, score double, predicted int")

@@ -13,7 +13,3 @@ def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
-
-def own(df, *names: str):
-    """The named columns of ``df`` and no others, so that extra columns cannot clash."""
-    return df.select(*[F.col(f"`{n}`") for n in names])

@@ -1,3 +1,6 @@
+import gzip
+import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -69,6 +72,28 @@ def test_mixing(odd, none):
     assert mixing.targets([10, 100], [3, 1], 60, 2) == [20, 40]
 
 
+def test_schedule_is_low_discrepancy(odd, monkeypatch):
+    """Every prefix of slots holds each source in proportion, ranks count up in slot order, and passes follow the slots."""
+    monkeypatch.setattr(mixing, "SLOTS_PER_CHUNK", 50)
+    mix = mixing.Mix(odd, block_tokens=64)
+    rows = sorted(map(tuple, mix.schedule().collect()))
+    slots, counts = mix.slot_counts()
+    assert [r[0] for r in rows] == list(range(len(rows))) and len(rows) == sum(counts) and slots > 500
+    seen = Counter()
+    for slot, skey, rank in rows:
+        assert rank == seen[skey]
+        seen[skey] += 1
+        if slot < slots:
+            assert all(abs(seen[i] - (slot + 1) * t / sum(mix.tokens)) < 6 for i, t in enumerate(mix.tokens))
+    assert seen == Counter({i: c for i, c in enumerate(counts) if c})
+    for n, edge in ((0, 5), (1, 0), (1, 1), (700, mixing.TURN // 3), (700, mixing.TURN)):
+        assert mixing.points_below(n, edge) == sum(i * mixing.GOLDEN % mixing.TURN < edge for i in range(n))
+    places = sorted((r.slot, r.start, r.epoch, r.doc_id) for r in mix.spans().groupBy("skey", "doc_id", "start", "epoch").agg(F.min("slot").alias("slot")).collect())
+    taken = mixing.mix_documents(odd, block_tokens=64).collect()
+    assert [p[3] for p in places] == [r.doc_id for r in taken] and len(taken) > len(ODD) // 2
+    assert all(p.first + p.size >= p.last for p in mix.spans().collect())
+
+
 def _least_capacity(sizes, shards):
     best = None
     for c in range(max(sizes), sum(sizes) + 1):
@@ -156,6 +181,28 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r.doc_id: r.class_id for r in got.collect()} == _brute_classes(rows)
 
 
+def test_near_duplicates_in_buckets_of_many_blocks(spark, monkeypatch):
+    """Blocks far smaller than the groups, which hold copies, near copies, chains and texts that merely resemble each other."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "GUESTS", 3)
+    monkeypatch.setattr(near_dedup, "ROUNDS", 2)
+    rng = np.random.default_rng(11)
+    rows = []
+    for g, (size, changes) in enumerate(((40, 2), (40, 12))):
+        base = [f"g{g}w{x}" for x in range(200)]
+        for _ in range(size):
+            words = list(base)
+            for at in rng.integers(0, 200, changes):
+                words[at] = f"x{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    chain = [f"c{x}" for x in range(200)]
+    for k in range(30):
+        rows.append((len(rows), " ".join(chain)))
+        chain[7 * k % 200] = f"y{k}"
+    got = near_dedup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == _brute_classes(rows)
+
+
 def test_near_duplicates_odd_rows(odd, none):
     got = near_dedup.near_duplicate_classes(odd).collect()
     assert len(got) == len(ODD)
@@ -165,6 +212,9 @@ def test_near_duplicates_odd_rows(odd, none):
     assert kept.columns == odd.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, 3, 4, 6, 8, 10, None])
     assert near_dedup.near_duplicate_classes(none).count() == 0
+    twice = odd.select("doc_id", "text", F.lit(1).alias("a.b"), F.lit(2).alias("TEXT.x"))
+    nulls = twice.filter("text IS NULL")
+    assert near_dedup.keep_one(nulls.unionByName(nulls)).count() == 4 and near_dedup.keep_one(twice).columns == twice.columns
 
 
 def test_decontamination(spark, odd, none):
@@ -205,6 +255,77 @@ def test_decontamination_with_many_items(spark):
     assert not {(-1 - i, i) for i in spans} - got
 
 
+def test_singular_vectors():
+    """Those of a matrix of known rank, from its product with the sign matrix alone."""
+    rng = np.random.default_rng(9)
+    basis = np.linalg.qr(rng.standard_normal((decontam.BUCKETS, 6)))[0]
+    values = np.array([50.0, 30, 20, 10, 5, 1])
+    where, sign = decontam._signs(24)
+    r = np.zeros((decontam.BUCKETS, 24))
+    r[np.arange(decontam.BUCKETS)[:, None], where] = sign
+    vectors, found = decontam.singular_vectors(basis * values**2 @ (basis.T @ r), 24, 6)
+    assert np.allclose(found, values, rtol=1e-2) and np.allclose(np.abs((vectors * basis).sum(axis=0)), 1, atol=1e-3)
+
+
+def test_rows_are_added_at_repeated_places(monkeypatch):
+    rng = np.random.default_rng(10)
+    for rounds in (1, 24):
+        monkeypatch.setattr(decontam, "ROUNDS", rounds)
+        index, take = rng.integers(0, 9, 400), rng.integers(0, 30, 400)
+        source, got, expected = rng.standard_normal((30, 5)), np.zeros((9, 5)), np.zeros((9, 5))
+        decontam._add_rows(got, index, source, take)
+        np.add.at(expected, index, source[take])
+        assert np.allclose(got, expected)
+
+
+def test_decontamination_of_paraphrases(spark):
+    """Items cut from documents, reworded: a share of words replaced by others of the corpus, neighbours swapped, words inserted."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [decontam.tokens(r.text) for r in docs.orderBy("doc_id", "text").collect()]
+    long = [w for w in texts if len(w) >= 60]
+    words = sorted({x for w in long for x in w})
+    rng, items, reworded = np.random.default_rng(12), [], []
+    for i in range(300):
+        w = long[int(rng.integers(len(long)))]
+        at = int(rng.integers(len(w) - 24))
+        items.append((i, " ".join(w[at : at + 24])))
+        out = [words[int(rng.integers(len(words)))] if rng.random() < 0.15 else x for x in w[at : at + 24]]
+        j = int(rng.integers(20))
+        out[j : j + 2] = out[j : j + 2][::-1]
+        out[j : j + 1] = [out[j], "inserted"]
+        reworded.append((-1 - i, " ".join([*words[:20], *out, *words[20:40]])))
+    clean = [(-1000 - i, " ".join(words[int(x)] for x in rng.integers(0, len(words), 80))) for i in range(300)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    both = docs.unionByName(spark.createDataFrame(reworded + clean, "doc_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(both, bench).filter("doc_id < 0").collect()}
+    right = {(d, i) for d, i in got if texts_equal(items[i][1], items[-1 - d][1])} if all(d >= -300 for d, _ in got) else set()
+    assert len({d for d, _ in right}) >= 0.9 * 300 and len(right) >= 0.98 * len(got)
+
+
+def texts_equal(a: str, b: str) -> bool:
+    """Whether two items share most of their words, as those cut from copies or overlapping places do."""
+    return len(set(a.split()) & set(b.split())) >= 0.5 * len(set(a.split()))
+
+
+def test_decontamination_in_small_blocks_and_of_short_items(spark, monkeypatch):
+    rows = [(1, "zwölf uhr mitternacht"), (2, "a b"), (3, "機械学習の評価問題集です東京"), (4, "quartz jumbled vexing waltz nymph for quick jigs beneath old copper gates"), (5, None)]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    texts = [(10, "es war zwölf uhr, mitternacht"), (11, "mitternacht zwölf uhr"), (12, "a b"), (13, "これは機械学習の評価問題集です東京から"), (14, "x " * 5000 + rows[3][1] + " y" * 5000), (15, "uhr mitternacht zwölf")]
+    docs = spark.createDataFrame([*texts, texts[0]], "doc_id long, text string")
+    expected = [(10, 1), (13, 3), (14, 4)]
+    space = decontam.fit(decontam.tokenised(docs), rank=8)
+    (segs,) = decontam.segments(bench)
+    known = decontam.TokenHashes()
+    monkeypatch.setattr(decontam, "CELLS_AT_ONCE", 3)
+    found = decontam.Scanner(decontam.prepare(segs, space)).find(decontam.Tokens.of([decontam.token_hashes(t, known) for _, t in texts]))
+    assert sorted((texts[r][0], i) for r, i, _, _ in found) == expected
+    for size in (200_000, 3):
+        monkeypatch.setattr(decontam, "BLOCK_TOKENS", size)
+        assert len(list(decontam.segments(bench))) == (1 if size > 3 else 3)
+        assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()) == expected
+        assert sorted(r.doc_id for r in decontam.decontaminate(docs, bench).collect()) == [11, 12, 15]
+
+
 def test_decontamination_against_all_pairs(spark):
     rng = np.random.default_rng(8)
     word = lambda n: [f"w{int(x)}" for x in np.minimum(rng.zipf(1.3, n), 4000)]
@@ -216,20 +337,20 @@ def test_decontamination_against_all_pairs(spark):
         at, kept = int(rng.integers(100)), [x for x in w if rng.random() < 0.85]
         docs.append((d, words[:at] + kept + words[at:]))
     bench = spark.createDataFrame([(i, " ".join(w), a and " ".join(a)) for i, w, a in items], "item_id long, text string, answer string")
-    (segs,) = decontam.segments(bench)
-    model = decontam.fit(decontam.tokenised(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string"), segs), segs, rank=8)
-    scanner = decontam.Scanner(model)
-    expected = set()
-    for d, words in docs:
-        ids = [segs.vocabulary.get(w, -1) for w in words]
-        for a in range(0, len(ids), decontam.CELL):
-            passage = ids[a : a + 2 * decontam.CELL]
-            expected |= {(d, segs.item[s]) for s in range(len(segs.ids)) if scanner.accept(s, passage, set(passage))}
-    ids = [decontam._ids(" ".join(w), segs.vocabulary) for _, w in docs]
-    assert len(expected) > 60 and {(r, i) for r, i, _, _ in scanner.find(ids)} == expected
+    (segs,) = decontam.segments(bench, "answer")
+    assert all(a is None for x in decontam.segments(bench) for a in x.answers)
+    space = decontam.fit(decontam.tokenised(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")), rank=8)
+    scanner, known = decontam.Scanner(decontam.prepare(segs, space)), decontam.TokenHashes()
+    ids, expected = [decontam.token_hashes(" ".join(w), known) for _, w in docs], set()
+    for d, words in enumerate(ids):
+        for a in range(0, len(words), decontam.CELL):
+            passage = words[a : a + 2 * decontam.CELL]
+            x = space.terms[decontam.bucket_of(passage)].sum(axis=0)
+            cosine = scanner.m.items @ (x / max(np.linalg.norm(x), 1e-12))
+            expected |= {(d, segs.item[s]) for s in range(len(segs.ids)) if scanner.accept(s, passage.tolist(), set(passage.tolist()), cosine[s] if cosine[s] >= decontam.COSINE else 0)}
     decontam_pairs, decontam.PAIRS_AT_ONCE = decontam.PAIRS_AT_ONCE, 10
     try:
-        assert {(r, i) for r, i, _, _ in scanner.find(ids)} == expected
+        assert {(r, i) for r, i, _, _ in scanner.find(decontam.Tokens.of(ids))} == expected
     finally:
         decontam.PAIRS_AT_ONCE = decontam_pairs
 
@@ -303,7 +424,7 @@ def test_licenses_near_each_other(spark):
 
 
 def _brute_lines(rows, least=50):
-    seen, gone = set(), defaultdict(set)
+    seen, gone = {}, defaultdict(set)
     for d, t in rows:
         lines = [(i, x.strip(line_dedup.SPACES)) for i, x in enumerate(t.split("\n"))]
         lines = [x for x in lines if x[1]]
@@ -315,9 +436,9 @@ def _brute_lines(rows, least=50):
             if words < least:
                 break
             key = tuple(x for _, x in lines[a:z])
-            if key in seen:
-                gone[d].update(i for i, _ in lines[a:z])
-            seen.add(key)
+            doc, at = seen.setdefault(key, (d, a))
+            if (doc, at) != (d, a):
+                gone[d].update(i for i, _ in lines[max(a, at + z - a) if doc == d else a : z])
     return dict(gone)
 
 
@@ -331,6 +452,28 @@ def test_lines_against_brute_force(spark):
         rows.append((d, "\n".join(lines + [""] + pool[:2])))
     got = line_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: set(r.removed) for r in got} == _brute_lines(rows)
+    texts = {d: t.split("\n") for d, t in rows}
+    worded = lambda d, at: [x for x in texts[d][at:] if x.strip()]
+    for r in got:
+        for run in r.runs:
+            own, first = worded(r.doc_id, run.line)[: run.lines], worded(run.first_doc_id, run.first_line)[: run.lines]
+            assert own == first and sum(len(x.split()) for x in own) >= 50 and set(r.first_doc_ids) >= {run.first_doc_id}
+
+
+def test_lines_that_overlap_themselves(spark):
+    ten = " ".join(f"t{i}" for i in range(10))
+    pair = [" ".join(f"{c}{i}" for i in range(13)) for c in "ab"]
+    rows = [(0, "\n".join([ten] * 6)), (1, "\n".join([ten] * 3)), (2, "\n".join([ten] * 12)), (3, "\n".join(pair * 5)), (4, "\n".join([*pair * 2, "own"]))]
+    got = {r.doc_id: r.removed for r in line_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: sorted(x) for d, x in _brute_lines(rows).items()}
+    assert got[0] == [5] and got[2] == list(range(12)) and 1 not in got and got[3] == [4, 5, 6, 7, 8, 9] and got[4] == [0, 1, 2, 3]
+
+
+def test_lines_whose_hashes_clash(spark, monkeypatch):
+    """Lines that share an id by accident are not deleted."""
+    monkeypatch.setattr(line_dedup, "line_id", lambda line: F.pmod(F.xxhash64(line), F.lit(3)))
+    rows = [(d, "\n".join(" ".join(f"d{d}l{k}w{i}" for i in range(20)) for k in range(8))) for d in range(12)]
+    assert line_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
 
 
 def test_lines_odd_rows(odd, none):
@@ -350,11 +493,147 @@ def test_warc(spark, tmp_path):
     rows = warc.page_table(warc.read_warc(spark, path)).collect()
     assert Counter((r.page_id, r.record_type, r.refers_to) for r in rows) == Counter({(1, "revisit", 2): 1, (2, "response", None): 2, (3, "response", None): 1, (4, "response", None): 1, (5, "response", None): 1, (None, "revisit", 2): 1})
     assert {r.payload_bytes for r in rows} == {len(body.encode()), 5, 0}
-    some = warc.read_warc(spark, path).filter("record_type = 'revisit' AND record_id IN ('urn:page:1', 'urn:page:9')")
+    digest = hashlib.sha1(body.encode()).hexdigest()
+    some = warc.read_warc(spark, path).filter(f"record_type = 'revisit' AND record_id IN ('urn:page:1:{digest}', 'urn:page:9')")
     assert [r.target_uri for r in some.collect()] == ["http://a  b"]
     assert warc.read_warc(spark, path, payload=False).filter("payload IS NOT NULL").isEmpty()
     warc.write_warc(pages.filter("false"), f"{path}2")
     assert warc.read_warc(spark, f"{path}2").count() == 0
+    assert warc.read_warc(spark, [path, f"{path}2", path]).count() == 2 * len(rows)
+
+
+def _record(uri: str, http: bytes, body: bytes) -> bytes:
+    block = b"HTTP/1.1 200 OK\r\n" + http + b"\r\n\r\n" + body
+    head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {uri}\r\nContent-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("kind", ["plain", "members", "one", "own"])
+def test_warc_foreign_archives(spark, tmp_path, kind):
+    """Archives of others, with long payloads, encoded bodies and headers that cannot be read."""
+    rng = np.random.default_rng(4)
+    noise = rng.integers(0, 256, 300_000, dtype=np.uint8).tobytes()
+    chunked = b"5\r\nhello\r\n6;x=y\r\n world\r\n0\r\n\r\n"
+    parts = [
+        _record("a", b"Content-Length: 300000", noise), b"WARC/1.0\r\nWARC-Type: response\r\nno length here\r\n\r\nlost text\r\n\r\n",
+        _record("b", b"Transfer-Encoding: chunked", chunked), b"noise between\r\n", _record("c", b"Content-Encoding: gzip", gzip.compress(b"packed")), _record("d", b"X: y", b""),
+    ]
+    data = {"plain": b"".join, "one": lambda p: gzip.compress(b"".join(p)), "members": lambda p: b"".join(map(gzip.compress, p)), "own": lambda p: b"".join(map(warc.member, p))}[kind](parts)
+    (tmp_path / "x.warc").write_bytes(data)
+    read = lambda **o: warc.read_warc(spark, str(tmp_path / "x.warc"), **o)
+    got = {r.target_uri: bytes(r.payload) for r in read().collect()}
+    assert got == {"a": noise, "b": chunked, "c": got["c"], "d": b""} and gzip.decompress(got["c"]) == b"packed"
+    decoded = {r.target_uri: bytes(r.payload) for r in read(decode=True).collect()}
+    assert decoded["b"] == b"hello world" and decoded["c"] == b"packed" and decoded["a"] == noise
+    assert [r.target_uri for r in read().filter("target_uri = 'd'").collect()] == ["d"]
+    assert [r.target_uri for r in read(payload=False).collect()] == ["a", "b", "c", "d"]
+    gaps = spark.read.format("warc").option("malformed", "true").load(str(tmp_path / "x.warc")).filter("record_type = 'malformed'").collect()
+    assert len(gaps) >= 2 and all(r.http_length > 0 for r in gaps)
+
+
+def _md5_key(*parts) -> int:
+    return int(hashlib.md5("|".join("null" if p is None else str(p) for p in parts).encode()).hexdigest()[:15], 16)
+
+
+def _table(spark, name):
+    return spark.read.parquet(f"{SF}/{name}.parquet")
+
+
+def _brute_items(spark, docs, items) -> set[tuple]:
+    """(document, item) pairs whose item's tokens a passage holds well enough, by comparing every passage with every segment."""
+    known, found = decontam.TokenHashes(), set()
+    (segs,) = decontam.segments(items)
+    space = decontam.fit(decontam.tokenised(spark.createDataFrame(docs, "doc_id long, text string")), rank=8)
+    scanner = decontam.Scanner(decontam.prepare(segs, space))
+    for d, t in docs:
+        ids = decontam.token_hashes(t, known).tolist()
+        for a in range(0, len(ids), decontam.CELL):
+            passage = ids[a : a + 2 * decontam.CELL]
+            here = set(passage)
+            found |= {(d, segs.item[s]) for s in range(len(segs.ids)) if len(scanner.sets[s] & here) >= 0.4 * len(scanner.sets[s]) and scanner.accept(s, passage, here, 0.0)}
+    return found
+
+
+def test_op4_query_against_brute_force(spark):
+    texts = {r.doc_id: r.text for r in _table(spark, "documents").collect()}
+    rows = queries.op4_sharding(spark, SF).collect()
+    size = {d: len((t or "").encode()) + 1 for d, t in texts.items()}
+    assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == {d: (size[d], zlib.crc32(t.encode())) for d, t in texts.items()}
+    groups, shards = defaultdict(int), defaultdict(set)
+    for r in rows:
+        key = _md5_key(str(texts[r.doc_id] is None).lower(), texts[r.doc_id])
+        groups[key] += r.size
+        shards[key].add(r.shard)
+    order = sorted(groups)
+    of = [min(shards[k]) for k in order]
+    assert all(len(v) == 1 for v in shards.values()) and of == sorted(of)
+    filled = Counter()
+    for r in rows:
+        filled[r.shard] += r.size
+    assert max(filled.values()) == _least_capacity([groups[k] for k in order], 8)
+    for shard in filled:
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
+
+
+def test_op6_query_against_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in _table(spark, "documents").collect()]
+    got = {(r.doc_id, r.item_id): r.matched for r in queries.op6_decontamination(spark, SF).collect()}
+    expected = _brute_items(spark, docs, _table(spark, "benchmark"))
+    assert expected and expected <= set(got)
+    assert all(got[pair] >= decontam.NEAR for pair in set(got) - expected) and len(got) <= 1.02 * len(expected) + 1
+
+
+def test_op7_query_against_brute_force(spark):
+    """A template is found in a document if some run of twice its class holds 80% of its shingles."""
+    known = WordHashes()
+    wanted = {n: set(licenses.shingles(t, known).tolist()) for n, t in licenses.TEMPLATES.items()}
+    expected = set()
+    for r in _table(spark, "documents").collect():
+        found = licenses.shingles(r.text, known).tolist()
+        for name, parts in wanted.items():
+            at = [i for i, s in enumerate(found) if s in parts]
+            span = 2 * min(c for c in licenses.CLASSES if c >= len(parts))
+            if any(len({found[j] for j in at if i <= j < i + span}) >= licenses.CONTAINED * len(parts) for i in at):
+                expected.add((r.doc_id, name))
+    got = {(r.doc_id, r.license) for r in queries.op7_license_scan(spark, SF).collect()}
+    assert got <= expected and {d for d, _ in got} == {d for d, _ in expected} and got
+
+
+def test_op8_op9_queries_against_brute_force(spark):
+    rows = sorted((r.doc_id, r.text) for r in _table(spark, "documents").collect() if r.text is not None)
+    lines = {r.doc_id: set(r.removed) for r in queries.op8_line_dedup(spark, SF).collect()}
+    assert lines == _brute_lines(rows) and lines
+    classes = {r.doc_id: r.class_id for r in queries.op9_near_dedup(spark, SF).collect()}
+    expected = _brute_classes(rows)
+    assert {d: classes[d] for d, _ in rows} == expected and len(set(expected.values())) < len(rows)
+
+
+def test_pipeline_against_brute_force(spark):
+    """Every stage again, row by row: rules from their SQL, copies and items by all pairs, the mix by running sums."""
+    import corpus_pipeline
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    texts = {r.doc_id: (r.text, r.source) for r in _table(spark, "documents").collect()}
+    kept = [r[0] for r in con.execute(f"SELECT doc_id FROM ({queries.ORACLE_SQL['op5_quality_rules']}) WHERE kept").fetchall()]
+    classes = _brute_classes([(d, texts[d][0]) for d in kept])
+    left = [d for d in kept if classes[d] == d]
+    held = {d for d, _ in _brute_items(spark, [(d, texts[d][0]) for d in left], _table(spark, "benchmark"))}
+    left = [d for d in left if d not in held]
+    words = {d: len([w for w in re.split("[ \t\n\x0b\f\r]+", texts[d][0]) if w]) for d in left}
+    names = sorted({texts[d][1] for d in left}, key=lambda n: (n is None, n or ""))
+    sizes = [sum(words[d] for d in left if texts[d][1] == n) for n in names]
+    goals = mixing.targets(sizes, [(3, 1, 2)[i % 3] for i in range(len(names))], 1.5 * sum(sizes), 2)
+    expected = Counter()
+    for n, size, goal in zip(names, sizes, goals, strict=True):
+        at, passes, rest = 0, int(goal) // size, int(goal) % size
+        md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+        for d in sorted((d for d in left if texts[d][1] == n and words[d]), key=lambda d: _md5_key(42, d, md5(texts[d][0]))):
+            expected[d] += passes + (at < rest)
+            at += words[d]
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert Counter(r.doc_id for r in out) == +expected
+    assert all(r.size == len(texts[r.doc_id][0].encode()) + 1 for r in out) and {r.shard for r in out} == set(range(8))
 
 
 def test_pipeline(spark):

@@ -140,10 +140,18 @@ def x17_human_numbers(spark, d):
     return load(spark, d, "part").select("p_partkey", X.human_numbers(F.concat(n, F.lit("Ki"))).alias("binary"), X.human_numbers(F.concat(F.lit("-"), size, F.lit("^2"))).alias("power"), X.human_numbers(F.concat(size, F.lit("%"))).alias("share"))
 
 
-_SCALED = "CASE WHEN n = 0 THEN '0' WHEN n < {b} THEN printf('%.2f', n::DOUBLE) WHEN n < {b}::BIGINT * {b} THEN printf('%.2f{k}', n / {b}::DOUBLE) WHEN n < {b}::BIGINT * {b} * {b} THEN printf('%.2f{m}', n / ({b}::BIGINT * {b})::DOUBLE) ELSE printf('%.2f{g}', n / ({b}::BIGINT * {b} * {b})::DOUBLE) END"
 
+def _scaled(step: int, marks: list[str]) -> str:
+    """A count of ``n`` in the first of its scales that holds it."""
+    cases = []
+    for i, mark in enumerate(["", *marks]):
+        v = f"(n / {step**i}::DOUBLE)"
+        text = f"CASE WHEN {v} >= 1000 THEN floor({v} / 1000)::BIGINT || '_' || lpad(printf('%.2f', {v} % 1000), 6, '0') ELSE printf('%.2f', {v}) END || '{mark}'"
+        cases.append(f"WHEN n < {step ** (i + 1)} THEN {text}")
+    return f"CASE WHEN n = 0 THEN '0' {' '.join(cases)} END"
 
-@query(f"""SELECT o_orderkey, {_SCALED.format(b=1000, k='K', m='M', g='B')} AS human, {_SCALED.format(b=1024, k='Ki', m='Mi', g='Gi')} AS bytes,
+
+@query(f"""SELECT o_orderkey, {_scaled(1000, ['K', 'M', 'B'])} AS human, {_scaled(1024, ['Ki', 'Mi', 'Gi'])} AS bytes,
 CASE WHEN s < 60 THEN printf('%.3fs', s) ELSE CASE WHEN s >= 172800 THEN floor(s / 86400)::BIGINT || ' days, ' WHEN s >= 86400 THEN '1 day, ' ELSE '' END || floor(s % 86400 / 3600)::BIGINT || ':' || lpad(floor(s % 3600 / 60)::BIGINT::VARCHAR, 2, '0') || ':' || lpad(floor(s % 60)::BIGINT::VARCHAR, 2, '0') END AS spent
 FROM (SELECT o_orderkey, o_orderkey * 97 AS n, (o_orderkey * 97) / 8.0::DOUBLE AS s FROM orders)""")
 def x18_human_counts(spark, d):

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
 import sqlite3
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -71,8 +71,13 @@ def s26_folders(spark, d):
 
 
 def _database(spark, d) -> str:
-    """Regions and nations as a SQLite file beside the driver."""
-    path = tempfile.mkdtemp(prefix="lodestone-") + "/world.sqlite"
+    """Regions and nations as a SQLite file in the shared folder, which must be a mounted one: SQLite opens paths only."""
+    folder = new_path(spark, "sqlite")
+    if not folder.startswith("file:"):
+        raise ValueError(f"SQLite cannot open files in {folder}")
+    folder = "/" + folder[5:].lstrip("/")
+    os.makedirs(folder)
+    path = f"{folder}/world.sqlite"
     with sqlite3.connect(path) as c:
         c.execute("CREATE TABLE region (r_regionkey INTEGER PRIMARY KEY, r_name TEXT)")
         c.execute("CREATE TABLE nation (n_nationkey INTEGER PRIMARY KEY, n_name TEXT, n_regionkey INTEGER REFERENCES region (r_regionkey))")

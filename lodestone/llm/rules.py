@@ -5,8 +5,8 @@ bit *i* is set if rule *i* fails.  A policy is a versioned set of rules; :func:`
 document whose failure bits do not meet the policy's mask, and :func:`ablation` counts, for every rule
 of a policy, the documents that only that rule rejects, by aggregating the stored bits.
 
-:func:`quality_filter` writes the ledger beside the documents, so a lost executor never evaluates a rule twice, and applies a policy to what
-is stored.
+:func:`store_ledger` writes it, narrow, for policies and ablations to come; :func:`quality_filter` applies one policy in the pass that measures, as
+a copy of the texts beside their bits would cost as much disk as the input.
 
 Null text counts as no text: all measurements are 0.  Texts of any length are measured whole.  A measurement that equals a rule's bound
 passes.  Repeated rows are each measured and kept or dropped alike.
@@ -132,6 +132,11 @@ def ledger(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
     return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 
 
+def store_ledger(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ledger, written once in the shared folder and read back: what policies and ablations are then computed from."""
+    return materialise(ledger(docs, text_col, keep), "ledger")
+
+
 def apply_policy(ledger_df: DataFrame, version: str = "v1") -> DataFrame:
     """Add ``base_failed`` and ``kept`` under the named policy."""
     failed = lambda v: F.col("failures").bitwiseAND(F.lit(mask(POLICIES[v])).cast("long")) != 0
@@ -165,5 +170,4 @@ def quality_filter(docs: DataFrame, version: str = "v1") -> DataFrame:
     names = docs.columns
     hidden = [f"__c{i}" for i in range(len(names))]
     renamed = docs.toDF(*hidden).withColumn("__text", F.col(hidden[names.index("text")]))
-    stored = materialise(ledger(renamed, "__text", tuple(hidden)), "ledger")
-    return apply_policy(stored, version).filter("kept").select(*hidden).toDF(*names)
+    return apply_policy(ledger(renamed, "__text", tuple(hidden)), version).filter("kept").select(*hidden).toDF(*names)

@@ -55,6 +55,10 @@ def test_rules_on_odd_rows(odd, none):
     assert rules.ledger(none).count() == 0
     assert {r.rule: r.fails for r in rules.ablation(rules.ledger(odd)).collect()}["too_few_words"] == 8
     assert rules.quality_filter(odd).columns == odd.columns
+    stored = rules.store_ledger(odd)
+    kept = {v: rules.apply_policy(stored, v).filter("kept").count() for v in rules.POLICIES}
+    assert kept["v2"] <= kept["v1"] <= kept["base"] and rules.quality_filter(odd, "v2").count() == kept["v2"]
+    assert {r.rule: r.fails for r in rules.ablation(stored, "length_only").collect()} == {"too_few_words": 8, "very_long": 0}
 
 
 def test_mixing(odd, none):

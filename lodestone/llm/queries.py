@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, langid, licenses, line_dedup, mixing, near_dedup, quality, rules, sharding, warc
+from lodestone.llm import decontam, langid, licenses, line_dedup, mixing, near_dedup, quality, ranked_search, rules, sharding, warc
 from lodestone.plans.scratch import new_path
 
 
@@ -84,7 +84,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_table(warc.read_warc(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_quality, op3_mixing, op4_sharding, op5_quality_rules, op6_decontamination, op7_license_scan, op8_line_dedup, op9_near_dedup, op10_warc)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of each benchmark item."""
+    index = ranked_search.build_index(_table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_quality, op3_mixing, op4_sharding, op5_quality_rules, op6_decontamination, op7_license_scan, op8_line_dedup, op9_near_dedup, op10_warc, op11_ranked_search)}
 
 _OP3 = r"""
 WITH d AS (
@@ -160,4 +166,17 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m
 """
 
-ORACLE_SQL = {"op10_warc": _OP10, "op3_mixing": _OP3, "op5_quality_rules": _OP5}
+_OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+s AS (SELECT count(*)::BIGINT AS N, coalesce(sum(len(ts)), 0)::BIGINT AS L FROM d WHERE len(ts) > 0),
+p AS (SELECT r, doc_id, len(ts)::BIGINT AS n, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, ts, unnest(ts) AS term FROM d) GROUP BY r, doc_id, len(ts), term),
+q AS (SELECT item_id, term, count(*)::BIGINT AS c FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * (SELECT N FROM s) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p WHERE term IN (SELECT term FROM q) GROUP BY term),
+sc AS (
+  SELECT item_id, r, doc_id, sum(c * w.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * (SELECT N FROM s)) // (SELECT L FROM s)))))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) GROUP BY item_id, r, doc_id),
+rk AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM sc WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM rk WHERE rank <= 20
+"""
+
+ORACLE_SQL = {"op11_ranked_search": _OP11, "op10_warc": _OP10, "op3_mixing": _OP3, "op5_quality_rules": _OP5}

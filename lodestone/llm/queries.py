@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, langid, licenses, line_dedup, mixing, near_dedup, quality, ranked_search, rules, sharding, warc
+from lodestone.llm import decontam, langid, licenses, line_dedup, mixing, near_dedup, quality, ranked_search, rules, sharding, spelling, url_filter, warc
 from lodestone.plans.scratch import new_path
 
 
@@ -90,7 +90,23 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(index, _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_quality, op3_mixing, op4_sharding, op5_quality_rules, op6_decontamination, op7_license_scan, op8_line_dedup, op9_near_dedup, op10_warc, op11_ranked_search)}
+#: Rules of host, path and action; fixed by the query's contract.
+URL_RULES = "SELECT * FROM VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow') AS r(host, path, action)"
+#: A run in so many loses a letter; fixed by the query's contract.
+DAMAGE = 199
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    return url_filter.judge(_table(spark, sf_dir, "pages"), spark.sql(URL_RULES))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with their near words, forms and roots."""
+    return spelling.variants(spelling.count_words(_table(spark, sf_dir, "documents"), damage=DAMAGE))
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_quality, op3_mixing, op4_sharding, op5_quality_rules, op6_decontamination, op7_license_scan, op8_line_dedup, op9_near_dedup, op10_warc, op11_ranked_search, op12_url_filter, op13_spelling)}
 
 _OP3 = r"""
 WITH d AS (
@@ -179,4 +195,12 @@ rk AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DE
 SELECT item_id, rank::INT AS rank, doc_id, score FROM rk WHERE rank <= 20
 """
 
-ORACLE_SQL = {"op11_ranked_search": _OP11, "op10_warc": _OP10, "op3_mixing": _OP3, "op5_quality_rules": _OP5}
+_OP12 = r"""
+WITH p AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS u FROM pages),
+h AS (SELECT r, page_id, translate(regexp_extract(u, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(u, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+rules(h, p, a) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+f AS (SELECT r, arg_max(rules.h || rules.p, length(rules.h || rules.p)) AS rule, arg_max(a, length(rules.h || rules.p)) AS a FROM h JOIN rules ON (host = rules.h OR ends_with(host, '.' || rules.h)) AND starts_with(path, rules.p) GROUP BY r)
+SELECT page_id, host, path, rule, coalesce(a, 'allow') AS verdict FROM h LEFT JOIN f USING (r)
+"""
+
+ORACLE_SQL = {"op12_url_filter": _OP12, "op11_ranked_search": _OP11, "op10_warc": _OP10, "op3_mixing": _OP3, "op5_quality_rules": _OP5}

@@ -1,8 +1,8 @@
 """Written intermediate tables in the folder that the cluster shares.
 
 A long plan is cut by writing a table and reading it back, so that a lost executor costs only the
-tasks it ran.  The folder is the session's ``spark.checkpoint.dir``; where that is unset (tests on
-one machine) a temporary folder is made and the setting is filled in.
+tasks it ran.  The folder is the session's ``spark.checkpoint.dir``, qualified by Hadoop's default file
+system where it names none; where it is unset (tests on one machine) a temporary folder is made.
 """
 
 from __future__ import annotations
@@ -14,17 +14,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_own: dict[str, str] = {}
+
+
+def _setting(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; local sessions without one get a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's shared checkpoint folder; local sessions without one get a temporary folder for the application."""
+    folder = _setting(spark)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        folder = _own[app]
+    return qualified(spark, folder).rstrip("/")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system, so that Spark, the driver and Python in tasks mean the same place by it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -51,6 +64,13 @@ def discard(df: DataFrame) -> None:
     _written[:] = [w for w in _written if w[1] != path]
 
 
+def put(spark: SparkSession, local: str, path: str) -> None:
+    """Copy a file of the driver to a path on any file system."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(jvm.org.apache.hadoop.fs.Path(f"file://{local}"), target)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path on whatever file system holds it."""
     jvm = spark.sparkContext._jvm

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-import os
 import sqlite3
+import tempfile
+from contextlib import closing
 
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from lodestone.operators import packing, position
 from lodestone.operators import relational as R
 from lodestone.plans import contrastive as C
 from lodestone.plans import factory, requests
-from lodestone.plans.scratch import new_path
+from lodestone.plans.scratch import new_path, put
 from lodestone.sources import corpora, schemas, sinks, sqlite
 from lodestone.sources.registry import resolve
 
@@ -71,20 +72,18 @@ def s26_folders(spark, d):
 
 
 def _database(spark, d) -> str:
-    """Regions and nations as a SQLite file in the shared folder, which must be a mounted one: SQLite opens paths only."""
-    folder = new_path(spark, "sqlite")
-    if not folder.startswith("file:"):
-        raise ValueError(f"SQLite cannot open files in {folder}")
-    folder = "/" + folder[5:].lstrip("/")
-    os.makedirs(folder)
-    path = f"{folder}/world.sqlite"
-    with sqlite3.connect(path) as c:
-        c.execute("CREATE TABLE region (r_regionkey INTEGER PRIMARY KEY, r_name TEXT)")
-        c.execute("CREATE TABLE nation (n_nationkey INTEGER PRIMARY KEY, n_name TEXT, n_regionkey INTEGER REFERENCES region (r_regionkey))")
-        for table, names in (("region", ["r_regionkey", "r_name"]), ("nation", ["n_nationkey", "n_name", "n_regionkey"])):
-            rows = load(spark, d, table).select(*names).orderBy(names[0]).collect()
-            c.executemany(f"INSERT INTO {table} VALUES ({', '.join('?' * len(names))})", [tuple(r) for r in rows])
-    c.close()
+    """Regions and nations as a SQLite file in the shared folder, on whatever file system that is."""
+    with tempfile.TemporaryDirectory() as folder:
+        local = f"{folder}/world.sqlite"
+        with closing(sqlite3.connect(local)) as c:
+            c.execute("CREATE TABLE region (r_regionkey INTEGER PRIMARY KEY, r_name TEXT)")
+            c.execute("CREATE TABLE nation (n_nationkey INTEGER PRIMARY KEY, n_name TEXT, n_regionkey INTEGER REFERENCES region (r_regionkey))")
+            for table, names in (("region", ["r_regionkey", "r_name"]), ("nation", ["n_nationkey", "n_name", "n_regionkey"])):
+                rows = load(spark, d, table).select(*names).orderBy(names[0]).collect()
+                c.executemany(f"INSERT INTO {table} VALUES ({', '.join('?' * len(names))})", [tuple(r) for r in rows])
+            c.commit()
+        path = f"{new_path(spark, 'sqlite')}/world.sqlite"
+        put(spark, local, path)
     return path
 
 

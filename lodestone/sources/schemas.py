@@ -15,13 +15,15 @@ from lodestone.functions.text import quoted
 from lodestone.plans.running import HASH_BITS, order_hash
 from lodestone.sources import sqlite
 
+#: The columns that a prompt may show, and the example values of each.
 MOST_COLUMNS, SHOWN = 225, 6
 
 
 def catalog_of(spark: SparkSession, files: dict[str, str], limit: int = SHOWN) -> dict[str, DataFrame]:
     """The catalog of SQLite files by ``db_id``, read on the driver: schemas, and up to ``limit`` example values a column."""
     columns, keys, references, examples = [], [], [], []
-    for db, path in files.items():
+    for db, at in files.items():
+        path = sqlite.fetched(spark, at)
         places: dict[tuple[str, str], int] = {}
         tables: dict[str, int] = {}
         found = sqlite.examples(path, limit)

@@ -1,13 +1,17 @@
 """Tables of SQLite files: catalog, example values, and a partitioned scan.
 
-A file must be at a path that the driver, and for a scan the executors, can open.
+SQLite opens local files only.  A file on another file system that Spark reads is fetched once by the driver and
+by each executor; a path without a scheme, or of scheme ``file``, is opened where it is and must be shared.
 """
 
 from __future__ import annotations
 
+import re
 import sqlite3
 from contextlib import closing
+from urllib.parse import quote
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +21,18 @@ def _quoted(name: str) -> str:
 
 
 def _open(path: str) -> sqlite3.Connection:
-    return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+    local = SparkFiles.get(path[8:]) if path.startswith("fetched:") else path
+    return sqlite3.connect(f"file:{quote(local)}?mode=ro", uri=True)
+
+
+def fetched(spark: SparkSession, path: str) -> str:
+    """A path to give the functions below: a local one, or ``fetched:NAME`` of a file that tasks will have in their own folder."""
+    if (m := re.match(r"([a-zA-Z][\w+.-]*):/*", path)) is None:
+        return path
+    if m[1].lower() == "file":
+        return "/" + path[m.end() :]
+    spark.sparkContext.addFile(path)
+    return "fetched:" + path.rsplit("/", 1)[1]
 
 
 def statements(path: str) -> dict[str, str]:
@@ -55,6 +70,7 @@ def examples(path: str, limit: int = 3, chars: int = 40) -> dict[str, list]:
 
 def scan(spark: SparkSession, path: str, table: str, parts: int = 8) -> DataFrame:
     """A table's rows, all columns as text, read in ``parts`` runs of row ids; a table without row ids is one run."""
+    path = fetched(spark, path)
     names = [c for t, c, _, _ in columns(path) if t == table]
     if not names:
         raise KeyError(f"no table {table!r} in {path}")

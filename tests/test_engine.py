@@ -1,19 +1,22 @@
 import json
 import sqlite3
+from contextlib import closing
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import catalog
 from lodestone.__main__ import main, process_data, run_requests
 from lodestone.functions import prompts, tokenizer
 from lodestone.functions import text as X
 from lodestone.operators import evaluation, lexical, metrics, packing, relational, retrieval
-from lodestone.plans import contrastive, factory, requests
+from lodestone.plans import contrastive, factory, requests, scratch
 from lodestone.sources import schemas, sinks, sqlite
 from lodestone.sources.registry import Config, combined_key, key_structure, resolve, write_whole
 
+SF = "/root/testdata/sf0.001"
 CHAT = "array<struct<role:string,content:string>>"
 
 
@@ -262,3 +265,26 @@ def test_metrics_and_exchange(spark):
         assert [m[0] for m in mine] == list(range(len(mine))) and [m[1:] for m in mine] == sorted(m[1:] for m in mine)
     with pytest.raises(ValueError):
         relational.upper_names(spark.createDataFrame([(1, 2)], "a int, b int").toDF("x", "X"))
+
+
+@pytest.mark.parametrize("name", ["s27_sqlite_scan", "q1_plain_schema", "q2_ddl_schema", "q3_training_columns", "s24_json_lines"])
+@pytest.mark.parametrize("setting", ["bare", "none"])
+def test_checkpoint_folder_without_a_scheme(spark, tmp_path, monkeypatch, name, setting):
+    expected = sorted(map(str, catalog.QUERIES[name](spark, SF).collect()))
+    monkeypatch.setattr(scratch, "_setting", lambda spark: str(tmp_path) if setting == "bare" else None)
+    folder = scratch.shared_dir(spark)
+    assert folder == f"file:{tmp_path}" if setting == "bare" else folder.startswith("file:/")
+    assert sorted(map(str, catalog.QUERIES[name](spark, SF).collect())) == expected
+    if setting == "bare":
+        assert any(tmp_path.iterdir())
+
+
+def test_sqlite_file_on_another_file_system(spark, tmp_path):
+    with closing(sqlite3.connect(tmp_path / "far.sqlite")) as c:
+        c.execute("CREATE TABLE t (a INTEGER PRIMARY KEY, b TEXT)")
+        c.executemany("INSERT INTO t VALUES (?, ?)", [(i, f"x{i}") for i in range(20)])
+        c.commit()
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.far.link./in", f"file://{tmp_path}")
+    assert sorted(int(r.a) for r in sqlite.scan(spark, "viewfs://far/in/far.sqlite", "t", 4).collect()) == list(range(20))
+    made = schemas.catalog_of(spark, {"x": "viewfs://far/in/far.sqlite"})
+    assert [r.column_name for r in made["columns"].orderBy("column_pos").collect()] == ["a", "b"]

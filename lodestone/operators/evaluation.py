@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
 import threading
 import uuid
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,29 +15,110 @@ READ_ONLY = frozenset(
     ("Project", "Aggregate", "Filter", "Sort", "GlobalLimit", "LocalLimit", "Join", "Distinct", "Deduplicate", "SubqueryAlias", "Union", "UnresolvedWith", "UnresolvedHaving", "Offset", "UnresolvedOrderBy", "Intersect",
      "Except", "UnresolvedSubqueryColumnAliases", "OneRowRelation", "UnresolvedRelation", "UnresolvedInlineTable", "UnresolvedTableValuedFunction", "WithWindowDefinition", "Generate", "Pivot", "UnresolvedPivot", "Window", "LocalRelation", "LateralJoin", "Sample", "View", "UnresolvedHint", "Expand")
 )
-_CALLS_CODE = re.compile(r"\b(?:reflect|try_reflect|java_method)\s*\(", re.IGNORECASE)
+#: Built-in functions that run named code or read files beside the tables.
+REACHES_OUT = frozenset(("reflect", "try_reflect", "java_method", "from_protobuf", "to_protobuf", "python_worker_logs", "input_file_name", "input_file_block_start", "input_file_block_length"))
+#: Expressions of the analysed plan that run a user's code, under whatever name they were called.
+RUNS_CODE = frozenset(("CallMethodViaReflection", "ScalaUDF", "PythonUDF", "PythonUDAF", "PythonUDTF", "UnresolvedPolymorphicPythonUDTF", "ScalaAggregator", "ScalaUDAF", "SimpleTypedAggregateExpression", "ComplexTypedAggregateExpression", "UserDefinedGenerator", "ApplyFunctionExpression", "V2Aggregator", "InvokeLike"))
+#: Sources of rows in the analysed plan that hold no data but the statement's own.
+OWN_ROWS = frozenset(("OneRowRelation", "LocalRelation", "Range", "CTERelationRef"))
+CATALOGS = ("spark_catalog",)
 
 
-def _refusal(plan) -> str | None:
-    """The first node of a parsed plan that may do more than read, looked for in all its parts."""
+def _listed(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _nodes(plan) -> Iterator:
+    """A plan's nodes, those of subqueries and of common tables among them; what a view holds is its owner's and left out."""
     open_plans = [plan]
     while open_plans:
         at = open_plans.pop()
-        name = at.nodeName()
+        yield at
+        if at.nodeName() != "View":
+            for parts in (at.children(), at.innerChildren(), at.subqueries()):
+                open_plans += _listed(parts)
+
+
+def _expressions(node) -> Iterator:
+    """All expressions of a node, at any depth."""
+    found = _listed(node.expressions())
+    while found:
+        at = found.pop()
+        yield at
+        found += _listed(at.children())
+
+
+def _class(x) -> str:
+    return x.getClass().getSimpleName()
+
+
+def _built_in(spark: SparkSession) -> frozenset[str]:
+    """Names of Spark's own functions, without those that reach out."""
+    analysis = spark._jvm.org.apache.spark.sql.catalyst.analysis
+    names = [f.funcName().lower() for r in (analysis.FunctionRegistry, analysis.TableFunctionRegistry) for f in _listed(r.builtin().listFunction())]
+    return frozenset(names) - REACHES_OUT
+
+
+def _refused_parse(spark: SparkSession, plan, catalogs: tuple[str, ...]) -> str | None:
+    """What a parsed statement holds that is no query over tables of known databases by Spark's own functions."""
+    known = _built_in(spark)
+    for node in _nodes(plan):
+        name = node.nodeName()
         if name not in READ_ONLY:
             return name
-        for parts in (at.children(), at.innerChildren(), at.subqueries()):
-            open_plans += [parts.apply(i) for i in range(parts.size())]
+        if name == "UnresolvedRelation":
+            parts = _listed(node.multipartIdentifier())
+            if len(parts) == 2 and parts[0] != "global_temp" and not spark.catalog.databaseExists(parts[0]) or len(parts) > 2 and parts[0] not in catalogs:
+                return f"relation {'.'.join(parts)}"
+        called = [_listed(node.name())] if name == "UnresolvedTableValuedFunction" else []
+        called += [_listed(e.nameParts()) for e in _expressions(node) if _class(e) == "UnresolvedFunction"]
+        for parts in called:
+            if parts[-1].lower() not in known or [p.lower() for p in parts[:-1]] not in ([], ["builtin"], ["system", "builtin"]):
+                return f"function {'.'.join(parts)}"
+    return None
+
+
+def _refused_analysis(analysed, catalogs: tuple[str, ...]) -> str | None:
+    """What an analysed statement reads or runs that is neither a view, a table of the catalogs, nor Spark's own."""
+    for node in _nodes(analysed):
+        for e in _expressions(node):
+            kind, package = _class(e), e.getClass().getName()
+            if kind in RUNS_CODE or not package.startswith("org.apache.spark.sql.catalyst."):
+                return f"expression {kind}"
+        kind = _class(node)
+        if kind == "View" or node.children().nonEmpty() or kind in OWN_ROWS:
+            continue
+        if kind in ("LogicalRelation", "HiveTableRelation"):
+            table = node.catalogTable() if kind == "LogicalRelation" else None
+            if table is not None and not table.isDefined():
+                return "path relation"
+            catalog = CATALOGS[0]
+        elif kind == "DataSourceV2Relation" and node.catalog().isDefined() and node.identifier().isDefined():
+            catalog = node.catalog().get().name()
+        else:
+            return f"source {kind}"
+        if catalog not in catalogs:
+            return f"catalog {catalog}"
     return None
 
 
+def refusal(spark: SparkSession, sql: str, catalogs: tuple[str, ...] = CATALOGS) -> str | None:
+    """Why a statement is no read-only query, or nothing.
+
+    The parsed plan may hold only nodes that read and only Spark's own functions, none of which runs named code or opens files;
+    so quoted names and comments are seen through and literals are left alone.  The analysed plan may read only views,
+    tables of ``catalogs`` and its own rows, and hold no user's code, which a temporary function may have put behind a built-in name.
+    """
+    refused = _refused_parse(spark, spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), catalogs)
+    return refused or _refused_analysis(spark.sql(sql)._jdf.queryExecution().analyzed(), catalogs)
+
+
 def _guard(spark: SparkSession, statements: list[str], action, seconds: float):
     """``action`` of the statements' DataFrames, or an error; only read-only statements run, cancelled after ``seconds``."""
     try:
         for sql in statements:
-            refused = _refusal(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql))
-            if refused or _CALLS_CODE.search(sql):
-                return None, f"not a query: {refused or 'calls code'}"
+            if refused := refusal(spark, sql):
+                return None, f"not a query: {refused}"
         tag = f"guarded-{uuid.uuid4().hex}"
         spark.addTag(tag)
         timer = threading.Timer(seconds, spark.interruptTag, [tag])
@@ -58,9 +140,31 @@ def guarded(spark: SparkSession, sql: str, limit: int = 1000, seconds: float = 5
     return rows, error
 
 
-def execution_match(spark: SparkSession, gold: str, answer: str, seconds: float = 30.0) -> tuple[bool | None, str | None]:
-    """Whether two statements give the same set of rows, all rows compared in Spark, or an error; an empty gold result matches nothing."""
-    return _guard(spark, [gold, answer], lambda a, b: _comparable(a, b) and not a.isEmpty() and same_set(a, b), seconds)
+def run_statements(spark: SparkSession, statements: DataFrame, limit: int = 1000, seconds: float = 5.0, threads: int = 8) -> Iterator[tuple]:
+    """``statement_id``, rows and error of each statement (``statement_id, sql``), ``threads`` at a time; the statements are streamed to the driver, which has to start them anyway."""
+    with ThreadPoolExecutor(threads) as pool:
+        held = []
+        for r in statements.select("statement_id", "sql").toLocalIterator():
+            held.append((r.statement_id, pool.submit(guarded, spark, r.sql, limit, seconds)))
+            if len(held) >= 4 * threads:
+                key, result = held.pop(0)
+                yield key, *result.result()
+        for key, result in held:
+            yield key, *result.result()
+
+
+def execution_match(spark: SparkSession, gold: str, answer: str, seconds: float = 30.0, empty_matches: bool = True) -> tuple[bool | None, str | None]:
+    """Whether two statements give the same set of rows, all rows compared in Spark, or an error.
+
+    Two empty results match, whatever their columns, unless ``empty_matches`` is false: then an empty gold result matches nothing.
+    """
+
+    def same(a: DataFrame, b: DataFrame) -> bool:
+        if a.isEmpty():
+            return empty_matches and b.isEmpty()
+        return _comparable(a, b) and same_set(a, b)
+
+    return _guard(spark, [gold, answer], same, seconds)
 
 
 def _comparable(a: DataFrame, b: DataFrame) -> bool:
@@ -70,8 +174,16 @@ def _comparable(a: DataFrame, b: DataFrame) -> bool:
     return len(kinds[0]) == len(kinds[1]) and all(x == y or "void" in (x, y) for x, y in zip(*kinds, strict=True))
 
 
+def _without_maps(df: DataFrame) -> DataFrame:
+    """Columns with maps or variants as JSON, a map itself as its entries in order: set operations take neither."""
+    df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    entries = lambda c, t: F.array_sort(F.map_entries(c)) if t.startswith("map<") else c
+    return df.select(*[F.to_json(F.struct(entries(F.col(c), t).alias("v"))).alias(c) if "map<" in t or "variant" in t else F.col(c) for c, t in df.dtypes])
+
+
 def same_set(a: DataFrame, b: DataFrame) -> bool:
     """Whether two results hold the same rows, ignoring order and multiplicity."""
+    a, b = _without_maps(a), _without_maps(b)
     return a.subtract(b).isEmpty() and b.subtract(a).isEmpty()
 
 

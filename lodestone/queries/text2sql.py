@@ -135,13 +135,38 @@ _PAIRS = [
 
 
 @query(" UNION ALL ".join(
-    f"SELECT {i} AS pair, (SELECT count(*) FROM ({a})) > 0 AND (SELECT count(*) FROM ((SELECT * FROM ({a})) EXCEPT (SELECT * FROM ({b})))) + (SELECT count(*) FROM ((SELECT * FROM ({b})) EXCEPT (SELECT * FROM ({a})))) = 0 AS same"
-    for i, (a, b) in enumerate(_PAIRS)
+    f"SELECT {i} AS pair, {rule}(SELECT count(*) FROM ((SELECT * FROM ({a})) EXCEPT (SELECT * FROM ({b})))) + (SELECT count(*) FROM ((SELECT * FROM ({b})) EXCEPT (SELECT * FROM ({a})))) = 0 AS same, {empty} AS empty_matches"
+    for i, (a, b) in enumerate(_PAIRS) for empty, rule in (("true", ""), ("false", f"(SELECT count(*) FROM ({a})) > 0 AND "))
 ))
 def q10_execution_match(spark, d):
     for t in ("nation", "region", "orders", "lineitem"):
         load(spark, d, t).createOrReplaceTempView(t)
-    return spark.createDataFrame([(i, E.execution_match(spark, a, b, 120.0)[0]) for i, (a, b) in enumerate(_PAIRS)], "pair int, same boolean")
+    rows = [(i, E.execution_match(spark, a, b, 120.0, empty)[0], empty) for i, (a, b) in enumerate(_PAIRS) for empty in (True, False)]
+    return spark.createDataFrame(rows, "pair int, same boolean, empty_matches boolean")
+
+
+#: What generated statements do over the customers of a nation, and whether that is allowed.
+_STATEMENTS = [
+    ("SELECT count(*) FROM customer WHERE c_nationkey = {k}", True),
+    ("SELECT `reflect`('java.lang.System', 'getProperty', 'user.dir'), {k}", False),
+    ("WITH c AS (SELECT * FROM customer WHERE c_nationkey = {k}) SELECT count(*) FROM c WHERE c_name <> 'reflect (x)' -- java_method(", True),
+    ("SELECT reflect/**/('java.lang.System', 'getenv'), {k}", False),
+    ("SELECT count(*) FROM parquet.`/{k}`", False),
+    ("SELECT count(*) FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_nationkey = {k})", True),
+    ("DROP VIEW customer -- {k}", False),
+]
+
+
+@query("SELECT n_nationkey AS statement_id, n_nationkey % 7 IN (1, 3, 4, 6) AS refused, CASE n_nationkey % 7 WHEN 5 THEN count(DISTINCT c_mktsegment) WHEN 0 THEN count(c_custkey) WHEN 2 THEN count(c_custkey) END AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey")
+def q7_guarded_statements(spark, d):
+    load(spark, d, "customer").createOrReplaceTempView("customer")
+    key = F.col("n_nationkey")
+    sql = F.lit(None).cast("string")
+    for i, (text, _) in enumerate(_STATEMENTS):
+        sql = F.when(key % len(_STATEMENTS) == i, F.replace(F.lit(text), F.lit("{k}"), key.cast("string"))).otherwise(sql)
+    done = E.run_statements(spark, load(spark, d, "nation").select(key.alias("statement_id"), sql.alias("sql")), seconds=60.0)
+    rows = [(key, bool(error and error.startswith("not a query")), rows[0][0] if rows else None) for key, rows, error in done]
+    return spark.createDataFrame(rows, "statement_id int, refused boolean, n long")
 
 
 @query("SELECT p_partkey, 'Q: ' || p_name || chr(10) || 'E: ' || p_type AS prompt FROM part")

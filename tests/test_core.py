@@ -178,6 +178,29 @@ def test_guarded_sql(spark):
     assert evaluation.verify([], [[]]) == ([], [0])
 
 
+def test_guard_sees_the_analysed_plan(spark, tmp_path):
+    spark.range(3).createOrReplaceTempView("held")
+    spark.range(3).filter(F.udf(lambda x: True, "boolean")("id")).createOrReplaceTempView("owners_code")
+    spark.udf.register("mine", lambda x: x)
+    (tmp_path / "secret").write_text("x")
+    refused = [
+        "SELECT `reflect`('java.lang.System', 'getProperty', 'user.dir')", "SELECT reflect/**/('java.lang.System', 'getenv')", "SELECT JAVA_METHOD('java.lang.System', 'getenv')",
+        "SELECT * FROM held WHERE id = (SELECT try_reflect('java.lang.System', 'nanoTime'))", "SELECT transform(array(1), x -> reflect('java.lang.Math', 'abs', x))", f"SELECT * FROM text.`{tmp_path}/secret`",
+        f"WITH c AS (SELECT * FROM text.`{tmp_path}/secret`) SELECT * FROM c", "SELECT mine(id) FROM held", "INSERT INTO held SELECT 1", "SET x = 1", "SELECT input_file_name() FROM held", "CREATE TABLE x (a int)", "SELECT * FROM python_worker_logs()",
+    ]
+    for sql in refused:
+        assert evaluation.guarded(spark, sql)[1].startswith("not a query"), sql
+    allowed = {"SELECT 'the reflect (x)'": [("the reflect (x)",)], "SELECT count(*) FROM held /* java_method( */": [(3,)], "SELECT sum(id) FROM range(4)": [(6,)], "SELECT a FROM VALUES (1) AS t(a)": [(1,)],
+               "WITH held AS (SELECT 7 AS id) SELECT id FROM held": [(7,)], "SELECT count(*) FROM owners_code": [(3,)], "SELECT exists(array(1, 2), x -> x > (SELECT 1))": None}
+    for sql, rows in allowed.items():
+        found, error = evaluation.guarded(spark, sql)
+        assert rows is None and error and "not a query" not in error or found == rows, sql
+    statements = spark.createDataFrame([(i, f"SELECT {i}" if i % 2 else "DROP VIEW held") for i in range(50)], "statement_id int, sql string")
+    done = list(evaluation.run_statements(spark, statements, threads=3))
+    assert [d[0] for d in done] == list(range(50)) and all((rows == [(i,)]) == (i % 2 == 1) for i, rows, _ in done)
+    assert spark.catalog.tableExists("held")
+
+
 def test_execution_match_over_all_rows(spark):
     up, down = "SELECT id FROM range(3000) ORDER BY id", "SELECT id FROM range(3000) ORDER BY id DESC"
     assert evaluation.guarded(spark, up) == (None, "more than 1000 rows")
@@ -186,7 +209,12 @@ def test_execution_match_over_all_rows(spark):
     assert evaluation.execution_match(spark, up, "SELECT id FROM range(2999) ORDER BY id") == (False, None)
     assert evaluation.execution_match(spark, up, "SELECT CAST(id AS string) FROM range(3000)") == (False, None)
     assert evaluation.execution_match(spark, up, "SELECT id, id FROM range(3000)") == (False, None)
-    assert evaluation.execution_match(spark, "SELECT 1 WHERE false", "SELECT 1 WHERE false") == (False, None)
+    none = "SELECT 1 WHERE false"
+    assert evaluation.execution_match(spark, none, "SELECT 'x', 2 WHERE false") == (True, None)
+    assert evaluation.execution_match(spark, none, none, empty_matches=False) == (False, None)
+    assert evaluation.execution_match(spark, none, "SELECT 1") == (False, None)
+    assert evaluation.execution_match(spark, "SELECT map(1, 2, 3, 4), 5", "SELECT map(3, 4, 1, 2), 5") == (True, None)
+    assert evaluation.execution_match(spark, "SELECT map(1, 2)", "SELECT map(1, 3)") == (False, None)
     assert evaluation.execution_match(spark, up, "DROP TABLE x")[0] is None
 
 

@@ -152,16 +152,21 @@ class Points:
         whole = length if edit < 0 else length - 1  # length of prefix and suffix together
         first = (length - half if self.mirrored else half) + (self.mirrored and edit < 0)
         back = codes[:, ::-1]
-        rects = []
+        none = np.zeros(0, dtype=np.int64)
+        rects = [(none,) * 6]
+        open_rows = np.arange(len(codes)) if edit or len(self.codes) > 1 else none  # a word alone at its length is no near word of itself
         for i in range(first, whole + 1):
-            rows = np.arange(len(codes))
+            if not len(open_rows):
+                break
+            low, high = self._interval(self.forward, codes[open_rows], i, length)
+            some = low < high  # no word begins with a longer prefix either
+            open_rows, low, high = open_rows[some], low[some], high[some]
+            rows = open_rows
             if edit < 0:  # the letter to delete; in a run of equal ones only the first, as read
                 beside = i + 1 if self.mirrored else i - 1
                 if 0 <= beside < size:
-                    rows = np.flatnonzero(codes[:, i] != codes[:, beside])
-            low, high = self._interval(self.forward, codes[rows], i, length)
-            some = low < high
-            rows, low, high = rows[some], low[some], high[some]
+                    lone = codes[rows, i] != codes[rows, beside]
+                    rows, low, high = rows[lone], low[lone], high[lone]
             least, most = self._interval(self.backward, back[rows], whole - i, length)
             some = least < most
             rects.append((rows[some], np.full(int(some.sum()), i), low[some], high[some], least[some], most[some]))

@@ -154,7 +154,9 @@ class Points:
         back = codes[:, ::-1]
         none = np.zeros(0, dtype=np.int64)
         rects = [(none,) * 6]
-        open_rows = np.arange(len(codes)) if edit or len(self.codes) > 1 else none  # a word alone at its length is no near word of itself
+        open_rows = np.arange(len(codes))
+        if edit == 0 and len(self.codes) == 1:  # a word that meets only itself has nothing to find
+            open_rows = np.flatnonzero((codes != self.codes).any(axis=1))
         for i in range(first, whole + 1):
             if not len(open_rows):
                 break

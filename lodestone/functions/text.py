@@ -22,6 +22,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
+def token_count(text: Column) -> Column:
+    """Number of tokens, counted without building them; 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
+
+
 def token_ids(text: Column, vocabulary: int = VOCABULARY) -> Column:
     """Ids of the built-in tokenizer: the head of each token's MD5 modulo the vocabulary."""
     return F.transform(tokens(text), lambda t: (F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("int") % vocabulary).cast("int"))

@@ -9,37 +9,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.plans.running import order_hash, running_sum
-from lodestone.plans.scratch import materialise
+from lodestone.plans.scratch import materialise, written
+
+
+def _ranged(df: DataFrame, order: tuple[str, ...], name: str) -> DataFrame:
+    """The rows in range partitions by ``order``, written with their partition ``__part`` and their place ``__i`` in it.
+
+    Range partitioning reads its input twice, to sample it and to deal it, so what is not yet a table is written first.
+    """
+    dealt = written(df, name).repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # Spark's row number within the partition
+    return materialise(dealt.withColumn("__part", F.spark_partition_id()).withColumn("__i", place), name)
 
 
 def with_position(df: DataFrame, *order: str, out: str = "pos") -> DataFrame:
     """Add the row's place in the order of the given columns: rows are range-partitioned and numbered per partition; only partition counts are accumulated."""
-    ranged = materialise(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged")
+    ranged = _ranged(df, order, "ranged")
     counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return ranged.withColumn("__i", inside).join(F.broadcast(offsets), "__part").withColumn(out, (F.col("__o") + F.col("__i")).cast("long")).drop("__part", "__o", "__i")
+    return ranged.join(F.broadcast(offsets), "__part").withColumn(out, (F.col("__o") + F.col("__i")).cast("long")).drop("__part", "__o", "__i")
 
 
 def running_total(df: DataFrame, value: str, *order: str, out: str = "upto") -> DataFrame:
     """Add the sum of ``value`` up to and with the row, in the order of the given columns; only partition sums are accumulated."""
-    ranged = materialise(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "totals")
+    ranged = _ranged(df, order, "totals")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy("__part").agg(F.sum(value).alias("__s")).select("__part", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__o"))
-    inside = F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.withColumn("__i", inside).join(F.broadcast(offsets), "__part").withColumn(out, F.col("__o") + F.col("__i")).drop("__part", "__o", "__i")
+    inside = F.sum(value).over(Window.partitionBy("__part").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("__s", inside).drop("__i").withColumnRenamed("__s", "__i").join(F.broadcast(offsets), "__part").withColumn(out, F.col("__o") + F.col("__i")).drop("__part", "__o", "__i")
 
 
 def running_last(df: DataFrame, value: str, *order: str, out: str) -> DataFrame:
     """Add the last non-null ``value`` up to and with the row, in the order of the given columns; one value a partition is carried over."""
-    ranged = materialise(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "lasts")
-    ends = ranged.filter(F.col(value).isNotNull()).groupBy("__part").agg(F.max_by(value, F.struct(*order)).alias("__e"))
+    ranged = _ranged(df, order, "lasts")
+    ends = ranged.filter(F.col(value).isNotNull()).groupBy("__part").agg(F.max_by(value, "__i").alias("__e"))
     parts = ranged.select("__part").distinct().join(ends, "__part", "left")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     carried = parts.select("__part", F.last("__e", ignorenulls=True).over(before).alias("__c"))
-    inside = F.last(value, ignorenulls=True).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.withColumn("__i", inside).join(F.broadcast(carried), "__part").withColumn(out, F.coalesce("__i", "__c")).drop("__part", "__i", "__c")
+    inside = F.last(value, ignorenulls=True).over(Window.partitionBy("__part").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("__s", inside).drop("__i").withColumnRenamed("__s", "__i").join(F.broadcast(carried), "__part").withColumn(out, F.coalesce("__i", "__c")).drop("__part", "__i", "__c")
 
 
 def shuffled_position(df: DataFrame, key: str, seed: int = 42, out: str = "pos") -> DataFrame:

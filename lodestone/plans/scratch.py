@@ -57,6 +57,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table to read twice: itself if it is a plain scan of files or was written here, else :func:`materialise` of it."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.getClass().getSimpleName() == "Project":
+        names = plan.projectList()
+        if any(names.apply(i).getClass().getSimpleName() != "AttributeReference" for i in range(names.size())):
+            break
+        plan = plan.child()
+    return df if plan.getClass().getSimpleName() == "LogicalRelation" else materialise(df, name)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that :func:`materialise` returned; nothing may read it any more."""
     path = df._scratch

@@ -21,7 +21,7 @@ _MSG = "string_agg(role || ':' || text, chr(10) ORDER BY turn)"
 
 
 def _lengths(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", F.size(X.tokens(F.col("text"))).cast("long").alias("length"))
+    docs = load(spark, d, "documents").select("doc_id", X.token_count(F.col("text")).alias("length"))
     return position.with_position(docs, "doc_id")
 
 
@@ -85,13 +85,13 @@ def x15_token_counts(spark, d):
 
 @query(f"SELECT doc_id, {_WORDS}::BIGINT AS n_tokens FROM documents WHERE {_WORDS} <= 512")
 def f1_length_filter(spark, d):
-    n = F.size(X.tokens(F.col("text"))).cast("long")
+    n = X.token_count(F.col("text"))
     return load(spark, d, "documents").select("doc_id", n.alias("n_tokens")).filter("n_tokens <= 512")
 
 
 @query(f"SELECT count(*)::BIGINT AS n_rows, sum({_WORDS})::BIGINT AS n_tokens FROM documents")
 def g1_totals(spark, d):
-    return load(spark, d, "documents").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.size(X.tokens(F.col("text")))).alias("n_tokens"))
+    return load(spark, d, "documents").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(X.token_count(F.col("text"))).alias("n_tokens"))
 
 
 @query(f"WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY {_KEY}, doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents) SELECT doc_id, pos::BIGINT AS pos FROM p WHERE pos < floor(n * 0.3)")
@@ -172,7 +172,7 @@ def w2_slice_and_pack(spark, d):
 
 @query(f"WITH t AS (SELECT doc_id, {_WORDS} AS n FROM documents) SELECT doc_id, i::BIGINT AS segment FROM (SELECT doc_id, unnest(range(0, n // 64)) AS i FROM t)")
 def w27_prompt_segments(spark, d):
-    rows = load(spark, d, "documents").select("doc_id", F.floor(F.size(X.tokens(F.col("text"))) / 64).alias("k")).filter("k > 0")
+    rows = load(spark, d, "documents").select("doc_id", F.floor(X.token_count(F.col("text")) / 64).alias("k")).filter("k > 0")
     return rows.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("segment"))
 
 

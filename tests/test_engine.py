@@ -33,12 +33,15 @@ def _naive_packs(lengths, limit, always):
 
 @pytest.mark.parametrize("always", [False, True])
 @pytest.mark.parametrize("drop", [False, True])
-def test_next_fit_in_long_chunks(spark, always, drop):
+@pytest.mark.parametrize("block_rows", [1 << 20, 64, 3])
+def test_next_fit_in_long_chunks(spark, always, drop, block_rows):
     rng = np.random.default_rng(1)
-    rows = [(c, i, int(n), f"r{c}-{i}") for c in range(5) for i, n in enumerate(rng.integers(1, 90, 1000 if c else 1))]
+    lengths = [rng.integers(0, 90, 1000 if c else 1) for c in range(5)]
+    lengths[3][::50], lengths[4][400:700] = 250, 0
+    rows = [(c, i, int(n), f"r{c}-{i}") for c in range(5) for i, n in enumerate(lengths[c])]
     df = spark.createDataFrame(rows, "chunk long, pos long, length long, `a.b` string").repartition(7)
     got = {}
-    for r in packing.next_fit(df, 100, always, drop).orderBy("chunk", "pos").collect():
+    for r in packing.next_fit(df, 100, always, drop, block_rows).orderBy("chunk", "pos").collect():
         assert r["a.b"] == f"r{r.chunk}-{r.pos}"
         got.setdefault(r.chunk, {}).setdefault(r.pack, []).append(r.length)
     for c in range(5):
@@ -47,6 +50,19 @@ def test_next_fit_in_long_chunks(spark, always, drop):
     assert packing.next_fit(df.filter("false"), 100, always, drop).count() == 0
 
 
+@pytest.mark.parametrize("block_rows", [1 << 20, 5])
+def test_slice_and_pack_over_blocks(spark, block_rows):
+    rng = np.random.default_rng(4)
+    rows = [(c, i, int(n)) for c in range(3) for i, n in enumerate(rng.integers(0, 40, 60))]
+    got = packing.slice_and_pack(spark.createDataFrame(rows, "chunk long, pos long, length long").repartition(4), 16, block_rows).collect()
+    for c in range(3):
+        tokens = [(p, k) for x, p, n in rows if x == c for k in range(n // 16 * 16, n)]
+        tails = sorted((r.pack, r.pos, r.first + k) for r in got if r.chunk == c and r.kind == "tail" for k in range(r.n))
+        assert tails == sorted((i // 16, *t) for i, t in enumerate(tokens[: len(tokens) // 16 * 16]))
+        full = sorted((r.pos, r.first) for r in got if r.chunk == c and r.kind == "full")
+        assert full == sorted((p, k * 16) for x, p, n in rows if x == c for k in range(n // 16))
+
+
 def test_retrieve_against_brute_force(spark):
     rng = np.random.default_rng(2)
     v = rng.integers(-3, 4, (300, 4)).astype(float) + 0.01

@@ -23,8 +23,8 @@ def tokens(text: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    """Number of tokens, counted without building them; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
+    """Number of tokens, counted without building them; 0 for null.  What no word takes and is no space is a mark."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]++|\S")), F.lit(0)).cast("long")
 
 
 def token_ids(text: Column, vocabulary: int = VOCABULARY) -> Column:

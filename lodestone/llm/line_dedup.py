@@ -4,11 +4,15 @@ Every line that holds a word becomes a line ID.  IDs that occur once in the corp
 run, so only stretches of repeated lines with at least ``MIN_WORDS`` words go on.  Their suffixes are
 sorted by distributed prefix doubling: a suffix's rank is its place in the array sorted so far, and a
 round orders the suffixes of equal rank by the rank of the suffix that starts 1, 2, 4 ... lines later, an
-ended stretch first.  The shortest run from a suffix that has ``MIN_WORDS`` words covers m lines, and the ranks at
-depth 2^floor(log2 m) of its first and last such stretch name the interval of all suffixes whose common prefix has m
-lines or more.  Doubling ends once every m is covered: deeper ranks only divide these intervals.  In
+ended stretch first.  For every line the shortest run with ``MIN_WORDS`` words that begins with it and the
+shortest that ends with it are windows of m lines; the ranks at depth 2^floor(log2 m) of a window's first and last such stretch
+name the interval of all suffixes whose common prefix has its m lines or more.  In
 each interval the first occurrence (by doc_id, then line) is kept and the later ones are deleted.
-Neighbouring later suffixes with the same first copy join to maximal runs (column ``runs``).
+
+These windows cover every maximal repeated run whole: a line of a run either has ``MIN_WORDS`` words of the run up to and with it, so the
+window that ends with it lies in the run, or the window that begins with the run reaches over it.  A window has
+at most ``MIN_WORDS`` lines, so doubling ends there: deeper ranks only divide its interval.  Later
+windows with the same first copy that touch join to maximal runs (column ``runs``).
 
 Line IDs are 64-bit hashes; a line is deleted only if its SHA-256 equals that of the line kept in its place.
 
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.text import word_count
 from lodestone.plans.running import HASH_BITS, running_sum
-from lodestone.plans.scratch import materialise
+from lodestone.plans.scratch import discard, materialise
 
 MIN_WORDS = 50
 SPACES = " \t\n\x0b\f\r"
@@ -48,7 +52,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _stretches(lines: DataFrame, min_words: int) -> DataFrame:
-    """Repeated lines within long enough stretches: ``s`` (stretch), ``i, line, id, words``, and ``m`` where a run of m lines has the words."""
+    """Repeated lines within long enough stretches: ``s`` (stretch), ``i, line, id``, and ``windows``: start, its line and m of the shortest runs from and up to the line that have the words."""
     # written, so that the join shuffles anew and a very common line can be split
     often = materialise(lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "repeated-ids")
     repeated = lines.drop("sha").join(often, "id")
@@ -56,30 +60,35 @@ def _stretches(lines: DataFrame, min_words: int) -> DataFrame:
     numbered = repeated.withColumn("run", F.col("i") - F.row_number().over(by_doc))
     whole = Window.partitionBy("doc_id", "h", "run")
     long = numbered.withColumn("total", F.sum("words").over(whole)).filter(F.col("total") >= min_words)
-    # cum: words before this line in the stretch; the run from i needs the first j with cum(j) + words(j) >= cum(i) + min_words
     ordered = whole.orderBy("i")
-    summed = long.withColumn("upto", F.sum("words").over(ordered)).withColumn("ends", F.collect_list("upto").over(whole.orderBy("i").rowsBetween(0, min_words - 1)))
-    need = F.col("upto") - F.col("words") + min_words
-    m = F.array_position(F.transform("ends", lambda e: e >= need), True).cast("int")
-    return summed.select(F.xxhash64("doc_id", "h", "run").alias("s"), "doc_id", "h", "i", "line", "id", "words", F.when(m > 0, m).alias("m"))
+    summed = long.withColumn("upto", F.sum("words").over(ordered)).withColumn("before", F.col("upto") - F.col("words"))
+    # every line has a word, so min_words lines on either side are enough
+    near = summed.withColumn("ends", F.collect_list("upto").over(ordered.rowsBetween(0, min_words - 1)))
+    near = near.withColumn("starts", F.collect_list(F.struct("i", "line", "before")).over(ordered.rowsBetween(1 - min_words, 0)))
+    onward = F.array_position(F.transform("ends", lambda e: e >= F.col("before") + min_words), True).cast("int")
+    back = F.try_element_at(F.filter("starts", lambda x: F.col("upto") - x["before"] >= min_words), F.lit(-1))
+    window = lambda i, line, m: F.when(m > 0, F.struct(i.alias("i"), line.alias("line"), m.cast("int").alias("m")))
+    windows = F.array_compact(F.array(window(F.col("i"), F.col("line"), onward), window(back["i"], back["line"], F.col("i") - back["i"] + 1)))
+    return near.select(F.xxhash64("doc_id", "h", "run").alias("s"), "doc_id", "h", "i", "id", windows.alias("windows"))
 
 
 def suffix_intervals(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Suffixes whose first m lines occur elsewhere: ``doc_id, h, i, line, m, a, b``, the pair (a, b) with m naming the interval."""
     suffixes = materialise(_stretches(lines, min_words), "suffixes")
+    windows = materialise(suffixes.select("s", "doc_id", "h", F.inline("windows")).dropDuplicates(["s", "i", "m"]), "windows")
     key = F.col("id").bitwiseAND(F.lit((1 << HASH_BITS) - 1))
     firsts = materialise(suffixes.groupBy("id").agg(F.count(F.lit(1)).alias("n")).select("id", "n", key.alias("key"), F.lit(0).alias("all")), "line-ids")
     ranked = running_sum(firsts, ["all"], "key", ["id"], "n", "rank").select("id", "rank")
     ranks = materialise(suffixes.join(ranked, "id").select("s", "i", "rank"), "ranks")
-    deepest, total = suffixes.agg(F.coalesce(F.max("m"), F.lit(0)), F.count(F.lit(1))).first()
+    deepest, total = windows.agg(F.coalesce(F.max("m"), F.lit(0))).first()[0], suffixes.count()
     # ranks spread over the order key's range, in their own order
     spread = (1 << HASH_BITS) // max(1, total)
     depth, found = 1, None
     while depth <= deepest:
-        wanted = suffixes.filter(F.col("m").between(depth, 2 * depth - 1)).withColumn("j", F.col("i") + F.col("m") - depth)
+        wanted = windows.filter(F.col("m").between(depth, 2 * depth - 1)).withColumn("j", F.col("i") + F.col("m") - depth)
         here = ranks.select("s", "i", F.col("rank").alias("a"))
         there = ranks.select("s", F.col("i").alias("j"), F.col("rank").alias("b"))
-        level = wanted.join(here, ["s", "i"]).join(there, ["s", "j"]).select("doc_id", "h", "i", "line", "m", "a", "b")
+        level = materialise(wanted.join(here, ["s", "i"]).join(there, ["s", "j"]).select("doc_id", "h", "i", "line", "m", "a", "b"), "level")
         found = level if found is None else found.unionByName(level)
         if 2 * depth > deepest:
             break
@@ -88,19 +97,26 @@ def suffix_intervals(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         groups = materialise(pairs.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.col("next") * spread), "rank-pairs")
         placed = running_sum(groups, ["rank"], "key", ["next"], "n", "before").filter("n > 1 AND next >= 0")
         # a suffix alone at its rank cannot repeat at this depth or deeper
-        ranks = materialise(pairs.join(placed, ["rank", "next"]).select("s", "i", (F.col("rank") + F.col("before")).alias("rank")), "ranks")
+        deeper = materialise(pairs.join(placed, ["rank", "next"]).select("s", "i", (F.col("rank") + F.col("before")).alias("rank")), "ranks")
+        for done in (ranks, pairs, groups):
+            discard(done)
+        ranks = deeper
         depth *= 2
+    for done in (suffixes, windows, firsts, ranks):
+        discard(done)
     if found is None:
-        return suffixes.filter("false").select("doc_id", "h", "i", "line", "m", F.col("id").alias("a"), F.col("id").alias("b"))
+        return lines.filter("false").select("doc_id", "h", "i", "line", F.lit(0).alias("m"), F.col("id").alias("a"), F.col("id").alias("b"))
     return found
 
 
 def _runs(later: DataFrame) -> DataFrame:
     """``doc_id, h, runs``: the maximal runs of each document that repeat a first copy, by their first line."""
-    one = ["doc_id", "h", "f_doc", "f_h", F.col("f_i") - F.col("i")]
-    numbered = later.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy(*one).orderBy("i")))
-    grouped = numbered.groupBy("doc_id", "h", "f_doc", "f_h", (F.col("f_i") - F.col("i")).alias("shift"), "island")
-    run = grouped.agg(F.min("line").alias("line"), (F.max(F.col("i") + F.col("m")) - F.min("i")).cast("long").alias("lines"), F.min("f_line").alias("first_line"))
+    one = ["doc_id", "h", "f_doc", "f_h", "shift"]
+    by = Window.partitionBy(*one).orderBy("i", "m")
+    ends = later.withColumn("shift", F.col("f_i") - F.col("i")).withColumn("end", F.col("i") + F.col("m"))
+    reached = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    marked = ends.withColumn("new", F.when(F.col("i") <= reached, 0).otherwise(1)).withColumn("island", F.sum("new").over(by))
+    run = marked.groupBy(*one, "island").agg(F.min("line").alias("line"), (F.max("end") - F.min("i")).cast("long").alias("lines"), F.min("f_line").alias("first_line"))
     item = F.struct("line", "lines", F.col("f_doc").alias("first_doc_id"), "first_line")
     return run.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(item)).alias("runs"))
 

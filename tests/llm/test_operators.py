@@ -428,22 +428,39 @@ def test_licenses_near_each_other(spark):
 
 
 def _brute_lines(rows, least=50):
-    seen, gone = {}, defaultdict(set)
+    """Every run of lines with enough words, of any length, that stands elsewhere earlier, goes; common prefixes of all pairs by dynamic programming."""
+    worded = []
     for d, t in rows:
-        lines = [(i, x.strip(line_dedup.SPACES)) for i, x in enumerate(t.split("\n"))]
-        lines = [x for x in lines if x[1]]
-        for a in range(len(lines)):
-            words, z = 0, a
-            while z < len(lines) and words < least:
-                words += len(lines[z][1].split())
-                z += 1
-            if words < least:
-                break
-            key = tuple(x for _, x in lines[a:z])
-            doc, at = seen.setdefault(key, (d, a))
-            if (doc, at) != (d, a):
-                gone[d].update(i for i, _ in lines[max(a, at + z - a) if doc == d else a : z])
-    return dict(gone)
+        worded.append((d, [(i, x.strip(line_dedup.SPACES)) for i, x in enumerate(t.split("\n")) if x.strip(line_dedup.SPACES)]))
+    gone = defaultdict(set)
+    for b, (d, own) in enumerate(worded):
+        size = [len(x.split()) for _, x in own]
+        for e, (doc, other) in enumerate(worded[: b + 1]):
+            common = np.zeros((len(own) + 1, len(other) + 1), dtype=int)
+            for i in range(len(own) - 1, -1, -1):
+                for j in range(len(other) - 1, -1, -1):
+                    if own[i][1] == other[j][1] and (e < b or j < i):
+                        common[i, j] = common[i + 1, j + 1] + 1
+            for i, j in zip(*np.nonzero(common), strict=True):
+                words = 0
+                for n in range(1, common[i, j] + 1):
+                    words += size[i + n - 1]
+                    if words >= least:
+                        gone[d].update(own[x][0] for x in range(max(i, j + n) if e == b else i, i + n))
+    return {d: x for d, x in gone.items() if x}
+
+
+def test_lines_to_the_end_of_a_run(spark):
+    """Ends of a run that are too short for a window of their own, and a first copy that is shorter than a second."""
+    line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    long = [line("a", 200), *[line(f"b{k}_", 4) for k in range(12)]]
+    short = [line("c", 45), line("d", 5), "e", "f", "g"]
+    grown = [line("h", 30), line("i", 30), line("j", 3), line("k", 3)]
+    rows = [(0, "\n".join(long)), (1, "\n".join(["own", *long, "mine"])), (2, "\n".join(short)), (3, "\n".join([*short, "x"])), (4, "\n".join(grown[:2])), (5, "\n".join(grown)), (6, "\n".join(grown))]
+    got = {r.doc_id: r for r in line_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: set(r.removed) for d, r in got.items()} == _brute_lines(rows) == {1: set(range(1, 14)), 3: set(range(5)), 5: {0, 1}, 6: {0, 1, 2, 3}}
+    assert [(r.line, r.lines, r.first_doc_id) for r in got[1].runs] == [(1, 13, 0)] and [(r.line, r.lines) for r in got[3].runs] == [(0, 5)]
+    assert got[3].removed_words == 53 and {(r.line, r.lines, r.first_doc_id) for r in got[6].runs} >= {(0, 2, 4)}
 
 
 def test_lines_against_brute_force(spark):

@@ -13,7 +13,7 @@ from lodestone.llm.decontam import decontaminate
 from lodestone.llm.mixing import mix_documents
 from lodestone.llm.near_dedup import keep_one
 from lodestone.llm.rules import quality_filter
-from lodestone.llm.sharding import shard_documents
+from lodestone.llm.sharding import shard_documents, written_order
 from lodestone.plans.scratch import materialise
 
 #: Near-duplicate signatures and latent retrieval have no SQL form; tests compare with brute force.
@@ -54,11 +54,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Assign every document of the mix to a shard and a slot.
+    """Assign every document of the mix to a shard and a slot; slots follow the order in which the mix was written, so each shard keeps its interleaving.
 
-    Equal texts share a shard, as do all null ones; slots are gapless, and repeated rows have slots of their own.
+    Equal texts share a shard, as do all null ones; slots are gapless, and repeated rows have slots of their own.  Documents that come from no
+    files take their slots by a hash.
     """
-    placed = shard_documents(docs)
+    ordered, by = written_order(docs)
+    placed = shard_documents(ordered, order=by)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

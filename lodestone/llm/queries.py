@@ -51,9 +51,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with their measurements, failure bits and verdicts."""
-    verdicts = rules.apply_policy(rules.ledger(_table(spark, sf_dir, "documents")))
-    return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
+    """All documents with their measurements, failure bits and verdicts, and the versions of the policy that keep them, from the stored ledger."""
+    verdicts = rules.apply_policy(rules.store_ledger(_table(spark, sf_dir, "documents")))
+    kept_by = rules.kept_by(F.col("failures")).alias("kept_by")
+    return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures", kept_by)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +170,8 @@ f AS (
          + 32 * (n_lines > 3 AND 100 * n_dup_lines > 30 * n_lines)::BIGINT + 64 * (n_letters > 0 AND 100 * n_upper > 40 * n_letters)::BIGINT
          + 128 * (100 * n_letters < 50 * word_chars)::BIGINT + 256 * (n_lines > 5 AND n_words < 2 * n_lines)::BIGINT + 512 * (n_words > 1000000)::BIGINT AS failures
   FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures & 127 = 0 AS kept, failures FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures & 127 = 0 AS kept, failures,
+       list_filter(['base', 'v1', 'v2', 'length_only'], lambda v: failures & CASE v WHEN 'base' THEN 3 WHEN 'v1' THEN 127 WHEN 'v2' THEN 511 ELSE 515 END = 0) AS kept_by FROM f
 """
 
 _OP10 = r"""

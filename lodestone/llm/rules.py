@@ -143,6 +143,13 @@ def apply_policy(ledger_df: DataFrame, version: str = "v1") -> DataFrame:
     return ledger_df.withColumn("base_failed", failed("base")).withColumn("kept", ~failed("base") & ~failed(version))
 
 
+def kept_by(failures: Column) -> Column:
+    """The policies that keep a document, by its failure bits; none keeps what the base policy rejects."""
+    base = mask(POLICIES["base"])
+    passed = [F.when(failures.bitwiseAND(F.lit(base | mask(rules)).cast("long")) == 0, v) for v, rules in POLICIES.items()]
+    return F.array_compact(F.array(*passed))
+
+
 def ablation(ledger_df: DataFrame, version: str = "v1") -> DataFrame:
     """One row per rule of the policy: ``rule``, ``fails``, and ``only`` (documents that would return without it).
 

@@ -4,7 +4,8 @@ Groups (here: rows of equal text) are ordered by a 60-bit hash of their content.
 capacity is found by binary search with a greedy feasibility check over the group sizes, and the shards
 are cut there.  Group sizes never reach the driver as a whole: it holds sums over a tree of key
 prefixes, and opens only the nodes into which a cut can still fall, until all those are single groups.
-The cuts are then plain thresholds on the key, so rows find their shard without a join.
+The cuts are then plain thresholds on the key, so rows find their shard without a join.  Slots follow a hash of the row, or an
+order that the caller names; rows that tie in it take their slots in any order.
 
 Null text is a group of its own with no bytes.  Repeated rows all stay in their group.  An empty table
 gives an empty result.  Two texts whose 60-bit keys collide merely share a group.
@@ -14,9 +15,11 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.position import with_position
 from lodestone.plans.running import HASH_BITS, order_hash, running_sum
 from lodestone.plans.scratch import materialise
 
@@ -92,11 +95,24 @@ def minimax_cuts(groups: DataFrame, key: str, size: str, shards: int) -> tuple[l
     return [], 0
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, size, text_crc32, shard, slot``: groups of equal text, sizes near equal, slots gapless per shard."""
+def written_order(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """Documents with the columns that tell the order in which their files were written (Spark numbers these by name); none if they come from no files."""
+    try:
+        place = docs.select("*", docs.metadataColumn("_metadata").alias("written"))
+    except AnalysisException:
+        return docs, ()
+    return place.select("*", F.col("written.file_name").alias("file_order"), F.col("written.row_index").alias("row_order")), ("file_order", "row_order")
+
+
+def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", order: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, size, text_crc32, shard, slot``: groups of equal text, sizes near equal, slots gapless per shard.
+
+    Slots follow the columns ``order``, or else a hash of the row.
+    """
     text = F.col(f"`{text_col}`")
     rows = materialise(
         docs.select(
+            *[F.col(f"`{c}`").alias(f"order{i}") for i, c in enumerate(order)],
             F.col(f"`{id_col}`").alias("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
@@ -105,6 +121,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
         ),
         "shard-rows",
     )
+    if order:  # places spread over the order key's range
+        placed = with_position(rows, *[f"order{i}" for i in range(len(order))], out="place")
+        rows = materialise(placed.withColumn("row_key", F.col("place") * ((1 << HASH_BITS) // max(1, rows.count()))), "shard-order")
     cuts, _ = minimax_cuts(rows, "group_key", "size", shards)
     shard = F.lit(0)
     for c in cuts:

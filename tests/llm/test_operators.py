@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import decontam, langid, licenses, line_dedup, mixing, near_dedup, quality, queries, rules, sharding, warc
 from lodestone.llm.shingles import WordHashes, as_set, multiset, shingle_hashes, word_hashes
+from lodestone.plans.scratch import materialise
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{i}" for i in range(30_000))
@@ -657,6 +658,43 @@ def test_pipeline_against_brute_force(spark):
     assert all(r.size == len(texts[r.doc_id][0].encode()) + 1 for r in out) and {r.shard for r in out} == set(range(8))
 
 
+def test_pipeline_keeps_the_order_of_the_mix(spark):
+    """Each shard holds its documents in the order of the mix's slots."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    order = [r.doc_id for r in mixing.mix_documents(docs).select("doc_id").collect()]
+    mixed = materialise(corpus_pipeline.mixing(spark, docs, SF), "mixed")
+    assert mixed.columns == docs.columns
+    placed = corpus_pipeline.sharding(spark, mixed, SF).collect()
+    shard_of = {r.doc_id: r.shard for r in placed}
+    for shard in range(8):
+        rows = sorted((r.slot, r.doc_id) for r in placed if r.shard == shard)
+        assert [d for _, d in rows] == [d for d in order if shard_of[d] == shard] and [s for s, _ in rows] == list(range(len(rows)))
+
+
+def test_last_stages_on_odd_rows(spark, odd, none):
+    """Decontamination and sharding as stages: nulls, empty and long texts, repeated rows, clashing, dotted and case-only names."""
+    import corpus_pipeline
+
+    strange = odd.withColumnRenamed("key", "a.b").withColumnRenamed("h1", "Lang")
+    with_case = {"spark.sql.caseSensitive": "true"}
+    held = {k: spark.conf.get(k) for k in with_case}
+    for k, v in with_case.items():
+        spark.conf.set(k, v)
+    try:
+        kept = corpus_pipeline.decontamination(spark, strange, SF)
+        assert kept.columns == strange.columns and kept.count() == len(ODD)
+        for docs in (strange, materialise(strange.toDF(*[c.replace(".", "_") for c in strange.columns]), "odd")):
+            placed = corpus_pipeline.sharding(spark, docs, SF).collect()
+            assert len(placed) == len(ODD) and all(sorted(r.slot for r in placed if r.shard == s) == list(range(sum(r.shard == s for r in placed))) for s in range(8))
+            assert len({r.shard for r in placed if r.text_crc32 is None}) == 1
+        assert corpus_pipeline.sharding(spark, none, SF).count() == 0 and corpus_pipeline.decontamination(spark, none, SF).count() == 0
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

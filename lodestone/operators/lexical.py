@@ -1,4 +1,11 @@
-"""BM25 over a stored inverted index of values."""
+"""BM25 over a stored inverted index of values, its postings in blocks by falling impact.
+
+A value's impact for a term is its whole share of a score, fixed when the index is built.  The postings of a term stand in
+blocks of falling impact, so a block's first posting bounds the block, and a common term is many rows instead of one key.
+A search takes the first block of each term, whose partial sums give a score that the k-th best hit has at least;
+a further block is read only if its bound, with the greatest impact of the query's other terms, can reach that score.
+Every posting of a hit that reaches it lies in such a block, so sums over these blocks alone are exact for the hits.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +14,26 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.position import with_position
+from lodestone.plans.scratch import materialise
+
 K1, B = 1.2, 0.75
 LONGEST = 40
+BLOCK = 128
+#: Scores that differ by less are equal.
+SAME = 9
 
 
 @dataclass
 class Index:
-    """``postings`` (term, value_id, tf, len, df), the number of values and their mean length."""
+    """``blocks`` (term, block, top, postings: value_id and impact), and the postings of a full block."""
+
+    blocks: DataFrame
+    size: int
 
-    postings: DataFrame
-    n: int
-    mean: float
+    @property
+    def heads(self) -> DataFrame:
+        return self.blocks.select("term", "block", "top", F.size("postings").alias("n"))
 
 
 def index_values(values: DataFrame) -> DataFrame:
@@ -32,26 +48,64 @@ def value_sample(values: DataFrame, by: str, n: int) -> DataFrame:
     return cut.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy("value"))).filter(F.col("r") <= n).drop("r")
 
 
-def build_index(values: DataFrame, path: str) -> Index:
-    """Write the index of ``value_id, terms`` below ``path``: a posting holds all that scoring needs, so a search joins once."""
-    postings = values.select("value_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("value_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    postings.join(frequency, "term").write.parquet(f"{path}/postings")
-    values.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("terms")), F.lit(0.0)).alias("mean")).write.parquet(f"{path}/sizes")
+def build_index(values: DataFrame, path: str, size: int = BLOCK) -> Index:
+    """Write the index of ``value_id, terms`` below ``path``; no task holds more of a term than a block."""
+    n, mean = values.agg(F.count(F.lit(1)), F.coalesce(F.avg(F.size("terms")), F.lit(0.0))).first()
+    counted = values.select("value_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("value_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    frequency = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean or 1.0)))
+    scored = counted.join(frequency, "term").select("term", "value_id", (idf * weight).alias("impact")).withColumn("less", -F.round("impact", SAME))
+    placed = with_position(scored, "term", "less", "value_id")
+    starts = placed.groupBy("term").agg(F.min("pos").alias("start"))
+    block = F.floor((F.col("pos") - F.col("start")) / size).alias("block")
+    posting = F.struct("value_id", "impact")
+    blocks = placed.join(starts, "term").groupBy("term", block).agg(F.max("impact").alias("top"), F.collect_list(posting).alias("postings"))
+    blocks.withColumn("size", F.lit(size)).write.parquet(f"{path}/blocks")
     return read_index(values.sparkSession, path)
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
     """A written index."""
-    sizes = spark.read.parquet(f"{path}/sizes").first()
-    return Index(spark.read.parquet(f"{path}/postings"), sizes["n"], sizes["mean"])
+    blocks = spark.read.parquet(f"{path}/blocks")
+    any_row = blocks.select("size").first()
+    return Index(blocks.drop("size"), any_row["size"] if any_row else BLOCK)
 
 
-def bm25(queries: DataFrame, index: Index, k: int) -> DataFrame:
-    """The ``k`` best values of each query (``q``, ``terms``): ``q, value_id, score``."""
-    idf = F.log(1 + (F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(index.mean or 1.0)))
+def _best(postings: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each query by the sum of its postings, ties by value."""
+    scored = postings.groupBy("q", "value_id").agg(F.sum("impact").alias("score"))
+    order = Window.partitionBy("q").orderBy(F.round("score", SAME).desc(), "value_id")
+    return scored.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
+
+
+def needed_blocks(queries: DataFrame, index: Index, k: int) -> DataFrame:
+    """``q, term, block, n``: the blocks that can hold a posting of one of the ``k`` best values of a query (``q``, ``terms``)."""
     asked = queries.select("q", F.explode(F.array_distinct("terms")).alias("term"))
-    scored = asked.join(index.postings, "term").groupBy("q", "value_id").agg(F.sum(idf * weight).alias("score"))
-    best = Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "value_id")
-    return scored.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r")
+    first = index.blocks.filter("block = 0").select("term", "top", "postings")
+    mine = materialise(asked.join(first.drop("postings"), "term"), "asked-terms")
+    seeds = mine.select("q", "term").join(first, "term").select("q", F.inline("postings"))
+    reached = _best(seeds, k).groupBy("q").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("least"))
+    by_query = Window.partitionBy("q")
+    bound = mine.withColumn("others", F.sum("top").over(by_query) - F.col("top")).withColumn("alone", F.count(F.lit(1)).over(by_query) == 1)
+    wanted = bound.join(reached, "q").select("q", "term", "alone", (F.col("least") - F.col("others") - 10.0 ** -SAME).alias("need"))
+    # a query of one term finds its values in the order of the term's own blocks
+    reach = F.when(F.col("alone"), F.col("block") < -(-k // index.size)).otherwise(F.col("need").isNull() | (F.col("top") >= F.col("need")))
+    return wanted.join(index.heads, "term").filter(reach).select("q", "term", "block", "n")
+
+
+def bm25(queries: DataFrame, index: Index, k: int) -> DataFrame:
+    """The ``k`` best values of each query (``q``, ``terms``; each term counts once): ``q, value_id, score``."""
+    needed = needed_blocks(queries, index, k).select("q", "term", "block")
+    postings = needed.join(index.blocks, ["term", "block"]).select("q", F.inline("postings"))
+    return _best(postings, k).drop("r")
+
+
+def gram_hits(questions: DataFrame, index: Index, k: int) -> DataFrame:
+    """``question, value_id, score``: what a search for each gram of a question (``question``, ``grams``: texts of words) finds, each value once with its best score.
+
+    Equal grams are searched once, whoever asks for them.
+    """
+    asked = materialise(questions.select("question", F.explode(F.array_distinct("grams")).alias("q")), "grams")
+    hits = bm25(asked.select("q").distinct().withColumn("terms", F.split("q", " ")), index, k)
+    return asked.join(hits, "q").groupBy("question", "value_id").agg(F.max("score").alias("score"))

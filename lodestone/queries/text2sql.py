@@ -191,12 +191,32 @@ def q6_bm25_values(spark, d):
     return lexical.bm25(asked, index, 10).select("q", F.col("value_id").alias("p_partkey"), F.round("score", 5).alias("score"))
 
 
-@query("""WITH w AS (SELECT s_suppkey, string_split(lower(p_type || ' ' || p_name), ' ') AS w FROM supplier JOIN part ON p_partkey = s_suppkey),
-g AS (SELECT DISTINCT s_suppkey, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (SELECT s_suppkey, w, unnest(range(1, 9)) AS k FROM w), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i))
-SELECT s_suppkey, value FROM g JOIN (SELECT DISTINCT p_type AS value FROM part) ON lower(value) = gram""")
+_BM25 = """n AS (SELECT count(*) AS n FROM v), t AS (SELECT value_id, unnest(string_split(lower(value), ' ')) AS term FROM v),
+f AS (SELECT term, count(DISTINCT value_id) AS df FROM t GROUP BY term), l AS (SELECT value_id, count(*) AS len FROM t GROUP BY value_id), a AS (SELECT avg(len) AS avg_len FROM l),
+c AS (SELECT value_id, term, count(*) AS tf FROM t GROUP BY ALL),
+s AS (SELECT q.q, c.value_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))) AS score
+  FROM q JOIN c USING (term) JOIN f USING (term) JOIN l USING (value_id), n, a GROUP BY ALL),
+h AS (SELECT q, value_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, value_id) AS r FROM s) WHERE r <= 10)"""
+
+
+def _values(spark, d):
+    """Names and types of parts by their least key, types above all names."""
+    part = load(spark, d, "part")
+    named = part.groupBy(F.col("p_name").alias("value")).agg(F.min("p_partkey").alias("value_id"))
+    typed = part.groupBy(F.col("p_type").alias("value")).agg((F.min("p_partkey") + 1_000_000_000).alias("value_id"))
+    return named.unionByName(typed).select("value_id", F.split(F.lower("value"), " ").alias("terms"))
+
+
+_VALUES = "v AS (SELECT min(p_partkey) AS value_id, p_name AS value FROM part GROUP BY p_name UNION ALL SELECT min(p_partkey) + 1000000000, p_type FROM part GROUP BY p_type)"
+
+
+@query(f"""WITH {_VALUES}, w AS (SELECT s_suppkey, string_split(lower(p_type || ' ' || p_name), ' ') AS w FROM supplier JOIN part ON p_partkey = s_suppkey),
+g AS (SELECT DISTINCT s_suppkey, array_to_string(w[i:i + k - 1], ' ') AS q FROM (SELECT s_suppkey, w, unnest(range(1, 9)) AS k FROM w), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
+q AS (SELECT DISTINCT q, unnest(string_split(q, ' ')) AS term FROM g), {_BM25}
+SELECT s_suppkey, value_id, round(max(score), 5) AS score FROM g JOIN h USING (q) GROUP BY ALL""")
 def j10_ngrams_to_values(spark, d):
     part = load(spark, d, "part")
     question = F.split(F.lower(F.concat_ws(" ", "p_type", "p_name")), " ")
-    asked = load(spark, d, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey")).select("s_suppkey", F.explode(F.array_distinct(X.ngrams(question, 8))).alias("gram"))
-    values = part.select(F.col("p_type").alias("value")).distinct()
-    return asked.join(values, F.lower("value") == F.col("gram")).select("s_suppkey", "value")
+    asked = load(spark, d, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("question"), X.ngrams(question, 8).alias("grams"))
+    index = lexical.build_index(_values(spark, d), new_path(spark, "gram-index"))
+    return lexical.gram_hits(asked, index, 10).select(F.col("question").alias("s_suppkey"), "value_id", F.round("score", 5).alias("score"))

@@ -78,6 +78,34 @@ def test_retrieve_against_brute_force(spark):
     assert retrieval.retrieve(q.filter("false"), df.withColumnRenamed("id", "document_id"), 3).count() == 0
 
 
+@pytest.mark.parametrize("part", [1 << 14, 40])
+def test_retrieve_prunes_parts_exactly(spark, monkeypatch, part):
+    """Clustered vectors, one cluster with half of them, repeated vectors: the same hits as all scores, in parts of any size."""
+    monkeypatch.setattr(retrieval, "PART", part)
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=(6, 8))
+    v = np.concatenate([centre[c] + 0.05 * rng.normal(size=(200 if c == 0 else 40, 8)) for c in range(6)])
+    v[10:14] = v[9]
+    v = np.round(v, 3)
+    ids = rng.permutation(len(v)) * 3
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)], "id long, vector array<double>").repartition(5)
+    q = df.filter("id % 30 = 0").withColumnRenamed("id", "query_id")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for k, own in ((5, True), (1, False), (500, False)):
+        got = {}
+        for r in retrieval.retrieve(q, df.withColumnRenamed("id", "document_id"), k, skip_self=own).collect():
+            got.setdefault(r.query_id, []).append((-round(r.score, 9), r.document_id))
+        for at, i in enumerate(ids):
+            if i % 30 == 0:
+                scores = sorted((-round(float(unit[at] @ unit[b]), 9), int(j)) for b, j in enumerate(ids) if not own or j != i)[:k]
+                assert [s for s, _ in sorted(got[int(i)])] == pytest.approx([s for s, _ in scores], abs=2e-9)
+                assert len(got[int(i)]) == len({j for _, j in got[int(i)]}) == len(scores)
+    if part == 40:
+        placed, pivots, held = retrieval.placed_documents(df.withColumnRenamed("id", "document_id"))
+        assert retrieval.visits(placed, pivots, held, q, 5).count() < q.count() * len(held) / 2
+    assert retrieval.retrieve(q, df.withColumnRenamed("id", "document_id").filter("false"), 3).count() == 0
+
+
 def test_guard_refuses_writes_anywhere(spark):
     spark.sql("CREATE TABLE IF NOT EXISTS guarded_x (a INT) USING parquet")
     for sql in (
@@ -304,3 +332,46 @@ def test_sqlite_file_on_another_file_system(spark, tmp_path):
     assert sorted(int(r.a) for r in sqlite.scan(spark, "viewfs://far/in/far.sqlite", "t", 4).collect()) == list(range(20))
     made = schemas.catalog_of(spark, {"x": "viewfs://far/in/far.sqlite"})
     assert [r.column_name for r in made["columns"].orderBy("column_pos").collect()] == ["a", "b"]
+
+
+def _brute_bm25(values, queries, k):
+    n, mean = len(values), sum(len(t) for _, t in values) / len(values)
+    df = {}
+    for _, t in values:
+        for w in set(t):
+            df[w] = df.get(w, 0) + 1
+    out = {}
+    for q, asked in queries:
+        scored = []
+        for v, t in values:
+            s = sum(np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w in dict.fromkeys(asked) if w in t)
+            if s:
+                scored.append((-round(s, 9), v))
+        out[q] = [(v, pytest.approx(-float(s), abs=1e-6)) for s, v in sorted(scored)[:k]]
+    return {q: x for q, x in out.items() if x}
+
+
+def test_block_index_skips_blocks(spark, tmp_path):
+    """Searches over values of very common and rare words equal all scores, and read far fewer postings than a join with the index would."""
+    rng = np.random.default_rng(6)
+    draw = lambda n: [f"w{min(int(x), 300)}" for x in rng.zipf(1.5, n)]
+    values = [(i, draw(int(rng.integers(1, 12)))) for i in range(1500)]
+    queries = [(i, draw(int(rng.integers(1, 6)))) for i in range(60)] + [(60, ["w1"]), (61, ["absent"]), (62, []), (63, ["w1", "w1", "w2"])]
+    index = lexical.build_index(spark.createDataFrame(values, "value_id long, terms array<string>").repartition(3), str(tmp_path / "i"), size=16)
+    asked = spark.createDataFrame(queries, "q long, terms array<string>")
+    got = {}
+    for r in lexical.bm25(asked, index, 5).orderBy("q", F.round("score", 9).desc(), "value_id").collect():
+        got.setdefault(r.q, []).append((r.value_id, r.score))
+    assert got == _brute_bm25(values, queries, 5)
+    read = lexical.needed_blocks(asked, index, 5).agg(F.sum("n")).first()[0]
+    whole = asked.select("q", F.explode(F.array_distinct("terms")).alias("term")).join(index.heads, "term").agg(F.sum("n")).first()[0]
+    assert read < whole / 2
+    assert index.heads.agg(F.max("n")).first()[0] == 16 and index.heads.filter("term = 'w1'").count() > 20
+    grams = spark.createDataFrame([(1, ["w1 w2", "w3", "w1 w2"]), (2, ["w3", "w3 w1"])], "question long, grams array<string>")
+    found = {(r.question, r.value_id): r.score for r in lexical.gram_hits(grams, index, 5).collect()}
+    expected = {}
+    for question, gs in ((1, ["w1 w2", "w3"]), (2, ["w3", "w3 w1"])):
+        for g in gs:
+            for v, s in _brute_bm25(values, [(0, g.split(" "))], 5).get(0, []):
+                expected[question, v] = max(s.expected, expected.get((question, v), 0))
+    assert found == pytest.approx(expected, abs=1e-6)

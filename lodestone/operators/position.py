@@ -105,6 +105,24 @@ def dense_ids(df: DataFrame, key: str, out: str) -> DataFrame:
     return df.join(with_position(df.select(key).distinct(), key, out=out), key)
 
 
+def gather(df: DataFrame, indices: DataFrame, missing: str = "error") -> DataFrame:
+    """The positioned rows (``pos``) that ``indices`` (``place, index``) name, one for each place: in any order, and as often as they are named.
+
+    ``pos`` gives way to ``place``.  An index without a row is an error, or with ``missing="null"`` a place with nulls, or with
+    ``missing="skip"`` no row.  Rows and indices meet by a join on the position, whose index side Spark can split where one is named very often.
+    """
+    if missing not in ("error", "null", "skip"):
+        raise ValueError(f"missing must be error, null or skip, not {missing!r}")
+    named = [c for c in df.columns if c != "pos"]
+    rows = df.select(F.col("pos").alias("__pos"), *[F.col(f"`{c}`") for c in named])
+    met = indices.select(F.col("place").alias("__place"), F.col("index").cast("long").alias("__index")).join(rows, F.col("__index") == F.col("__pos"), "inner" if missing == "skip" else "left")
+    place = F.col("__place")
+    if missing == "error":
+        there = F.col("__pos").isNotNull()
+        place = F.when(there, place).otherwise(F.raise_error(F.concat(F.lit("no row at index "), F.coalesce(F.col("__index").cast("string"), F.lit("null")))).cast(indices.schema["place"].dataType))
+    return met.select(place.alias("place"), *[F.col(f"`{c}`") for c in named])
+
+
 def zip_rows(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Rows of two tables side by side, each in the order of its key; the longer table's rest is left out."""
     return with_position(left, left_key).join(with_position(right, right_key), "pos")

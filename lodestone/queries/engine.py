@@ -14,13 +14,14 @@ from lodestone.functions import messages as M
 from lodestone.functions import prompts
 from lodestone.functions import text as X
 from lodestone.functions.tokenizer import HashTokenizer
-from lodestone.operators import packing, position
+from lodestone.operators import embedding, packing, position
 from lodestone.operators import relational as R
 from lodestone.plans import contrastive as C
 from lodestone.plans import factory, requests
 from lodestone.plans.scratch import new_path, put
-from lodestone.sources import corpora, schemas, sinks, sqlite
+from lodestone.sources import corpora, footers, schemas, sinks, sqlite
 from lodestone.sources.registry import resolve
+from lodestone.streaming.windows import event_windows, sessions
 
 # -- sources
 
@@ -376,3 +377,48 @@ def k13_report(spark, d):
     sinks.write_report(spark, path, {"naïve": [r[0] for r in load(spark, d, "nation").select("n_name").collect()]})
     text = "\n".join(r[0] for r in spark.read.text(path).collect())
     return spark.createDataFrame([(len(json.loads(text)["naïve"]),)], "n long")
+
+
+# -- windows, audits, gathers and embeddings
+
+
+@query("""SELECT time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL (6 * i) HOUR AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events, (SELECT unnest(range(0, 4)) AS i) GROUP BY ALL""")
+def v1_sliding_windows(spark, d):
+    rows = event_windows(load(spark, d, "events"), "24 hours", step="6 hours")
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH o AS (SELECT user_id, ts, value, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOUR, true) AS opens FROM events),
+s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM o)
+SELECT user_id, min(ts) AS start, max(ts) AS "end", count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, session""")
+def v1_session_windows(spark, d):
+    rows = sessions(load(spark, d, "events"), "user_id", "12 hours")
+    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", F.round("total", 4).alias("total"))
+
+
+_AUDITED = ("customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*)::BIGINT AS footer_rows, count(*)::BIGINT AS read_rows, 0::BIGINT AS problems FROM {t}" for t in _AUDITED))
+def s18_footer_audit(spark, d):
+    found = footers.audit(spark, *[f"{d}/{t}.parquet" for t in _AUDITED])
+    name = F.regexp_extract("path", r"/(\w+)\.parquet(?:/[^/]*)?$", 1)
+    return found.groupBy(name.alias("table_name")).agg(F.sum("footer_rows").alias("footer_rows"), F.sum("read_rows").alias("read_rows"), F.count("problem").alias("problems"))
+
+
+@query("""WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents),
+i AS (SELECT o_orderkey AS place, (o_orderkey * 7919) % (SELECT count(*) + 10 FROM documents) AS index FROM orders)
+SELECT place, doc_id FROM i LEFT JOIN p ON pos = index""")
+def p6_gather(spark, d):
+    docs = load(spark, d, "documents").select("doc_id")
+    asked = load(spark, d, "orders").select(F.col("o_orderkey").alias("place"), (F.col("o_orderkey") * 7919 % (docs.count() + 10)).alias("index"))
+    return position.gather(position.with_position(docs, "doc_id"), asked, "null")
+
+
+@query("""WITH w AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 16 AS place FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents) WHERE word <> ''),
+c AS (SELECT doc_id, (place // 2)::INT AS i, sum(1 - 2 * (place % 2)) AS x FROM w GROUP BY ALL),
+n AS (SELECT doc_id, sqrt(sum(x * x)::DOUBLE) AS size FROM c GROUP BY doc_id)
+SELECT d.doc_id, d.i::INT AS i, round(coalesce(x / CASE WHEN size > 0 THEN size ELSE 1 END, 0), 6) AS x FROM (SELECT doc_id, unnest(range(0, 8)) AS i FROM documents WHERE text IS NOT NULL) d LEFT JOIN c ON c.doc_id = d.doc_id AND c.i = d.i LEFT JOIN n ON n.doc_id = d.doc_id""")
+def r1_embed(spark, d):
+    made = embedding.embed(load(spark, d, "documents").select("doc_id", "text"), embedding.HashedEmbedder(8))
+    return made.select("doc_id", F.posexplode("vector").alias("i", "x")).withColumn("x", F.round("x", 6))

@@ -1,11 +1,20 @@
-"""Written results: batch tables with their settings, part files of bounded length, metric lines."""
+"""Written results: batch tables with their settings, part files of bounded length, row groups of whole queries, metric lines."""
 
 from __future__ import annotations
 
 import json
+import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+
+from lodestone.plans.scratch import qualified
+from lodestone.sources.footers import opened
 
 
 def write_batches(tables: dict[str, DataFrame], path: str, settings: dict) -> None:
@@ -44,6 +53,79 @@ def write_parts(df: DataFrame, path: str, rows: int = 512_000) -> None:
     df.write.option("maxRecordsPerFile", rows).parquet(path)
 
 
+class _Named(WriterCommitMessage):
+    def __init__(self, name: str | None):
+        self.name = name
+
+
+class GroupWriter(DataSourceArrowWriter):
+    """Parquet files whose row groups hold whole runs of equal keys; a file appears when the whole write succeeds."""
+
+    def __init__(self, options):
+        self.path, self.key, self.keys = options["path"].rstrip("/"), options["key"], int(options["keys"])
+
+    def write(self, iterator):
+        system, at = opened(self.path)
+        name, writer, held, begun = None, None, [], 0
+        for batch in iterator:
+            if not batch.num_rows:
+                continue
+            if writer is None:
+                name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.parquet"
+                system.create_dir(f"{at}/_temporary", recursive=True)
+                writer = pq.ParquetWriter(f"{at}/_temporary/{name}", batch.schema, filesystem=system)
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            keys = table.column(self.key).to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            # the last key may go on in the next batch
+            while len(starts) > self.keys:
+                cut = int(starts[self.keys])
+                writer.write_table(table.slice(0, cut), row_group_size=cut)
+                table, starts = table.slice(cut), starts[self.keys :] - cut
+            held = table.to_batches()
+        if writer is not None:
+            table = pa.Table.from_batches(held)
+            writer.write_table(table, row_group_size=max(1, table.num_rows))
+            writer.close()
+        return _Named(name)
+
+    def commit(self, messages):
+        system, at = opened(self.path)
+        system.create_dir(at, recursive=True)
+        for m in messages:
+            if m and m.name:
+                system.move(f"{at}/_temporary/{m.name}", f"{at}/{m.name}")
+
+    def abort(self, messages):
+        system, at = opened(self.path)
+        for m in messages:
+            if m and m.name:
+                system.delete_file(f"{at}/_temporary/{m.name}")
+
+
+class GroupSink(DataSource):
+    """``df.write.format("grouped_parquet")`` with options ``path``, ``key`` and ``keys`` (a row group)."""
+
+    @classmethod
+    def name(cls):
+        return "grouped_parquet"
+
+    def writer(self, schema, overwrite):
+        return GroupWriter(self.options)
+
+
+def write_grouped(df: DataFrame, path: str, key: str = "query_id", keys: int = 1024, *order: str) -> None:
+    """Rows in files by ranges of ``key``, in row groups of ``keys`` whole keys, each key's rows in ``order``: a key is read from one row group of one file.
+
+    A key's rows are in one row group, however many they are, so they should be bounded, as the hits of a query are.
+    """
+    spark = df.sparkSession
+    spark.dataSource.register(GroupSink)
+    dealt = df.repartitionByRange(key).sortWithinPartitions(key, *order)
+    dealt.write.format("grouped_parquet").option("path", qualified(spark, path)).option("key", key).option("keys", keys).mode("append").save()
+
+
 def append_metrics(spark: SparkSession, path: str, metrics: dict) -> None:
     """One JSON line with sorted keys, appended."""
     line = json.dumps(metrics, sort_keys=True)

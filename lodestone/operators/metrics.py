@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -61,3 +62,31 @@ class Recorder:
         line = json.dumps(self.values, sort_keys=True)
         self.values = {}
         return line
+
+
+class Stages:
+    """Counts of the stages of a plan, taken by Spark as the rows pass, without a scan of their own."""
+
+    def __init__(self):
+        self.seen: dict[str, Observation] = {}
+
+    def watch(self, name: str, df: DataFrame, **sums: str) -> DataFrame:
+        """``df``, whose rows and sums of columns are noted under ``name`` when it first runs to its end."""
+        if name in self.seen:
+            raise KeyError(f"{name} is already watched")
+        self.seen[name] = Observation(f"{name}-{uuid.uuid4().hex}")
+        return df.observe(self.seen[name], F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in sums.items()])
+
+    def of(self, name: str) -> dict:
+        """What was noted of a stage; waits for it to have run."""
+        return dict(self.seen[name].get)
+
+    def report(self) -> dict[str, dict]:
+        """What was noted of all stages, and as ``dropped`` the rows of the stage before that a stage no longer has."""
+        out, before = {}, None
+        for name in self.seen:
+            out[name] = self.of(name)
+            if before is not None:
+                out[name]["dropped"] = before - out[name]["rows"]
+            before = out[name]["rows"]
+        return out

@@ -12,15 +12,19 @@ from lodestone.functions import sequences as S
 from lodestone.functions.messages import chat_text
 from lodestone.functions.tokenizer import HashTokenizer, Tokenizer, encoded, from_file, masked_chat
 from lodestone.operators import packing
+from lodestone.operators.metrics import Stages
 from lodestone.operators.position import chunk_of, fill_iterations, shuffled_position, split_exact, with_position
+from lodestone.plans.hooks import Hooked, named, registered
 from lodestone.plans.scratch import materialise
-from lodestone.sources.registry import resolve
+from lodestone.sources.registry import combined_key, exists, resolve, write_whole
 
 
-def combine(spark: SparkSession, sources: list, seed: int = 42) -> DataFrame:
-    """All sources one after the other, then shuffled; ``pos`` is the new order."""
+def combine(spark: SparkSession, sources: list, seed: int = 42, stages: Stages | None = None) -> DataFrame:
+    """All sources one after the other, then shuffled; ``pos`` is the new order.  ``stages`` notes their rows as ``combined``."""
     frames = [resolve(s).load(spark).withColumn("__source", F.lit(i)) for i, s in enumerate(sources)]
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    if stages is not None:
+        whole = stages.watch("combined", whole)
     key = F.md5(F.to_json(F.struct(*[F.col(c) for c in whole.columns])))
     return shuffled_position(whole.withColumn("__k", key), "__k", seed).drop("__k", "__source")
 
@@ -30,18 +34,19 @@ def chunk_rows(rows: int, workers: int, most: int) -> int:
     return min(rows // workers + 1, most)
 
 
-def guard_rows(df: DataFrame, world_size: int, what: str) -> int:
-    """The number of rows; an error if there are fewer than ranks, or none."""
-    rows = df.count()
+def guard_rows(df: DataFrame, world_size: int, what: str, rows: int | None = None) -> int:
+    """The number of rows, counted if it is not known; an error if there are fewer than ranks, or none."""
+    rows = df.count() if rows is None else rows
     if rows < max(1, world_size):
         raise ValueError(f"{what} has {rows} rows for {world_size} ranks")
     return rows
 
 
-def causal(docs: DataFrame, limit: int, chunk: int = 1000, bos: int = 1, eos: int = 2, tokenizer: Tokenizer | None = None) -> DataFrame:
+def causal(docs: DataFrame, limit: int, chunk: int = 1000, bos: int = 1, eos: int = 2, tokenizer: Tokenizer | None = None, stages: Stages | None = None) -> DataFrame:
     """Packs of exactly ``limit`` token ids from positioned texts: ``chunk, kind, pack, pos, input_ids, labels``."""
     ids = F.concat(F.array(F.lit(bos)), encoded(F.col("text"), tokenizer), F.array(F.lit(eos)))
-    rows = materialise(docs.filter("text IS NOT NULL").select("pos", ids.alias("ids")).withColumn("chunk", chunk_of(chunk)).withColumn("length", F.size("ids").cast("long")), "token-rows")
+    tokens = docs.filter("text IS NOT NULL").select("pos", ids.alias("ids")).withColumn("chunk", chunk_of(chunk)).withColumn("length", F.size("ids").cast("long"))
+    rows = materialise(tokens if stages is None else stages.watch("tokenised", tokens, tokens="length"), "token-rows")
     pieces = packing.slice_and_pack(rows.select("chunk", "pos", "length"), limit).join(rows.select("chunk", "pos", "ids"), ["chunk", "pos"])
     cut = pieces.withColumn("part", F.slice("ids", (F.col("first") + 1).cast("int"), F.col("n").cast("int")))
     key = F.when(F.col("kind") == "full", F.col("pos"))
@@ -61,7 +66,7 @@ def tokenised_chats(chats: DataFrame, tokenizer: Tokenizer | None = None, mask_i
 def sft(
     chats: DataFrame, max_length: int, tokenizer: Tokenizer | None = None, mask_inputs: bool = True, ignore_empty_think: bool = False,
     pack: bool = False, chunk: int = 1000, always_max_length: bool = False, drop_last: bool = False, fused_share: float = 0.0, repeat: bool = False,
-    pad_to: int | None = None, pad_id: int = 0, seed: int = 42,
+    pad_to: int | None = None, pad_id: int = 0, seed: int = 42, stages: Stages | None = None,
 ) -> DataFrame:
     """Training rows from positioned chats (``pos, messages``): tokenised, masked, no longer than ``max_length``, packed and padded.
 
@@ -71,7 +76,8 @@ def sft(
     multiple, or to ``max_length`` if it is 0; padded labels are ignored, padded places are no sample (``lengths`` are the samples').
     """
     tokens = tokenised_chats(chats.select("pos", "messages"), tokenizer, mask_inputs, ignore_empty_think).filter(F.size("input_ids").between(1, max_length))
-    tokens = materialise(tokens.withColumn("length", F.size("input_ids").cast("long")), "chat-tokens")
+    tokens = tokens.withColumn("length", F.size("input_ids").cast("long"))
+    tokens = materialise(tokens if stages is None else stages.watch("tokenised", tokens, tokens="length"), "chat-tokens")
     if tokens.isEmpty():
         raise ValueError("no chat is short enough")
     if pack:
@@ -122,61 +128,126 @@ def preference(pairs: DataFrame, max_length: int, max_prompt: int, bos: int = 1,
     return rows.select(*names, *[f"{side}_{kind}" for side in ("chosen", "rejected") for kind in ("input_ids", "labels")])
 
 
-#: The source that a bare file name means, by kind of training data.
-DEFAULT_SOURCES = {"sft": "instruct", "causal": "text", "preference": "preference", None: "files"}
+class Factory(Hooked):
+    """What makes training data of a kind from positioned rows; subclasses set ``name`` and define ``process``.
 
+    Callbacks may stand before and after ``load`` (arguments: the session and the sources' configurations; result: the combined rows),
+    ``split`` (the rows; result: the parts by name) and ``process`` (a part's rows; result: training rows).  What a process needs beside
+    the rows is in ``options``, ``rows`` (their number), ``seed``, ``tokenizer`` and ``stages`` of the object.
+    """
 
-def with_source(config: str | dict, kind: str | None) -> str | dict:
-    """A source's configuration with the kind's own source where it names none."""
-    if isinstance(config, str):
-        config = {"name": config}
-    return {"type": DEFAULT_SOURCES[kind], **config} if isinstance(config, dict) else config
+    name: str | None = None
+    source: str | None = None
+
+    def __init_subclass__(cls, **kwargs):
+        super().__init_subclass__(**kwargs)
+        if cls.name:
+            registered(FACTORIES, cls, "kind of training data", {"process": ("df",), "load": ("spark", "sources"), "split": ("df",)})
+
+    def __init__(self, config: dict, tokenizer: Tokenizer | None = None, stages: Stages | None = None):
+        self.config, self.tokenizer, self.stages = config, tokenizer, stages
+        self.seed, self.rows = config.get("seed", 42), 0
+
+    @property
+    def options(self) -> dict:
+        return dict(self.config.get("options", {}))
+
+    def chunk(self, most: int) -> int:
+        return chunk_rows(self.rows, self.config.get("workers", 8), most)
 
+    def load(self, spark: SparkSession, sources: list) -> DataFrame:
+        return combine(spark, sources, self.seed, self.stages)
 
-def tokenised_data(df: DataFrame, config: dict, tokenizer: Tokenizer | None = None) -> DataFrame:
-    """Positioned rows of a part made ready for training, as ``config["type"]`` says; without a type as they are."""
-    kind = config.get("type")
-    if kind is None:
+    def split(self, df: DataFrame) -> dict[str, DataFrame]:
+        shares = self.config.get("train_eval_split", (1.0, 0.0))
+        if not shares[1]:
+            return {"train": df}
+        cut = split_exact(df.withColumnRenamed("pos", "__pos"), "__pos", shares[1], self.seed)
+        parts = {name: cut.filter(F.col("split") == name).drop("split") for name in ("train", "eval")}
+        if self.name:  # places within the part, which the packers need without gaps
+            parts = {name: with_position(part.drop("pos"), "__pos").drop("__pos") for name, part in parts.items()}
+        return parts
+
+    def process(self, df: DataFrame) -> DataFrame:
         return df
-    world = config.get("world_size", 1)
-    rows = guard_rows(df, world, f"{kind} data")
-    options = dict(config.get("options", {}))
-    workers = config.get("workers", 8)
-    if config.get("min_rows"):
-        df, rows = fill_iterations(df, rows, config["min_rows"]), max(rows, config["min_rows"])
-    if kind == "causal":
-        out = causal(df, options.pop("max_length"), chunk_rows(rows, workers, 100), tokenizer=tokenizer, **options)
-    elif kind == "sft":
-        out = sft(df, options.pop("max_length"), tokenizer, chunk=chunk_rows(rows, workers, 1000), seed=config.get("seed", 42), **options)
-    elif kind == "preference":
-        out = preference(df, tokenizer=tokenizer, **options)
-    else:
-        raise ValueError(f"no training data of type {kind!r}")
-    return out
 
+    def made(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """A part's training rows: guarded, repeated to ``min_rows`` if set, processed between callbacks."""
+        if self.name:
+            self.rows = guard_rows(df, self.config.get("world_size", 1), f"{self.name} data", rows)
+            if least := self.config.get("min_rows"):
+                df, self.rows = fill_iterations(df, self.rows, least), max(self.rows, least)
+        return self.step("process", self.process, df)
+
+
+FACTORIES: dict[str | None, type[Factory]] = {None: Factory}
+
+
+class Causal(Factory):
+    name, source = "causal", "text"
 
-def build(spark: SparkSession, config: dict) -> dict[str, DataFrame]:
+    def process(self, df: DataFrame) -> DataFrame:
+        options = self.options
+        return causal(df, options.pop("max_length"), self.chunk(100), tokenizer=self.tokenizer, stages=self.stages, **options)
+
+
+class SupervisedChats(Factory):
+    name, source = "sft", "instruct"
+
+    def process(self, df: DataFrame) -> DataFrame:
+        options = self.options
+        return sft(df, options.pop("max_length"), self.tokenizer, chunk=self.chunk(1000), seed=self.seed, stages=self.stages, **options)
+
+
+class PreferencePairs(Factory):
+    name, source = "preference", "preference"
+
+    def process(self, df: DataFrame) -> DataFrame:
+        return preference(df, tokenizer=self.tokenizer, **self.options)
+
+
+def with_source(config: str | dict, factory: type[Factory]) -> str | dict:
+    """A source's configuration with the kind's own source where it names none."""
+    if isinstance(config, str):
+        config = {"name": config}
+    return {"type": factory.source or "files", **config} if isinstance(config, dict) else config
+
+
+def build(spark: SparkSession, config: dict, stages: Stages | None = None) -> dict[str, DataFrame]:
     """``{"train": ..., "eval": ...}`` from ``sources``, ``eval_sources`` or ``train_eval_split``, and ``seed``.
 
-    With a ``type`` (sft, causal, preference) the parts are tokenised, packed and padded by ``options``;
-    ``tokenizer`` names a tokenizer file.
+    With a ``type`` (sft, causal, preference, or the name of a :class:`Factory` of the user's) the parts are made ready for training by
+    ``options``; ``tokenizer`` names a tokenizer file.  With ``cache`` the parts come from or go into a folder named by the key of all
+    that shapes them; ``fail_on_missing_cache`` makes an absent one an error.  ``stages`` notes the training rows' counts by stage, if the
+    parts are not read from the cache.
     """
-    kind = config.get("type")
     shares = config.get("train_eval_split", (1.0, 0.0))
     if sum(shares) != 1.0:
         raise ValueError("the parts of train_eval_split must sum to 1")
     if config.get("eval_sources") and shares[1]:
         raise ValueError("eval_sources and train_eval_split exclude each other")
-    seed = config.get("seed", 42)
+    kind = named(FACTORIES, config.get("type"), "kind of training data")
+    listed = lambda name: [with_source(s, kind) for s in config.get(name) or []]
+    names = ["train", "eval"] if config.get("eval_sources") or shares[1] else ["train"]
+    folder = None
+    if config.get("cache"):
+        shape = {k: v for k, v in config.items() if k not in ("sources", "eval_sources", "cache", "fail_on_missing_cache")}
+        folder = f"{config['cache']}/{combined_key(listed('sources'), eval=combined_key(listed('eval_sources')), **shape)}"
+        if all(exists(spark, f"{folder}/{name}") for name in names):
+            return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+        if config.get("fail_on_missing_cache"):
+            raise FileNotFoundError(folder)
     tokenizer = from_file(spark, config["tokenizer"]) if config.get("tokenizer") else None
-    listed = lambda name: [with_source(s, kind) for s in config[name]]
-    whole = combine(spark, listed("sources"), seed)
-    parts = {"train": whole}
+    stages = Stages() if stages is None else stages
+    factory = kind(config, tokenizer, stages)
+    whole = factory.step("load", factory.load, spark, listed("sources"))
+    parts = factory.step("split", factory.split, whole)
+    out = {}
+    for name, part in parts.items():
+        # the rows of an undivided part that no callback has changed were counted as they were combined
+        known = "combined" in stages.seen and part is whole and not list(factory._callbacks("post-load"))
+        out[name] = factory.made(part, stages.of("combined")["rows"] if known else None)
+        factory.stages = None  # the other parts are not watched
     if config.get("eval_sources"):
-        parts["eval"] = combine(spark, listed("eval_sources"), seed)
-    elif shares[1]:
-        cut = split_exact(whole.withColumnRenamed("pos", "__pos"), "__pos", shares[1], seed)
-        parts = {name: cut.filter(F.col("split") == name).drop("split") for name in ("train", "eval")}
-        if kind:  # places within the part, which the packers need without gaps
-            parts = {name: with_position(part.drop("pos"), "__pos").drop("__pos") for name, part in parts.items()}
-    return {name: tokenised_data(part, config, tokenizer) for name, part in parts.items()}
+        out["eval"] = factory.made(factory.step("load", factory.load, spark, listed("eval_sources")))
+    return {name: write_whole(part, f"{folder}/{name}") for name, part in out.items()} if folder else out

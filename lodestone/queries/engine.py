@@ -16,6 +16,7 @@ from lodestone.functions import text as X
 from lodestone.functions.tokenizer import HashTokenizer
 from lodestone.operators import embedding, packing, position
 from lodestone.operators import relational as R
+from lodestone.operators.metrics import Stages
 from lodestone.plans import contrastive as C
 from lodestone.plans import factory, requests
 from lodestone.plans.scratch import new_path, put
@@ -422,3 +423,12 @@ SELECT d.doc_id, d.i::INT AS i, round(coalesce(x / CASE WHEN size > 0 THEN size
 def r1_embed(spark, d):
     made = embedding.embed(load(spark, d, "documents").select("doc_id", "text"), embedding.HashedEmbedder(8))
     return made.select("doc_id", F.posexplode("vector").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(r"""WITH t AS (SELECT len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) + 2 AS n FROM documents)
+SELECT 'combined' AS stage, count(*)::BIGINT AS n_rows, NULL::BIGINT AS tokens FROM t UNION ALL SELECT 'tokenised', count(n)::BIGINT, sum(n)::BIGINT FROM t""")
+def v15_stage_counts(spark, d):
+    stages = Stages()
+    factory.build(spark, {"type": "causal", "sources": [f"{d}/documents.parquet"], "options": {"max_length": 128}}, stages)
+    rows = [(name, seen["rows"], seen.get("tokens")) for name, seen in stages.report().items()]
+    return spark.createDataFrame(rows, "stage string, n_rows long, tokens long")

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from lodestone.operators.position import sample_exact, with_position
+from lodestone.plans.hooks import Hooked, registered
 
 SOURCES: dict[str, type[Source]] = {}
 #: Datasets whose splits have names of their own.
@@ -94,8 +95,11 @@ def slice_bounds(text: str, rows: int) -> tuple[int, int]:
     return bound(parts[0], 0), bound(parts[1], rows)
 
 
-class Source:
-    """Base of all sources; subclasses set ``name`` and define ``read`` and, where rows change, ``process``."""
+class Source(Hooked):
+    """Base of all sources; subclasses set ``name`` and define ``read`` and, where rows change, ``process``.
+
+    Callbacks may stand before and after ``load`` (arguments: the session) and ``process`` (the rows).
+    """
 
     name: str | None = None
     order: tuple[str, ...] = ()
@@ -103,9 +107,7 @@ class Source:
     def __init_subclass__(cls, **kwargs):
         super().__init_subclass__(**kwargs)
         if cls.name:
-            if cls.name in SOURCES:
-                raise ValueError(f"a source named {cls.name!r} exists")
-            SOURCES[cls.name] = cls
+            registered(SOURCES, cls, "source", {"read": ("spark",), "process": ("df",)})
 
     def __init__(self, config: Config, hooks: dict[str, list[Callable[[DataFrame], DataFrame]]] | None = None):
         self.config, self.hooks = config, hooks or {}
@@ -133,7 +135,7 @@ class Source:
                 return spark.read.parquet(path)
             if fail_on_missing_cache:
                 raise FileNotFoundError(path)
-        df = self._hooked("post-load", self.read(spark))
+        df = self._hooked("post-load", self.step("load", self.read, spark))
         _, cut = parse_split(self.config.split)
         sampled = self.config.sample_ratio is not None or self.config.sample_count is not None
         names = df.columns
@@ -148,7 +150,7 @@ class Source:
         if df.isEmpty():
             raise ValueError(f"source {self.config.type} gave no rows")
         if self.config.process:
-            df = self._hooked("post-process", self.process(self._hooked("pre-process", df)))
+            df = self._hooked("post-process", self.step("process", self.process, self._hooked("pre-process", df)))
             if df.isEmpty():
                 raise ValueError(f"source {self.config.type} has no rows left after processing")
         return write_whole(df, path) if path else df

@@ -1,7 +1,8 @@
 """License notices by MinHash bands over overlapping windows, then exact shingle containment.
 
 Templates and documents are lower-case runs of letters and digits, as five-word shingles.  A template of
-T shingles belongs to the smallest window class c in ``CLASSES`` with T <= c; windows of 2c shingles at a
+T shingles belongs to the smallest window class c with T <= c, of ``CLASSES`` or, for a whole license, of
+further ones, each four times the one before; windows of 2c shingles at a
 stride of c hold any occurrence of it whole.  With T > c/4 the similarity of window and template is at
 least 1/8, so 64 bands of one row meet with a probability of at least 1 - (7/8)^64 = 0.9998.  A window that
 shares a band with a template is verified: the share of the template's shingles in the window must reach
@@ -99,6 +100,14 @@ def _meant(found: list[Match]) -> list[Match]:
     return kept
 
 
+def window_classes(largest: int) -> list[int]:
+    """The window classes that hold a template of so many shingles."""
+    classes = list(CLASSES)
+    while classes[-1] < largest:
+        classes.append(4 * classes[-1])
+    return classes
+
+
 class Scanner:
     """Templates with their band values, by window class."""
 
@@ -106,11 +115,12 @@ class Scanner:
         self.names = list(templates)
         known = WordHashes()
         self.sets = [np.unique(shingles(t, known)) for t in templates.values()]
-        if min(map(len, self.sets), default=1) == 0 or max(map(len, self.sets), default=0) > CLASSES[-1]:
-            raise ValueError(f"a template needs {K} words and at most {CLASSES[-1]} distinct shingles")
+        if min(map(len, self.sets), default=1) == 0:
+            raise ValueError(f"a template needs {K} words")
         self.factors = _multipliers()
         self.by_class = {}
-        for c, before in zip(CLASSES, (0, *CLASSES), strict=False):
+        classes = window_classes(max(map(len, self.sets), default=0))
+        for c, before in zip(classes, (0, *classes), strict=False):
             members = [i for i, s in enumerate(self.sets) if before < len(s) <= c]
             if members:
                 least = np.array([[((self.sets[i] >> np.uint64(32)).astype(np.uint32) * f).min() for i in members] for f in self.factors], dtype=np.uint32)

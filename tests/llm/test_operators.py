@@ -416,6 +416,23 @@ def test_licenses(odd, none, spark):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_whole_licenses_as_templates(spark):
+    """Templates of several thousand words, found whole, edited and cut short in longer texts."""
+    rng = np.random.default_rng(8)
+    long = {f"license {n}": " ".join(f"l{n}w{x}" for x in rng.integers(0, 900, n)) for n in (1600, 5600)}
+    words = {n: t.split() for n, t in long.items()}
+    few = {n: " ".join("edit" if i % 60 == 0 else w for i, w in enumerate(ws)) for n, ws in words.items()}
+    many = {n: " ".join("edit" if i % 15 == 0 else w for i, w in enumerate(ws)) for n, ws in words.items()}
+    half = {n: " ".join(ws[: len(ws) // 2]) for n, ws in words.items()}
+    pad = "own words before " * 700
+    rows = [(i, pad + t + " and after" * 900) for i, t in enumerate([*long.values(), *few.values(), *many.values(), *half.values(), ""])]
+    got = sorted((r.doc_id, r.license, r.containment) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), long | {"MIT": licenses.TEMPLATES["MIT"]}).collect())
+    names = list(long)
+    assert [(d, n) for d, n, _ in got] == [(0, names[0]), (1, names[1]), (2, names[0]), (3, names[1])]
+    assert [c for _, _, c in got[:2]] == [1.0, 1.0] and all(0.8 <= c < 1 for _, _, c in got[2:])
+    assert licenses.window_classes(5596) == [4, 16, 64, 256, 1024, 4096, 16384]
+
+
 def test_licenses_near_each_other(spark):
     edited = licenses.TEMPLATES["Apache-2.0 header"].replace("agreed to in writing", "settled in writing")
     mit = "Released under the MIT License."

@@ -432,3 +432,24 @@ def v15_stage_counts(spark, d):
     factory.build(spark, {"type": "causal", "sources": [f"{d}/documents.parquet"], "options": {"max_length": 128}}, stages)
     rows = [(name, seen["rows"], seen.get("tokens")) for name, seen in stages.report().items()]
     return spark.createDataFrame(rows, "stage string, n_rows long, tokens long")
+
+
+@query("""WITH n AS (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS t FROM nation)
+SELECT 'r' || n_regionkey AS db_id, string_agg(n_name || ' :' || chr(10) || 'id [ NUMBER ] (  ) primary_key' || chr(10) || 'up [ TEXT ] (  )' || CASE WHEN t > 0 THEN '  ' || n_name || '.up=' || first || '.id' ELSE '' END, chr(10) || chr(10) ORDER BY t) AS schema_text
+FROM n JOIN (SELECT n_regionkey, n_name AS first FROM n WHERE t = 0) USING (n_regionkey) GROUP BY n_regionkey""")
+def s29_metadata_schema(spark, d):
+    """A database a region and a table a nation, whose ``up`` refers to the first table; its metadata as published, with keys as numbers and as lists."""
+    path = new_path(spark, "metadata")
+    names = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"])
+    by = load(spark, d, "nation").groupBy("n_regionkey").agg(names.alias("table_names_original")).withColumn("n", F.size("table_names_original"))
+    numbers = F.sequence(F.lit(0), F.col("n") - 1)
+    pair = lambda i, name: F.array(i.cast("string"), F.lit(name))
+    columns = F.concat(F.array(F.array(F.lit("-1"), F.lit("*"))), F.flatten(F.transform(numbers, lambda i: F.array(pair(i, "id"), pair(i, "up")))))
+    kinds = F.concat(F.array(F.lit("text")), F.flatten(F.transform(numbers, lambda i: F.array(F.lit("number"), F.lit("text")))))
+    firsts = F.transform(numbers, lambda i: 2 * i + 1)
+    keys = F.when(F.col("n_regionkey") % 2 == 0, F.to_json(firsts)).otherwise(F.to_json(F.array(firsts)))
+    links = F.transform(F.filter(numbers, lambda i: i > 0), lambda i: F.array(2 * i + 2, F.lit(1)))
+    row = F.to_json(F.struct(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("db_id"), "table_names_original", columns.alias("column_names_original"), columns.alias("column_names"), kinds.alias("column_types"), links.alias("foreign_keys")))
+    whole = F.concat(F.regexp_replace(row, r"\}$", ', "primary_keys": '), keys, F.lit("}"))
+    by.agg(F.concat(F.lit("["), F.array_join(F.collect_list(whole), ",\n"), F.lit("]")).alias("value")).coalesce(1).write.text(path)
+    return schemas.plain_schema(schemas.metadata_catalog(spark, path))

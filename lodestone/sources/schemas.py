@@ -44,6 +44,31 @@ def catalog_of(spark: SparkSession, files: dict[str, str], limit: int = SHOWN) -
     }
 
 
+_METADATA = "db_id string, table_names_original array<string>, column_names_original array<array<string>>, column_names array<array<string>>, column_types array<string>, primary_keys array<string>, foreign_keys array<array<int>>"
+
+
+def metadata_catalog(spark: SparkSession, *paths: str, examples: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The catalog of published metadata files, each a JSON list with an object a database.
+
+    ``column_names_original`` pairs a table's number with a column's name (-1 for the star, which is left out), ``column_names`` holds the
+    readable names, which become comments; a primary key is a column's number or a list of them.  ``examples`` may give values (``db_id,
+    column_pos, values``); the files hold none.
+    """
+    found = spark.read.schema(_METADATA).option("multiLine", True).json(list(paths))
+    each = found.select("*", F.posexplode("column_names_original").alias("column_pos", "__c"))
+    table = F.col("__c")[0].cast("int")
+    columns = each.filter(table >= 0).select(
+        "db_id", table.alias("table_pos"), F.get("table_names_original", table).alias("table_name"), "column_pos", F.col("__c")[1].alias("column_name"),
+        F.get("column_types", F.col("column_pos")).alias("column_type"), F.coalesce(F.get(F.get("column_names", F.col("column_pos")), F.lit(1)), F.lit("")).alias("comment"),
+    )
+    # a number stands as itself, a list as its JSON
+    numbers = F.flatten(F.transform(F.coalesce("primary_keys", F.array().cast("array<string>")), lambda k: F.regexp_extract_all(k, F.lit(r"\d+"), F.lit(0))))
+    keys = found.select("db_id", F.explode(numbers.cast("array<int>")).alias("column_pos"))
+    references = found.select("db_id", F.explode("foreign_keys").alias("p")).select("db_id", F.col("p")[0].alias("src"), F.col("p")[1].alias("dst"))
+    none = spark.createDataFrame([], "db_id string, column_pos int, values array<string>")
+    return {"columns": columns, "keys": keys, "references": references, "examples": none if examples is None else examples}
+
+
 def _described(catalog: dict[str, DataFrame]) -> DataFrame:
     """Columns with ``primary``, their example ``values`` and ``targets``, the (table, column) pairs that they refer to."""
     at = ["db_id", "column_pos"]

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontam, langid, licenses, line_dedup, mixing, near_dedup, quality, queries, rules, sharding, warc
@@ -384,6 +385,58 @@ def test_language(spark, odd, none):
     assert langid.learn(none, F.lit(True)) == {} and langid.identify(odd, {}).filter("lang_pred <> 'und'").isEmpty()
 
 
+def test_op1_matches_brute_force(spark):
+    """Every text against every dictionary, piece by piece, with nothing but the compressor."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    learnt = langid.learn(docs, F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    packers = {n: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for n, d in learnt.items()}
+    got = queries.op1_langid(spark, SF).collect()
+    assert len(got) == len(texts) and sum(r.held_out for r in got) == sum(zlib.crc32(str(d).encode()) % 4 == 2 for d in texts)
+    for r in got:
+        data = re.sub(r"[\W\d_]+", " ", (texts[r.doc_id] or "").lower()).encode()
+        if not data.strip():
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        sizes = sorted((sum(len(p.compress(data[i : i + 4096])) for i in range(0, len(data), 4096)), n) for n, p in packers.items())
+        margin = sizes[1][0] / sizes[0][0] - 1
+        assert r.lang_pred == sizes[0][1] and r.rejected == (margin < 0.01) and abs(r.score - margin / (margin + 0.02)) < 1e-9
+
+
+def test_risk_on_dense_arrays(monkeypatch):
+    """The fit equals plain gradient steps on the risk formula over an explicit matrix of indicators."""
+    monkeypatch.setattr(quality, "STEPS", 40)
+    rng = np.random.default_rng(5)
+    x, p, prior = rng.normal(size=(150, 3)), rng.normal(size=(60, 3)) + 1, 0.4
+    model = quality.fit(p, x, prior)
+    wide = lambda a: np.concatenate([(a[:, [i]] > c[None, :]).astype(float) for i, c in enumerate(model.cuts)], axis=1)
+    xp, xu = wide(p), wide(x)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    theta, m, v, kinds = np.zeros(xp.shape[1] + 1), 0, 0, set()
+    xp1, xu1 = np.c_[xp, np.ones(len(xp))], np.c_[xu, np.ones(len(xu))]
+    for step in range(1, 41):
+        zp, zu = xp1 @ theta, xu1 @ theta
+        negative = np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean()
+        down = (xu1 * sigmoid(zu)[:, None]).mean(0) - prior * (xp1 * sigmoid(zp)[:, None]).mean(0)
+        g = prior * (xp1 * (sigmoid(zp) - 1)[:, None]).mean(0) + down if negative >= 0 else -down
+        kinds.add(negative >= 0)
+        g[:-1] += quality.DECAY * theta[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        theta = theta - quality.RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    assert np.allclose(model.weights, theta[:-1]) and abs(model.bias - theta[-1]) < 1e-9 and True in kinds
+    assert np.allclose(model.score(x), sigmoid(xu1 @ theta))
+
+
+def test_prior_follows_a_skewed_label_set(spark):
+    """Labels that are no random sample move the prior to their own share; without a 0 it comes from the texts alone."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").filter("quality IS NOT NULL").join(docs.select("doc_id"), "doc_id")
+    few = labels.filter("quality = 1").orderBy("doc_id").limit(5).unionByName(labels.filter("quality = 0")).select("doc_id", "quality")
+    n = few.count()
+    assert abs(quality.train(docs, few, F.lit(True)).prior - 6 / (n + 2)) < 1e-9
+    assert 0.02 <= quality.train(docs, labels.filter("quality = 1").select("doc_id", "quality"), F.lit(True)).prior <= 0.98
+
+
 def test_quality(spark, odd, none):
     found = queries.op2_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     assert found.filter("held_out").agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.9

@@ -167,6 +167,28 @@ def execution_match(spark: SparkSession, gold: str, answer: str, seconds: float
     return _guard(spark, [gold, answer], same, seconds)
 
 
+def verify_answers(spark: SparkSession, items: DataFrame, seconds: float = 30.0, threads: int = 4) -> Iterator[tuple]:
+    """``item``, places of the right and of the wrong answers of each item (``item, gold, answers``: statements), ``threads`` items at a time.
+
+    An answer is right if it gives the gold statement's set of rows; one that is null, is refused or fails is wrong, and an empty gold result, or one that
+    cannot be had, makes all wrong.
+    """
+
+    def judge(gold: str, answers: list[str | None]) -> tuple[list[int], list[int]]:
+        right = [i for i, a in enumerate(answers) if a is not None and gold is not None and execution_match(spark, gold, a, seconds, empty_matches=False)[0]]
+        return right, [i for i in range(len(answers)) if i not in right]
+
+    with ThreadPoolExecutor(threads) as pool:
+        held = []
+        for r in items.select("item", "gold", "answers").toLocalIterator():
+            held.append((r.item, pool.submit(judge, r.gold, r.answers)))
+            if len(held) >= 4 * threads:
+                key, result = held.pop(0)
+                yield key, *result.result()
+        for key, result in held:
+            yield key, *result.result()
+
+
 def _comparable(a: DataFrame, b: DataFrame) -> bool:
     """Whether rows can be equal without a cast of text: as many columns, each of one type, or both numbers, or one only nulls."""
     number = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")

@@ -169,6 +169,21 @@ def q7_guarded_statements(spark, d):
     return spark.createDataFrame(rows, "statement_id int, refused boolean, n long")
 
 
+@query("""WITH g AS (SELECT r_regionkey AS item, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey AND r_regionkey <> 4) > 0 AS held FROM region)
+SELECT item, CASE WHEN held THEN [0, 3] ELSE [] END::INT[] AS correct, CASE WHEN held THEN [1, 2, 4, 5] ELSE [0, 1, 2, 3, 4, 5] END::INT[] AS wrong FROM g""")
+def q8_verified_answers(spark, d):
+    """A gold statement a region (one of them empty) and six answers: right, another region's, null, right in other words, failing, refused."""
+    load(spark, d, "nation").createOrReplaceTempView("nation")
+    key = F.col("r_regionkey").cast("string")
+    text = lambda s: F.replace(F.lit(s), F.lit("{k}"), key)
+    answers = F.array(
+        text("SELECT n_name FROM nation WHERE n_regionkey = {k} AND {k} <> 4 ORDER BY n_name DESC"), text("SELECT n_name FROM nation WHERE n_regionkey = ({k} + 1) % 5"), F.lit(None).cast("string"),
+        text("SELECT upper(n_name) FROM (SELECT DISTINCT n_name FROM nation WHERE n_regionkey + 1 = {k} + 1 AND {k} < 4)"), text("SELECT none_such FROM nation"), text("DROP VIEW nation"),
+    )
+    items = load(spark, d, "region").select(F.col("r_regionkey").alias("item"), text("SELECT n_name FROM nation WHERE n_regionkey = {k} AND {k} <> 4").alias("gold"), answers.alias("answers"))
+    return spark.createDataFrame(list(E.verify_answers(spark, items, 120.0)), "item int, correct array<int>, wrong array<int>")
+
+
 @query("SELECT p_partkey, 'Q: ' || p_name || chr(10) || 'E: ' || p_type AS prompt FROM part")
 def p8_question_and_evidence(spark, d):
     return load(spark, d, "part").select("p_partkey", filled("Q: {question}\nE: {evidence}", question=F.col("p_name"), evidence=F.col("p_type")).alias("prompt"))

@@ -104,16 +104,19 @@ def supported_questions(rows: DataFrame) -> dict[str, DataFrame]:
 
 
 def duplicate_questions(pairs: DataFrame, bodies: DataFrame) -> dict[str, DataFrame]:
-    """From ``a, b`` (title and body run together) and ``body``: each title asks for the other's body; pairs with an unknown body go."""
+    """From ``a, b`` (title and body run together) and ``body``: each title asks for the other's body; pairs with an unknown body go, and ``counts`` (``pairs, missed``) tells how many."""
     placed = with_position(pairs.select("a", "b"), "a", "b")
     sides = materialise(placed.select("pos", F.posexplode(F.array("a", "b")).alias("side", "text")).withColumn("text_id", 2 * F.col("pos") + F.col("side")), "sides")
     found = sides.join(suffix_lookup(sides.select("text_id", "text"), bodies), "text_id").filter("body IS NOT NULL")
     whole = materialise(found.join(found.groupBy("pos").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("pos"), "pos", "left_semi"), "split-sides")
+    tallied = sides.select(F.lit(1).alias("asked"), F.lit(0).alias("kept")).unionByName(whole.select(F.lit(0).alias("asked"), F.lit(1).alias("kept")))
+    counts = tallied.agg(F.coalesce(F.sum("asked") / 2, F.lit(0)).cast("long").alias("pairs"), F.coalesce((F.sum("asked") - F.sum("kept")) / 2, F.lit(0)).cast("long").alias("missed"))
     title = F.regexp_replace(F.expr("substring(text, 1, char_length(text) - char_length(body))"), r"(?U)\s+$", "")
     return {
         "queries": whole.select(F.col("text_id").alias("QUERY_ID"), title.alias("QUERY_TEXT")),
         "documents": whole.select(F.col("text_id").alias("DOCUMENT_ID"), F.col("body").alias("DOCUMENT_TEXT")),
         "labels": whole.select(F.col("text_id").alias("QUERY_ID"), (F.col("text_id") + 1 - 2 * F.col("side")).alias("DOCUMENT_ID")),
+        "counts": counts,
     }
 
 

@@ -15,7 +15,7 @@ and target URI, parses headers first, and skips the blocks of records that the p
 decoding.  ``decode=true`` undoes chunked transfer and gzip or deflate content encoding.  A header that
 cannot be parsed or lacks its length is skipped up to the next record's; with ``malformed=true`` each such
 gap is a row of record type ``malformed`` with its length.  Files are opened with pyarrow's file systems
-(local, HDFS, S3, GCS).
+(local, HDFS, S3, GCS); a path without a scheme is on Hadoop's default one.  Archives are cut at about a gigabyte.
 
 Null html is an empty payload.  Rows that tie for the largest page_id are each a response.  A null page_id
 is written as ``null`` and read back as null; it is never the response of others unless all are null.
@@ -38,10 +38,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from lodestone.plans.scratch import materialise
+from lodestone.plans.scratch import materialise, qualified
 
 REVISIT_BYTES = 1000
-RECORDS_PER_FILE = 10_000
+#: Compressed bytes after which a task begins a new archive.
+FILE_BYTES = 1 << 30
 END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:page:"
@@ -79,10 +80,10 @@ def _record() -> list[F.Column]:
     return [head.alias("head"), block.cast("binary").alias("block")]
 
 
-def write_warc(pages: DataFrame, path: str) -> None:
-    """Write one record per page to new archive files below ``path``."""
+def write_warc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Write one record per page to new archive files below ``path``, each of about ``file_bytes``."""
     register(pages.sparkSession)
-    records(pages).select(*_record()).write.format("warc").mode("append").save(path)
+    records(pages).select(*_record()).write.format("warc").option("file_bytes", file_bytes).mode("append").save(qualified(pages.sparkSession, path))
 
 
 class _File(InputPartition):
@@ -114,7 +115,7 @@ class WarcWriter(DataSourceArrowWriter):
     """Writes ``head, block`` rows; files appear below the path when the whole write succeeds."""
 
     def __init__(self, options):
-        self.path = options["path"].rstrip("/")
+        self.path, self.file_bytes = options["path"].rstrip("/"), int(options.get("file_bytes", FILE_BYTES))
 
     def write(self, iterator):
         system, path = _open(self.path)
@@ -126,9 +127,10 @@ class WarcWriter(DataSourceArrowWriter):
                     system.create_dir(f"{path}/_temporary", recursive=True)
                     names.append(f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz")
                     out, held = system.open_output_stream(f"{path}/_temporary/{names[-1]}", compression=None), 0
-                out.write(member(head.as_py() + END + block.as_py() + END))
-                held += 1
-                if held == RECORDS_PER_FILE:
+                record = member(head.as_py() + END + block.as_py() + END)
+                out.write(record)
+                held += len(record)
+                if held >= self.file_bytes:
                     out.close()
                     out = None
         if out is not None:
@@ -417,6 +419,7 @@ def register(spark: SparkSession) -> None:
 def read_warc(spark: SparkSession, path: str | list[str], payload: bool = True, decode: bool = False) -> DataFrame:
     """The records of the archives below a path or several."""
     register(spark)
+    path = qualified(spark, path) if isinstance(path, str) else [qualified(spark, p) for p in path]
     return spark.read.format("warc").option("payload", str(payload).lower()).option("decode", str(decode).lower()).load(path)
 
 

@@ -589,6 +589,8 @@ def test_warc(spark, tmp_path):
     some = warc.read_warc(spark, path).filter(f"record_type = 'revisit' AND record_id IN ('urn:page:1:{digest}', 'urn:page:9')")
     assert [r.target_uri for r in some.collect()] == ["http://a  b"]
     assert warc.read_warc(spark, path, payload=False).filter("payload IS NOT NULL").isEmpty()
+    warc.write_warc(pages.coalesce(1), f"{tmp_path}/small", file_bytes=200)
+    assert len(list((tmp_path / "small").glob("*.warc.gz"))) > 2 and warc.read_warc(spark, f"{tmp_path}/small").count() == 7
     warc.write_warc(pages.filter("false"), f"{path}2")
     assert warc.read_warc(spark, f"{path}2").count() == 0
     assert warc.read_warc(spark, [path, f"{path}2", path]).count() == 2 * len(rows)

@@ -48,6 +48,7 @@ def test_duplicate_questions(spark):
     bodies = spark.createDataFrame([("It is a body",), ("It is b body",)], "body string")
     t = corpora.duplicate_questions(pairs, bodies)
     assert sorted(r.QUERY_TEXT for r in t["queries"].collect()) == ["How?", "Why?"]
+    assert tuple(t["counts"].first()) == (2, 1) and tuple(corpora.duplicate_questions(pairs.filter("false"), bodies)["counts"].first()) == (0, 0)
     got = {(a.QUERY_ID, a.DOCUMENT_ID) for a in t["labels"].collect()}
     assert len(got) == 2 and got == {(b, a) for a, b in got}
 

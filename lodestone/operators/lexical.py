@@ -2,9 +2,10 @@
 
 A value's impact for a term is its whole share of a score, fixed when the index is built.  The postings of a term stand in
 blocks of falling impact, so a block's first posting bounds the block, and a common term is many rows instead of one key.
-A search takes the first block of each term, whose partial sums give a score that the k-th best hit has at least;
-a further block is read only if its bound, with the greatest impact of the query's other terms, can reach that score.
-Every posting of a hit that reaches it lies in such a block, so sums over these blocks alone are exact for the hits.
+A search takes the first block of each term, whose partial sums give a score that the k-th best hit has at least.  Terms that
+cannot reach it together, the weakest first, bring no hit of their own and are not read.  Of the other terms a block is read only if its
+bound, with the greatest impacts of the query's other terms, can reach that score.  A hit has a posting in one of these blocks;
+the values found there get their exact scores from the same postings kept by value.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ SAME = 9
 
 @dataclass
 class Index:
-    """``blocks`` (term, block, top, postings: value_id and impact), and the postings of a full block."""
+    """``blocks`` (term, block, top, postings: value_id and impact), ``by_value`` (value_id, term, impact), and the postings of a full block."""
 
     blocks: DataFrame
+    by_value: DataFrame
     size: int
 
     @property
@@ -55,7 +57,9 @@ def build_index(values: DataFrame, path: str, size: int = BLOCK) -> Index:
     frequency = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean or 1.0)))
-    scored = counted.join(frequency, "term").select("term", "value_id", (idf * weight).alias("impact")).withColumn("less", -F.round("impact", SAME))
+    scored = counted.join(frequency, "term").select("term", "value_id", (idf * weight).alias("impact"))
+    scored = materialise(scored.withColumn("less", -F.round("impact", SAME)), "postings")
+    scored.drop("less").write.parquet(f"{path}/by_value")
     placed = with_position(scored, "term", "less", "value_id")
     starts = placed.groupBy("term").agg(F.min("pos").alias("start"))
     block = F.floor((F.col("pos") - F.col("start")) / size).alias("block")
@@ -69,7 +73,7 @@ def read_index(spark: SparkSession, path: str) -> Index:
     """A written index."""
     blocks = spark.read.parquet(f"{path}/blocks")
     any_row = blocks.select("size").first()
-    return Index(blocks.drop("size"), any_row["size"] if any_row else BLOCK)
+    return Index(blocks.drop("size"), spark.read.parquet(f"{path}/by_value"), any_row["size"] if any_row else BLOCK)
 
 
 def _best(postings: DataFrame, k: int) -> DataFrame:
@@ -79,16 +83,21 @@ def _best(postings: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
 
 
-def needed_blocks(queries: DataFrame, index: Index, k: int) -> DataFrame:
-    """``q, term, block, n``: the blocks that can hold a posting of one of the ``k`` best values of a query (``q``, ``terms``)."""
+def _asked(queries: DataFrame, index: Index) -> DataFrame:
+    """``q, term, top`` of the queries' terms that the index knows."""
     asked = queries.select("q", F.explode(F.array_distinct("terms")).alias("term"))
-    first = index.blocks.filter("block = 0").select("term", "top", "postings")
-    mine = materialise(asked.join(first.drop("postings"), "term"), "asked-terms")
-    seeds = mine.select("q", "term").join(first, "term").select("q", F.inline("postings"))
-    reached = _best(seeds, k).groupBy("q").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("least"))
+    return materialise(asked.join(index.blocks.filter("block = 0").select("term", "top"), "term"), "asked-terms")
+
+
+def needed_blocks(asked: DataFrame, index: Index, k: int) -> DataFrame:
+    """``q, term, block, n``: blocks that together hold a posting of each of the ``k`` best values of a query (``q, term, top``)."""
+    first = index.blocks.filter("block = 0").select("term", "postings")
+    seeds = asked.select("q", "term").join(first, "term").select("q", F.inline("postings"))
+    reached = _best(seeds, k).groupBy("q").agg(F.when(F.count(F.lit(1)) == k, F.min("score") - 10.0**-SAME).alias("least"))
     by_query = Window.partitionBy("q")
-    bound = mine.withColumn("others", F.sum("top").over(by_query) - F.col("top")).withColumn("alone", F.count(F.lit(1)).over(by_query) == 1)
-    wanted = bound.join(reached, "q").select("q", "term", "alone", (F.col("least") - F.col("others") - 10.0 ** -SAME).alias("need"))
+    bound = asked.withColumn("others", F.sum("top").over(by_query) - F.col("top")).withColumn("alone", F.count(F.lit(1)).over(by_query) == 1)
+    weaker = bound.withColumn("upto", F.sum("top").over(by_query.orderBy("top", "term")))
+    wanted = weaker.join(reached, "q").filter("least IS NULL OR upto >= least").select("q", "term", "alone", (F.col("least") - F.col("others")).alias("need"))
     # a query of one term finds its values in the order of the term's own blocks
     reach = F.when(F.col("alone"), F.col("block") < -(-k // index.size)).otherwise(F.col("need").isNull() | (F.col("top") >= F.col("need")))
     return wanted.join(index.heads, "term").filter(reach).select("q", "term", "block", "n")
@@ -96,9 +105,11 @@ def needed_blocks(queries: DataFrame, index: Index, k: int) -> DataFrame:
 
 def bm25(queries: DataFrame, index: Index, k: int) -> DataFrame:
     """The ``k`` best values of each query (``q``, ``terms``; each term counts once): ``q, value_id, score``."""
-    needed = needed_blocks(queries, index, k).select("q", "term", "block")
-    postings = needed.join(index.blocks, ["term", "block"]).select("q", F.inline("postings"))
-    return _best(postings, k).drop("r")
+    asked = _asked(queries, index)
+    needed = needed_blocks(asked, index, k).select("q", "term", "block")
+    found = needed.join(index.blocks, ["term", "block"]).select("q", F.explode("postings.value_id").alias("value_id")).distinct()
+    looked_up = found.join(asked.select("q", "term"), "q").join(index.by_value, ["value_id", "term"])
+    return _best(looked_up.select("q", "value_id", "impact"), k).drop("r")
 
 
 def gram_hits(questions: DataFrame, index: Index, k: int) -> DataFrame:

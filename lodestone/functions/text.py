@@ -117,6 +117,12 @@ def unit(v: Column) -> Column:
     return F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.transform(v, lambda x: share(x, n)))[0]
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double scaled, rounded half away from zero and scaled back, as SQL on doubles does; a small negative one gives -0.0, which Spark's decimal rounding loses."""
+    size = F.round(F.abs(x) * 10.0**digits) / 10.0**digits
+    return F.when(size < float("inf"), F.signum(x) * size).otherwise(x)
+
+
 def sql_words(spark) -> list[str]:
     """All words of the session's SQL grammar, in upper case."""
     return sorted(r[0].upper() for r in spark.sql("SELECT keyword FROM sql_keywords()").collect())

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.catalog import load, query
-from lodestone.functions.text import dot, unit
+from lodestone.functions.text import dot, rounded, unit
 from lodestone.operators import position, retrieval, tensors
 from lodestone.plans.scratch import materialise
 
@@ -59,7 +59,7 @@ def w21_negative_uses(spark, d):
 
 @query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 6)) AS v FROM embeddings")
 def x19_normalise(spark, d):
-    return load(spark, d, "embeddings").select("vec_id", F.transform(unit(F.col("embedding")), lambda x: F.round(x, 6)).alias("v"))
+    return load(spark, d, "embeddings").select("vec_id", F.transform(unit(F.col("embedding")), lambda x: rounded(x, 6)).alias("v"))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS d FROM embeddings")

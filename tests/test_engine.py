@@ -2,6 +2,7 @@ import json
 import sqlite3
 from contextlib import closing
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -139,6 +140,19 @@ def test_numbers(spark):
     assert all(np.isnan(zero))
 
 
+def test_normalise_keeps_the_sign_of_zero(spark, tmp_path):
+    vectors = [[1.0, -1e-7, 1e-7, -0.0], [0.6, 0.8, 0.0, -3e-7], [0.0, -0.0, 0.0, 0.0], [0.1234565, -0.9923499, 0.0000005, -0.0000005]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([*vectors, None])], "vec_id long, embedding array<float>")
+    df.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.vec_id: r.v for r in catalog.QUERIES["x19_normalise"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = dict(con.execute(catalog.ORACLE_SQL["x19_normalise"]).fetchall())
+    assert {k: repr(v) for k, v in got.items()} == {k: repr(v) for k, v in want.items()} and repr(got[0]) == "[1.0, -0.0, 0.0, -0.0]"
+    odd = spark.createDataFrame([(float("inf"),), (float("-inf"),), (float("nan"),), (-1.7e308,), (-2.5,), (None,)], "x double").select(X.rounded(F.col("x"), 0), X.rounded(F.col("x"), 6))
+    assert repr([tuple(r) for r in odd.collect()]) == repr([(x, x) if x != -2.5 else (-3.0, -2.5) for x in (float("inf"), float("-inf"), float("nan"), -1.7e308, -2.5, None)])
+
+
 def test_tokenizers(spark):
     built = tokenizer.HashTokenizer()
     texts = ["It's naïve, 第1 _x", "", None, "a\tb\n\nc"]

@@ -366,7 +366,7 @@ def y1_y4_y6_answers_by_item(spark, d):
 def y3_remote_batch(spark, d):
     batch = requests.RemoteBatch(spark, new_path(spark, "remote"), per_file=200)
     batch.add(_asked(spark, d).filter(~F.col("request").contains("?")))
-    service = requests.OfflineTransport(_echo(), delay=1)
+    service = requests.OfflineTransport(_echo(), delay=1, folder=new_path(spark, "service"))
     while not batch.step(service):
         pass
     return requests.extracted(batch.responses(), "chat").select("custom_id", F.md5(F.col("choices")[0]["content"]).alias("digest"))

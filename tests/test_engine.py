@@ -1,4 +1,5 @@
 import json
+import os
 import sqlite3
 from contextlib import closing
 
@@ -307,6 +308,40 @@ def test_requests(spark, tmp_path):
     assert len(failing) == 3 and all(r.response is None and "zero" in r.error for r in failing)
 
 
+def test_remote_batch_works_in_tasks(spark, tmp_path):
+    class Service(requests.OfflineTransport):
+        def upload(self, lines):
+            assert os.getpid() != driver and len(lines) <= 7
+            return super().upload(lines)
+
+        def file_status(self, file_id):
+            return "error" if "task_0\"" in self._read("files", file_id) else super().file_status(file_id)
+
+        def download(self, job_id):
+            assert os.getpid() != driver
+            return super().download(job_id)
+
+    driver = os.getpid()
+    service = Service(lambda r: {"choices": [{"messages": r["body"]["messages"][0]["content"]}]}, folder=f"file://{tmp_path}/service")
+    batch = requests.RemoteBatch(spark, f"file://{tmp_path}/job", per_file=7)
+    messages = F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("é\n"), F.col("id")).alias("content")))
+    asked = requests.requests(spark.range(0, 300, 1, 5), "id", messages, "m")
+    assert batch.add(asked) == 43
+    jobs = []
+    for done in (False, False, True):
+        spark.sparkContext.setJobGroup(f"step {len(jobs)}", "")
+        assert batch.step(service) is done
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"step {len(jobs)}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(jobs) < 20  # not some for each of 43 files
+    state = batch.state()
+    assert [s[0] for s in state] == list(range(43)) and [s[1] for s in state].count("failed") == 1 and {s[1] for s in state} == {"failed", "downloaded"}
+    got = {r.custom_id: r.choices[0].content for r in requests.extracted(batch.responses(), "complete").collect()}
+    assert len(got) == 293 and all(v == f"é\n{k[5:]}" for k, v in got.items()) and "task_0" not in got
+    none = requests.RemoteBatch(spark, str(tmp_path / "none"))
+    assert none.add(asked.filter("false")) == 0 and none.step(service) and none.responses().count() == 0
+
+
 def test_metrics_and_exchange(spark):
     r = metrics.Recorder()
     r.record("b", 1)
